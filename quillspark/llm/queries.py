@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing, pii, quality_rules, substring_dedup
+from quillspark.llm import minhash_dedup, mixing, pii, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_minhash_dedup": minhash_dedup.query,
     "op4_mixing": mixing.query,
     "op5_pii": pii.query,
     "op9_quality_rules": quality_rules.query,
