@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import html_extraction, language_id, license_scan, minhash_dedup, mixing, pii, quality_rules, substring_dedup, url_filter
+from quillspark.llm import decontamination, html_extraction, language_id, license_scan, minhash_dedup, mixing, pii, quality_rules, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": url_filter.query,
     "op8_license_scan": license_scan.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_decontamination": decontamination.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
