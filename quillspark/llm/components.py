@@ -34,5 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         parent = staged(roots(staged(parent, "components-parent")), "components-roots")
         at = lambda df, c: df.join(parent.select(F.col("id").alias(c), F.col("up").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
         labels = staged(at(labels, "component"), "components-labels")
-        edges = staged(at(at(edges, "a"), "b").filter("a <> b").distinct(), "components-edges")
+        edges = staged(at(at(edges, "a"), "b").select("a", "b").filter("a <> b").distinct(), "components-edges")
     return labels.select("id", "component")

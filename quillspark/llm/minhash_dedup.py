@@ -11,8 +11,8 @@
     class only; pairs with MATCH agreeing coordinates are confirmed on full sets. Linked
     classes form components.
 4.  Where a posting still holds several components, the classes outside its central one
-    are compared with the others in blocks of bounded size, across components only, and
-    agreeing pairs are confirmed too. So no link between components is lost, and a group
+    are compared with the others in blocks of bounded size, across components only and by
+    a finer signature, and agreeing pairs are confirmed too. So no link between components is lost, and a group
     of copies costs rows in proportion to its size.
 
 Nulls: a null or empty text has no shingles and is linked with nothing. Rows without
@@ -35,10 +35,12 @@ from quillspark.llm.components import components
 from quillspark.llm.hashing import mixed, rolled, word_hashes
 
 SHINGLE, K, MATCH, PERCENT = 5, 64, 38, 85
+#: Coordinates of the finer signature for comparison in blocks, and how many must agree (again 1e-7).
+FINE, FINE_MATCH = 256, 188
 OUTSIDE, INSIDE = 512, 2048
 _random = np.random.default_rng(20)
-FACTORS = _random.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _random.integers(0, 2**63, K, dtype=np.uint64)
+FACTORS = _random.integers(1, 2**63, K + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _random.integers(0, 2**63, K + FINE, dtype=np.uint64)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -52,12 +54,18 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(rolled(hashes, SHINGLE))
 
 
+def minima(found: np.ndarray, which: slice) -> np.ndarray:
+    """Minima of the hash functions `which` over the shingles."""
+    factors, shifts = FACTORS[which], SHIFTS[which]
+    least = np.full(len(factors), np.uint64(2**64 - 1))
+    for at in range(0, len(found), 4096):
+        np.minimum(least, (found[at : at + 4096, None] * factors + shifts).min(axis=0), out=least)
+    return mixed(least)
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """K minima, each with its coordinate in the last bits."""
-    least = np.full(K, np.uint64(2**64 - 1))
-    for at in range(0, len(found), 4096):
-        np.minimum(least, (found[at : at + 4096, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-    return ((mixed(least) & ~np.uint64(K - 1)) | np.arange(K, dtype=np.uint64)).view(np.int64)
+    return ((minima(found, slice(0, K)) & ~np.uint64(K - 1)) | np.arange(K, dtype=np.uint64)).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,22 +90,40 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
-        found = [shingles(unpacker.decompress(z)).view(np.int64) if z else [] for (z,) in rows_of(batch, ["z"])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+        found = [shingles(unpacker.decompress(z)) for (z,) in rows_of(batch, ["z"])]
+        fine = [minima(x, slice(K, None)).astype(np.uint32).tobytes() for x in found]
+        columns = [pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(fine, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "shingles", "fine"])
 
 
-def agreeing(outside: pa.Table, inside: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows in different components with MATCH agreeing coordinates and sizes that allow a link."""
+def agreeing(outside: pa.Table, inside: pa.Table) -> tuple[list[int], list[int]]:
+    """Pairs of rows in different components that may be links, each in the block of its first common posting only.
+
+    FINE_MATCH coordinates agree, the sizes allow a link, and so do the distances to the
+    posting's pivot, as Jaccard distance obeys the triangle inequality.
+    """
     read = lambda t, c: t.column(c).to_numpy()
-    left = np.stack(outside.column("sig").to_pylist())
-    right = np.stack(inside.column("sig").to_pylist())
-    n, m = read(outside, "n")[:, None], read(inside, "n")[None, :]
-    fits = (read(outside, "component")[:, None] != read(inside, "component")[None, :]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-    equal = np.zeros(fits.shape, np.uint8)
-    for k in range(K):
-        equal += left[:, k, None] == right[None, :, k]
-    i, j = np.nonzero(fits & (equal >= MATCH))
-    return read(outside, "id")[i], read(inside, "id")[j]
+    fine = lambda t: np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint32).reshape(-1, FINE)
+    left, right = fine(outside), np.ascontiguousarray(fine(inside).T)
+    n, m = read(outside, "n"), read(inside, "n")
+    d, e = read(outside, "far"), read(inside, "far")
+    home, other = read(outside, "component"), read(inside, "component")
+    mine, theirs = read(outside, "id"), read(inside, "id")
+    tokens = [frozenset(x) for x in outside.column("tokens").to_pylist()]
+    listed = [frozenset(x) for x in inside.column("tokens").to_pylist()]
+    apart = inside.column("apart").to_pylist()
+    here = outside.column("token")[0].as_py() if len(outside) else None
+    a, b = [], []
+    for i in range(len(left)):
+        fits = (other != home[i]) & (100 * np.minimum(n[i], m) >= PERCENT * np.maximum(n[i], m))
+        fits = np.flatnonzero(fits & ~(np.abs(d[i] - e) > 1.0001 - PERCENT / 100))
+        if len(fits):
+            near = right[:, fits] if len(fits) < len(m) else right
+            for j in fits[(near == left[i][:, None]).sum(axis=0) >= FINE_MATCH].tolist():
+                if not (apart[j] and mine[i] > theirs[j]) and min(tokens[i] & listed[j]) == here:
+                    a.append(int(mine[i]))
+                    b.append(int(theirs[j]))
+    return a, b
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +134,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def met(rows: list[pa.Table]) -> pa.RecordBatch:
         block = pa.concat_tables(rows)
         outside = block.column("outside").to_numpy(zero_copy_only=False)
-        a, b = agreeing(block.filter(pa.array(outside)), block.filter(pa.array(~outside))) if outside.any() and not outside.all() else ([], [])
+        a, b = agreeing(block.filter(pa.array(outside)), block.filter(pa.array(~outside)))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -128,13 +154,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met(parts)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, far, linked) for pairs (a, b), from their full sets; far is the Jaccard distance."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    near = 100 * both >= PERCENT * (F.size("x") + F.size("y") - both)
-    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
+    met = pairs.join(left, "a").join(right, "b")
+    met = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    either = F.col("sum") - F.col("both")
+    return met.select("a", "b", (1 - F.col("both") / either).alias("far"), (100 * F.col("both") >= PERCENT * either).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -145,7 +172,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = staged(classes, "near-classes")
 
     tokens = classes.filter("id IS NOT NULL").select("id", F.explode("sig").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # staged, so that both sides of the join are exchanges and large partitions can be split
+    shared = staged(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "near-shared")
     posted = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("p"), F.sum("df").alias("central"))
     useful = F.greatest(F.lit(0), F.lit(K - MATCH + 1) - (K - F.size("p")))
     posted = posted.filter(F.size("p") >= MATCH).select("id", "central", F.slice("p", F.lit(1), useful).alias("p"))
@@ -162,8 +190,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = staged(stars.join(side("a"), "a").join(side("b"), "b").filter(sizes & alike).select("a", "b"), "near-stars")
 
     packed = docs.filter("doc_id IS NOT NULL").mapInArrow(_pack, "id long, z binary")
-    sets = staged(packed.join(heads.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "near-sets")
-    links = staged(confirmed(stars, sets), "near-links")
+    sets = staged(packed.join(heads.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>, fine binary"), "near-sets")
+    stars = staged(compared(stars, sets), "near-compared")
+    links = stars.filter("linked").select("a", "b")
     found = components(links)
 
     rest = listed.join(pivots.filter("m > 2"), "token")
@@ -174,17 +203,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = rest.join(middle, "token").withColumn("outside", F.col("component") != F.col("middle")).drop("central", "middle")
     rest = staged(rest, "near-rest")
     counts = rest.filter("outside AND id <> pivot").groupBy("token").agg(F.count("*").alias("o"))
-    rest = rest.filter("id <> pivot").join(counts, "token").join(heads.select("id", "n", "sig"), "id")
+    rest = rest.filter("id <> pivot").join(counts, "token")
+    rest = rest.join(stars.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "far"), ["id", "pivot"], "left")
+    rest = rest.withColumn("far", F.coalesce("far", F.lit(float("nan")))).join(heads.select("id", "tokens"), "id").join(sets.select("id", F.size("shingles").cast("long").alias("n"), "fine"), "id")
     spread = lambda size: F.pmod(F.xxhash64("id"), F.ceil(size).cast("int")).cast("int")
     ways = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(size).cast("int") - 1))
     by_part, by_piece = F.col("o") / OUTSIDE, F.col("m") / INSIDE
-    one = rest.filter("outside").withColumns({"part": spread(by_part)}).withColumn("piece", ways(by_piece))
-    two = rest.withColumns({"piece": spread(by_piece), "outside": F.lit(False)}).withColumn("part", ways(by_part))
-    columns = ["token", "part", "piece", "outside", "id", "n", "component", "sig"]
+    one = rest.filter("outside").withColumns({"part": spread(by_part), "apart": F.lit(True)}).withColumn("piece", ways(by_piece))
+    two = rest.withColumns({"piece": spread(by_piece), "apart": F.col("outside"), "outside": F.lit(False)}).withColumn("part", ways(by_part))
+    columns = ["token", "part", "piece", "outside", "apart", "id", "n", "component", "far", "tokens", "fine"]
     blocks = one.select(*columns).unionByName(two.select(*columns)).repartition("token", "part", "piece")
     blocks = blocks.sortWithinPartitions("token", "part", "piece")
-    pairs = blocks.mapInArrow(_blocks, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(confirmed(staged(pairs, "near-pairs"), sets), "near-more")
+    pairs = staged(blocks.mapInArrow(_blocks, "a long, b long"), "near-pairs")
+    more = staged(compared(pairs, sets).filter("linked").select("a", "b"), "near-more")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
@@ -195,5 +226,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs without those that another document of their component stands for; rows without doc_id stay."""
+    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id")
+    return docs.join(staged(gone, "near-gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -119,9 +119,11 @@ def same_cell(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataF
 
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken, with the number `copy` from 0."""
-    out = mix(docs, seed).filter(F.col("copies") > 0)
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    """The mix itself: rows of docs, each as often as it is taken, numbered from 0 in `copy` (`_copy` if docs has one)."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    number = "_copy" if "copy" in docs.columns else "copy"
+    out = mix(rows, seed).filter(F.col("copies") > 0).select("_row", "copies")
+    return out.select("_row.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias(number))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Measure: its upper fence never stands below this, so that groups of like documents lose none.
 FENCES = {"symbol_ratio": 0.05, "dup_line_ratio": 0.50, "word_length": 14.0}
 LEAST_LENGTH = 2.0
-FEATURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -70,7 +70,7 @@ def measures(text: bytes) -> tuple[int, ...]:
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` columns of docs and the measures."""
     schema = docs.select(*keep).schema
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    names = FEATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,8 +79,9 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
             columns += [pa.array([g[i] for g in got], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), FEATURES])
-    return docs.select(*keep, utf8("text").alias("_text")).mapInArrow(run, ddl)
+    for name in names:
+        schema = schema.add(name, "long")
+    return docs.select(*keep, utf8("text").alias("_text")).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -149,6 +150,13 @@ def quality_filter(docs: DataFrame, keep: list[str]) -> DataFrame:
     return judged(base, staged(fences(with_ratios(base)), "quality-fences"))
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their own columns, whatever those are called."""
+    limits = staged(fences(with_ratios(staged(measured(docs, ["lang", "source"]), "quality-measures"))), "quality-fences")
+    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    return judged(measured(rows, ["_row", "lang", "source"]), limits).filter("kept").select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_filter(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
