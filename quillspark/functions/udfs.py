@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def unicode_form(form: str) -> Callable[[Column | str], Column]:
@@ -25,7 +26,7 @@ def mock_recogniser(paths: list[str]) -> list[str]:
 
 def recognise(samples: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], batch: int = 8) -> DataFrame:
     """samples (with image_path) and `prediction`; the model is loaded once a partition, batches are of `batch`."""
-    schema = samples.schema.add("prediction", "string")
+    schema = StructType([*samples.schema.fields, StructField("prediction", StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

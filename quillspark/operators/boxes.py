@@ -34,7 +34,7 @@ def yolo_line(width: Column, height: Column, cls: Column | None = None) -> Colum
 def parsed_yolo(line: Column, width: Column, height: Column) -> Column:
     """Struct (cls, x, y, w, h) of a label line; null for lines of fewer than five fields."""
     p = F.filter(F.split(F.trim(line), r"\s+"), lambda t: t != "")
-    n = lambda i: p[i].cast("double")
+    n = lambda i: F.get(p, F.lit(i)).cast("double")
     box = F.struct(
         n(0).cast("int").alias("cls"), ((n(1) - n(3) / 2) * width).alias("x"), ((n(2) - n(4) / 2) * height).alias("y"), (n(3) * width).alias("w"), (n(4) * height).alias("h")
     )
@@ -127,7 +127,7 @@ def micro(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def ece(df: DataFrame, closed: bool, bins: int = 10) -> DataFrame:
     """Expected calibration error of (score, correct). Open: a score of 1 is in no bin but counts in N."""
     inside = lambda i: (F.col("score") >= i * 0.1) & ((F.col("score") < (i + 1) * 0.1) | (F.lit(closed) & (i == bins - 1) & (F.col("score") <= 1.0)))
-    bin_ = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), inside)[0]
+    bin_ = F.get(F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), inside), F.lit(0))
     # bins are few, so N is the sum of their counts
     by_bin = df.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("hit"), F.avg("score").alias("sure"))
     gap = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("hit") - F.col("sure"))).otherwise(0.0)

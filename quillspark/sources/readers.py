@@ -51,13 +51,13 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     """(images, annotations with gt index and box columns, categories) of a COCO document."""
     doc = spark.read.option("multiLine", True).schema(COCO).json(path)
     images = doc.selectExpr("inline(images)").withColumnRenamed("id", "image_id")
-    notes = doc.select(F.posexplode("annotations").alias("gt", "a")).select("gt", "a.image_id", "a.category_id", F.coalesce("a.source", F.lit("?")).alias("source"), *(F.col("a.bbox")[i].alias(c) for i, c in enumerate("xywh")))
+    notes = doc.select(F.posexplode("annotations").alias("gt", "a")).select("gt", "a.image_id", "a.category_id", F.coalesce("a.source", F.lit("?")).alias("source"), *(F.get("a.bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")))
     return images, notes, doc.selectExpr("inline(categories)").withColumnRenamed("id", "category_id")
 
 
 def coco_results(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.option("multiLine", True).schema(RESULTS).json(path)
-    return found.select("image_id", "category_id", "score", *(F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")))
+    return found.select("image_id", "category_id", "score", *(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")))
 
 
 def yolo_labels(spark: SparkSession, path: str, width: float = 1.0, height: float = 1.0) -> DataFrame:
