@@ -98,8 +98,8 @@ class Model:
         p = self.p[at]
         share = self.mixture(p, n)
         alone = n @ np.log(p)
-        order = np.lexsort((-share, -alone))
-        order = np.concatenate((order[:1], [i for i in np.argsort(-share, kind="stable") if i != order[0]]))
+        first = int(np.lexsort((-share, -alone))[0])
+        order = np.array([first, *(i for i in np.argsort(-share, kind="stable") if i != first)], np.int64)
         price = PENALTY * np.log(n.sum() + 1)
         best, chosen = alone[order[0]] - price, (order[:1], share[order[:1]])
         for size in range(2, len(order) + 1):

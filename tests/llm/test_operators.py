@@ -1,0 +1,305 @@
+"""Brute force and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontamination, html_extraction, language_id, license_scan, minhash_dedup, mixing, pii, quality_rules, queries, substring_dedup, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, size string, copies string, row string, label string"
+CLASH = ("7", "x", "y", "z", "q")
+
+
+def corpus():
+    rng = random.Random(11)
+    words = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "É")]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    base, passage = text(160), text(45)
+    docs = [text(rng.randint(30, 200)) for _ in range(30)]
+    docs += [base, base, base.upper(), base.replace(" ", "  ", 3)]
+    docs += [" ".join(w if i % 40 != k else "zz" for i, w in enumerate(base.split())) for k in range(6)]
+    docs += [" ".join(w if i % 7 else f"y{k}" for i, w in enumerate(base.split())) for k in range(4)]
+    docs += [f"{text(20)} {passage} {text(30)}" for _ in range(3)] + [f"{passage} x {text(9)}"]
+    docs += ["a " * 90, "a " * 36, "b " * 35, "one two", "one two", "ONE two", "", " \n\t", None, None, text(30000)]
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 3}" if i % 5 else None, 1, *CLASH) for i, t in enumerate(docs)]
+    return [*rows, rows[31], rows[31], (None, base, None, None, None, *CLASH), (None, None, None, None, None, *CLASH)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def test_substring_dedup(docs, none):
+    held = [(r[0], words(r[1])) for r in corpus()]
+    seen = Counter(tuple(w[s : s + 35]) for _, w in held for s in range(len(w) - 34))
+    expected = []
+    for doc_id, w in held:
+        gone = set()
+        for s in range(len(w) - 34):
+            if seen[tuple(w[s : s + 35])] > 1:
+                gone |= set(range(s, s + 35))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        expected.append((doc_id, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = rows(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(expected, key=repr)
+    assert sum(e[2] > 0 for e in expected) > 10
+    assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def shingle_sets(held):
+    lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)]
+    out = {}
+    for i, t in held:
+        w = lower(t)
+        out[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[s : s + 5]) for s in range(len(w) - 4)}
+    return out
+
+
+def components_of(sets):
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_near_duplicates(docs, none):
+    held = {r[0]: r[1] for r in corpus() if r[0] is not None}
+    sets = shingle_sets(held.items())
+    home = components_of(sets)
+    expected = {(i, len(sets[i]), home[i], home[i] == i) for i in held}
+    got = minhash_dedup.near_duplicates(docs).collect()
+    assert {tuple(r) for r in got if r.doc_id is not None} == expected and len(got) == len(corpus())
+    assert sum(not e[3] for e in expected) > 5
+    copies = [r for r in got if r.doc_id is None]
+    assert {r.component_id for r in copies} == {30, None}
+    assert minhash_dedup.near_duplicates(none).count() == 0
+    left = minhash_dedup.representatives(docs)
+    assert left.columns == docs.columns and {r[0] for r in left.collect()} == {e[0] for e in expected if e[3]} | {None}
+
+
+def test_links_away_from_the_pivot(spark):
+    """Two pairs share most postings with a hub that neither links to, and a chain links by its ends."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    edited = lambda w, n: " ".join((lambda v, at: [x if i not in at else f"e{rng.random()}" for i, x in enumerate(v)])(w, set(rng.sample(range(len(w)), n))))
+    texts = [" ".join(base)] * 2
+    for _ in range(3):
+        far = edited(base, 14)
+        texts += [far, edited(far.split(), 3)]
+    chain = base[:]
+    for k in range(12):
+        chain[k * 30] = f"c{k}"
+        texts.append(" ".join(chain))
+    texts += [edited(base, 3) for _ in range(20)]
+    sets = shingle_sets(enumerate(texts))
+    home = components_of(sets)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(df).collect()} == set(home.items())
+
+
+def test_language(spark, docs, none):
+    rng = random.Random(2)
+    voices = {"xx": "aeioumnl", "yy": "kprtszäö"}
+    texts = [(i, "".join(rng.choices(voices[v] + " ", k=200)), v) for i, v in enumerate(["xx", "yy"] * 60)]
+    texts += [(200, "12 34 !", "xx"), (201, None, "yy"), (202, "", None), (203, "a", None), (204, texts[0][1] * 900, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.language_id(df).collect()}
+    assert all(got[i].lang_pred == v for i, _, v in texts[:120])
+    assert [got[i].lang_pred for i in (200, 201, 202)] == ["und"] * 3 and got[200].score == 0 and got[204].lang_pred == "xx"
+    assert all(0 <= r.score <= 1 for r in got.values()) and any(r.held_out for r in got.values())
+    both = language_id.trained(df.filter("lang IS NOT NULL AND text IS NOT NULL")).languages(texts[0][1] + " " + texts[1][1])
+    assert {x for x, _ in both} == {"xx", "yy"} and sum(s for _, s in both) == pytest.approx(1, abs=0.05)
+    assert language_id.language_id(docs).count() == len(corpus())
+    assert language_id.language_id(none).count() == 0
+    assert {r.lang_pred for r in language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_mixing(docs, none):
+    df = docs.drop("size", "copies")
+    got = mixing.mix(df).collect()
+    total = sum(r.size for r in got)
+    targets = {r.source: (r.source_size, r.target) for r in got}
+    assert sum(t for _, t in targets.values()) == pytest.approx(total) and all(t <= 3 * s + 1e-6 for s, t in targets.values())
+    assert all(r.copies <= 3 and r.size == len(words(r.text)) for r in got)
+    again = mixing.mix(df.repartition(2)).collect()
+    assert Counter((r.doc_id, r.copies) for r in got) == Counter((r.doc_id, r.copies) for r in again)
+    out = mixing.mixed(docs)
+    assert out.columns == [*docs.columns, "copy"] and out.count() == sum(r.copies for r in got)
+    assert mixing.mix(none.drop("size", "copies")).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_mix_reaches_targets(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.least(F.col("id") % 7, F.lit(4))).alias("source"), (F.col("id") * 37 % 501).alias("size"))
+    got = mixing.mix(df).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+    assert len(got) == 5 and all(r.taken == pytest.approx(r.target, rel=0.01) for r in got)
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "phone" and 9 <= len(digits) <= 15
+            if kind == "card":
+                twice = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
+                ok = 12 <= len(digits) <= 19 and sum(twice) % 10 == 0
+            if ok:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], list(PATTERNS).index(s[2])))
+
+
+def test_pii_spans():
+    rng = random.Random(9)
+    parts = ["a@b.c", "@", ".", "1.2.3.4", "4111 1111 1111 1111", "+49 30 1234567", "300.1.1.1", "x@y", "é", " ", "-", "5", "00000000000000", "+1", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "\n"]
+    for _ in range(600):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        assert sorted((a, b, k) for a, b, k in pii.base_spans(text)) == sorted(plain_spans(text)), text
+    assert [(a, k) for a, _, k, _ in pii.spans("IBAN DE89370400440532013000 ssn 123-45-6789") if k in ("iban", "ssn")] == [(5, "iban"), (32, "ssn")]
+    assert pii.redact("to a@b.c now") == "to [EMAIL] now" and pii.redact(None) is None
+    assert len(pii.spans("7" * 200_000 + "." * 200_000 + "@" + "a" * 200_000)) == 0
+
+
+def test_pii_tables(docs, none):
+    out = pii.redacted(docs)
+    assert out.schema == docs.schema and out.count() == len(corpus()) and pii.redacted(none).count() == 0
+    assert pii.found_spans(docs).count() == len(corpus()) and pii.found_spans(none).count() == 0
+
+
+def test_html(spark):
+    page = (
+        "<html><head><title>t</title><style>p{}</style></head><body><header>site</header><nav><ul><li><a href=x>menu</a></ul></nav><script>var a='</p>';</script>"
+        "<div class='cookie-notice'>accept</div><article><h1>Head &amp; line</h1><p>First   long\n paragraph of the article, with <b>bold</b> words.<p>Be.<br><p>Last one &eacute;."
+        "<div id='sidebarLeft'><p>aside</div><p class=ad>buy<p>The end.</p><section class='comments'><p>reader</section></article><form>f<input></form><footer>&copy; x</footer>"
+    )
+    rows_ = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<nav>x</nav>"), (1, "u", page), (5, "u", "<body><nav><a>m</a></nav><p>Only a paragraph of some length here.</p><p>And another one that follows.</p>"), (6, "u", "<p>" + "long " * 40000)]
+    got = [r.text for r in html_extraction.extracted(spark.createDataFrame(rows_, "page_id long, url string, html string")).orderBy("page_id", "n_chars").collect()]
+    text = "Head & line\nFirst long paragraph of the article, with bold words.\nBe.\nLast one é.\nThe end."
+    assert got[:5] == [text, text, "", "", ""] and got[5] == "Only a paragraph of some length here.\nAnd another one that follows." and len(got[6]) == 5 * 40000 - 1
+    assert html_extraction.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_urls(spark):
+    urls = ["http://a.COM/x?y", "https://example.com/en/1", "http://www.example.com/en/", "http://m.www.example.com/en/a#b", "ftp://x.net/es/", "x.net/fr/", "http://a.net/fr", "http://net/fr/z", None, "://", "http://com", "http://xcom/"]
+    urls += [f"http://bad{i % 3}.org/spam/{i}" for i in range(60)] + [f"http://good{i % 3}.org/news/{i}" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(3, urls[3])], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if "spam" in (u or "") else 1, 0) for i, u in enumerate(urls)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    got = url_filter.url_filter(pages, labels).orderBy("page_id").collect()
+    first = [(r.host, r.path, r.rule, r.verdict) for r in got][:13]
+    assert first == [
+        ("a.com", "/x", "com/", "allow"), ("example.com", "/en/1", "example.com/en/", "block"), ("www.example.com", "/en/", "www.example.com/en/", "allow"),
+        *[("m.www.example.com", "/en/a", "www.example.com/en/", "allow")] * 2, ("x.net", "/es/", "net/es/", "block"), ("", "", None, "allow"), ("a.net", "/fr", None, "allow"),
+        ("net", "/fr/z", "net/fr/", "block"), ("", "", None, "allow"), ("", "", None, "allow"), ("com", "", None, "allow"), ("xcom", "/", None, "allow"),
+    ]
+    assert {r.verdict for r in got[13:73]} == {"block"} and {r.verdict for r in got[73:]} == {"allow"}
+    assert url_filter.url_filter(pages, labels.limit(0)).filter("rule IS NULL AND verdict = 'block'").count() == 0
+    assert url_filter.url_filter(pages.limit(0), labels).count() == 0
+
+
+def test_licences(spark, docs, none):
+    texts = ["Licensed under CC BY-NC 4.0. All Rights\nReserved; cc by!", "all rights are reserved", "Released under MIT License", "the GNU general public license, general-public LICENSE", None, "", "cc"]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got] == [
+        (12, 3, 2, 10, "cc-by,reserved"), (4, 0, None, None, ""), (4, 0, None, None, ""), (8, 2, 2, 5, "gpl"), (0, 0, None, None, ""), (0, 0, None, None, ""), (1, 0, None, None, ""),
+    ]
+    assert got[0].labels == "cc-by,cc-by-nc,reserved" and "gpl" in got[3].labels and all(0 <= r.score <= 1 for r in got)
+    assert license_scan.license_scan(docs).count() == len(corpus()) and license_scan.license_scan(none).count() == 0
+
+
+def test_quality(docs, none):
+    got = {r.doc_id: r for r in quality_rules.quality_filter(docs, ["doc_id", "lang", "source"]).collect()}
+    for doc_id, text, *_ in corpus():
+        w = words(text)
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        held = {j for s in range(len(w) - 2) if grams[tuple(w[s : s + 3])] > 1 for j in range(s, s + 3)}
+        if doc_id is not None:
+            r = got[doc_id]
+            assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(held))
+            assert r.base_failed == (len(w) < 50 or 100 * len(held) > 50 * len(w)) and (r.kept or r.base_failed)
+    assert quality_rules.measures(b"a #b\n\na #b\n x<\n") == (5, 8, 3, 3, 1, 0)
+    out = quality_rules.accepted(docs)
+    assert out.schema == docs.schema and {r.doc_id for r in out.collect()} >= {i for i, r in got.items() if r.kept and i is not None}
+    assert quality_rules.quality_filter(none, ["doc_id", "lang", "source"]).count() == 0 and quality_rules.accepted(none).count() == 0
+
+
+def test_decontamination(spark, docs, none):
+    rng = random.Random(6)
+    item = lambda n: " ".join(f"q{rng.randint(0, 400)}" for _ in range(n))
+    items = [(i, item(rng.randint(15, 60))) for i in range(20)] + [(20, None), (21, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    clean = [item(rng.randint(5, 400)) for _ in range(60)]
+    texts = [f"{c} {items[i % 20][1]} {c}" for i, c in enumerate(clean[:40])]
+    some = items[3][1].split()
+    texts += [" ".join(w for k, w in enumerate(some) if k % 7 != 3 or k > len(some) - 5), *clean[40:], None, "", items[5][1].upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(df, benchmark).collect()}
+    assert got == {(i, i % 20) for i in range(40)} | {(40, 3), (63, 5)}
+    left = decontamination.decontaminated(docs.unionByName(df, True), benchmark)
+    assert left.columns == docs.columns and left.count() == len(corpus()) + 22
+    assert decontamination.leaks(docs, benchmark.limit(0)).count() == 0 and decontamination.leaks(none, benchmark).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracles(spark, name):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
+    result = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in result.description]
+    plain = lambda rs: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rs)
+    assert plain(map(tuple, queries.QUERIES[name](spark, d).select(*columns).collect())) == plain(result.fetchall())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{d}/documents.parquet")
+    texts = {r.doc_id: r.text for r in source.collect()}
+    kept = {r.doc_id for r in quality_rules.query(spark, d).filter("kept").collect()}
+    home = components_of(shingle_sets((i, texts[i]) for i in kept))
+    kept = {i for i in kept if home[i] == i}
+    squeezed = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    items = [squeezed(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    kept = {i for i in kept if not any(x in squeezed(texts[i]) for x in items)}
+    out = corpus_pipeline.run(spark, d).collect()
+    found = defaultdict(list)
+    for r in out:
+        found[r.doc_id].append(r)
+    assert set(found) <= kept and len(found) > len(kept) / 2
+    assert all(sorted(x.copy for x in rs) == list(range(len(rs))) and len(rs) <= 3 for rs in found.values())
+    assert all(r.text == pii.redact(texts[r.doc_id]) for r in out)
