@@ -160,3 +160,37 @@ def accepted(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_filter(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _fence_sql(level: int, keys: str, least: int) -> str:
+    names = {"lang, source": "lang, source", "lang": "lang, NULL AS source", "": "NULL AS lang, NULL AS source"}[keys]
+    q = lambda m, p: f"quantile_disc({m}, {p})"
+    top = ", ".join(f"greatest({floor}, {q(m, 0.75)} + 4 * ({q(m, 0.75)} - {q(m, 0.25)})) AS {m}_max" for m, floor in FENCES.items())
+    low = f"least({LEAST_LENGTH}, {q('word_length', 0.25)} - 4 * ({q('word_length', 0.75)} - {q('word_length', 0.25)})) AS word_length_min"
+    return f"SELECT {level} AS level, {names}, {top}, {low} FROM judged WHERE NOT base_failed {f'GROUP BY {keys}' if keys else ''} HAVING count(*) >= {least}"
+
+
+ORACLE = f"""
+WITH base AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (SELECT id, unnest(string_split(t, chr(10))) AS l FROM base),
+dup AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM lines WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY id),
+places AS (SELECT id, w, unnest(range(1, len(w) - 1)) AS s FROM base WHERE len(w) >= 3),
+grams AS (SELECT id, s, count(*) OVER (PARTITION BY id, w[s], w[s + 1], w[s + 2]) AS c FROM places),
+covered AS (SELECT id, count(DISTINCT s + o) AS n FROM grams, (VALUES (0), (1), (2)) AS v(o) WHERE c > 1 GROUP BY id),
+measured AS (
+  SELECT b.id, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+    CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM base AS b LEFT JOIN dup ON dup.id = b.id LEFT JOIN covered ON covered.id = b.id),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(n_symbols AS DOUBLE) / greatest(word_chars, 1) AS symbol_ratio,
+    CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_ratio, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS word_length FROM measured),
+fences AS ({_fence_sql(0, "lang, source", 50)} UNION ALL {_fence_sql(1, "lang", 50)} UNION ALL {_fence_sql(2, "", 1)}),
+met AS (
+  SELECT j.*, symbol_ratio > symbol_ratio_max OR dup_line_ratio > dup_line_ratio_max OR word_length > word_length_max OR word_length < word_length_min AS bad
+  FROM judged AS j LEFT JOIN fences AS f ON (level = 0 AND f.lang IS NOT DISTINCT FROM j.lang AND f.source IS NOT DISTINCT FROM j.source)
+    OR (level = 1 AND f.lang IS NOT DISTINCT FROM j.lang) OR level = 2
+  QUALIFY row_number() OVER (PARTITION BY j.id ORDER BY level) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR coalesce(bad, false)) AS kept FROM met
+"""

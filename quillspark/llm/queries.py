@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
+    "op9_quality_rules": quality_rules.ORACLE,
 }
