@@ -197,11 +197,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     anchors = each.groupBy("m").agg(F.count("*").alias("k"), F.min("rc").alias("low"), F.max("rc").alias("high"), F.max("twice").alias("again"))
     anchors = anchors.filter((F.col("k") > 1) | F.col("again"))
-    anchors = anchors.select("m", ((F.col("low") != F.col("high")) | F.col("again")).alias("differ"))
+    # staged, so that both sides of each join are exchanges and large partitions can be split
+    anchors = staged(anchors.select("m", ((F.col("low") != F.col("high")) | F.col("again")).alias("differ")), "passages-anchors")
     live = staged(each.drop("twice").join(anchors, "m"), "passages-live")
     place = F.struct("doc_id", "th", "s")
     distinct = live.filter("differ").groupBy("m", "rc").agg(F.count("*").alias("k"), F.min(place).alias("first"))
-    differ = live.filter("differ").join(distinct, ["m", "rc"])
+    differ = live.filter("differ").join(staged(distinct, "passages-distinct"), ["m", "rc"])
     first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.th") == F.col("th")) & (F.col("first.s") == F.col("s"))
     weight = F.when(F.col("k") == 1, 1).when(first, 2).otherwise(0)
     status = live.filter(~F.col("differ")).withColumns({"whole": F.lit(True), "weight": F.lit(0)}).unionByName(
@@ -216,7 +217,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     checks = met.select("doc_id", "th", F.explode("checks").alias("c")).select("doc_id", "th", "c.*")
     recurring = checks.groupBy("m", "w").agg(F.sum("weight").alias("k")).filter("k > 1").select("m", "w")
-    more = checks.filter("weight = 1").join(recurring, ["m", "w"], "left_semi")
+    more = checks.filter("weight = 1").join(staged(recurring, "passages-recurring"), ["m", "w"], "left_semi")
     more = more.groupBy("doc_id", "th").agg(F.collect_list("s").alias("more"))
     open_ = met.filter("z IS NOT NULL").select("doc_id", "th", "z", "ranges")
     on = open_["doc_id"].eqNullSafe(more["doc_id"]) & (open_["th"] == more["th"])
