@@ -36,8 +36,8 @@ from quillspark.llm.hashing import mixed, rolled, word_hashes
 
 SHINGLE, K, MATCH, PERCENT = 5, 64, 38, 85
 #: Coordinates of the finer signature for comparison in blocks, and how many must agree (again 1e-7).
-FINE, FINE_MATCH = 256, 188
-OUTSIDE, INSIDE = 512, 2048
+FINE, FINE_MATCH = 384, 290
+OUTSIDE, INSIDE = 256, 768
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(1, 2**63, K + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _random.integers(0, 2**63, K + FINE, dtype=np.uint64)
