@@ -12,16 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontamination, minhash_dedup, mixing, pii, quality_rules
-from quillspark.llm.common import staged, table
+from quillspark.llm.common import small_batches, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the adaptive fences keep."""
+    small_batches(spark)
     return quality_rules.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id."""
+    small_batches(spark)
     return minhash_dedup.representatives(docs)
 
 
@@ -32,11 +34,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced."""
+    small_batches(spark)
     return pii.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, with the number `copy` from 0."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
