@@ -45,46 +45,58 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """(gram, t, template, label, base, pairs): each word pair of each template."""
-    rows = []
-    for base, listed in ((True, BASE), (False, TEMPLATES)):
-        for phrase, label in listed.items():
-            w = phrase.split()
-            rows += [(a, b, t, len(rows), label, base, len(w) - 1, phrase) for t, (a, b) in enumerate(zip(w[:-1], w[1:], strict=True))]
-    df = spark.createDataFrame(rows, "a string, b string, t int, row int, label string, base boolean, pairs int, template string")
-    return df.select(F.xxhash64("a", "b").alias("gram"), "t", "template", "label", "base", "pairs")
+def listed() -> list[tuple[int, str, str, bool]]:
+    """(number, phrase, label, base) of every template."""
+    both = [(p, x, True) for p, x in BASE.items()] + [(p, x, False) for p, x in TEMPLATES.items()]
+    return [(i, *row) for i, row in enumerate(both)]
+
+
+def pairs(phrase: str) -> list[tuple[int, str, str]]:
+    w = phrase.split()
+    return [(t, a, b) for t, (a, b) in enumerate(zip(w[:-1], w[1:], strict=True))]
+
+
+def grams(spark: SparkSession) -> DataFrame:
+    """(gram, t, template): the places of every word pair."""
+    rows = [(a, b, t, i) for i, phrase, _, _ in listed() for t, a, b in pairs(phrase)]
+    return spark.createDataFrame(rows, "a string, b string, t int, template int").select(F.xxhash64("a", "b").alias("gram"), "t", "template")
+
+
+def facts(spark: SparkSession) -> DataFrame:
+    rows = [(i, label, base, len(pairs(phrase))) for i, phrase, label, base in listed()]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, pairs int")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     df = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    df = df.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), pairs.alias("grams"))
+    hashes = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    df = df.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), hashes.alias("grams"))
     df = df.select("doc_id", "row", "n_words", F.posexplode_outer("grams").alias("p", "gram"))
-    df = df.join(F.broadcast(templates(docs.sparkSession)), "gram", "left")
+    df = df.join(F.broadcast(grams(docs.sparkSession)), "gram", "left")
+    # numbers only, so that the words are combined in a hash table and not sorted
     votes = df.groupBy("row", "template", (F.col("p") - F.col("t")).alias("diagonal")).agg(
-        *(F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "base", "pairs")),
-        F.count("t").alias("votes"), F.min("t").alias("low"), F.max("t").alias("high"),
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count("t").alias("votes"), F.min("t").alias("low"), F.max("t").alias("high"),
     )
+    votes = votes.join(F.broadcast(facts(docs.sparkSession)), "template", "left")
     order = W.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True))
     votes = votes.withColumn("cluster", F.sum(apart.cast("int")).over(order))
     full = F.col("base") & (F.col("votes") == F.col("pairs"))
-    spans = votes.groupBy("row", "template", "cluster").agg(
-        *(F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "base", "pairs")),
+    spans = votes.groupBy("row", "template", "cluster", "label", "base", "pairs").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.count_if(full).alias("n_full"), F.min(F.when(full, F.col("diagonal"))).alias("first"), F.max(F.when(full, F.col("diagonal"))).alias("last"),
         F.sum("votes").alias("votes"), (F.max(F.col("diagonal") + F.col("high")) - F.min(F.col("diagonal") + F.col("low")) + 1).alias("length"),
     )
     share = F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))
     fits = (share >= LEAST) & (F.col("length") <= LONGEST * F.col("pairs"))
     mine = F.when(F.col("base"), F.when(F.col("n_full") > 0, F.lit(1.0))).otherwise(F.when(fits, share))
-    listed = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
+    named = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     spans = spans.withColumn("share", mine)
     return spans.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sum("n_full").cast("long").alias("n_base"),
         F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
-        listed(F.col("base") & (F.col("n_full") > 0)).alias("base_labels"), listed(F.col("share").isNotNull()).alias("labels"),
+        named(F.col("base") & (F.col("n_full") > 0)).alias("base_labels"), named(F.col("share").isNotNull()).alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     ).drop("row")
 
@@ -94,11 +106,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    rows = []
-    for base, listed in (("true", BASE), ("false", TEMPLATES)):
-        for phrase, label in listed.items():
-            w = phrase.split()
-            rows += [f"('{a} {b}', {t}, '{phrase}', '{label}', {base}, {len(w) - 1})" for t, (a, b) in enumerate(zip(w[:-1], w[1:], strict=True))]
+    rows = [f"('{a} {b}', {t}, {i}, '{label}', {str(base).lower()}, {len(pairs(phrase))})" for i, phrase, label, base in listed() for t, a, b in pairs(phrase)]
     return ", ".join(rows)
 
 
