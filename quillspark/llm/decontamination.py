@@ -21,7 +21,7 @@ read whole. Extra columns are ignored by `leaks` and kept by `decontaminated`.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import rows_of, table
 
-BLOCK, ROWS, RANK = 16, 320, 256
-COSINE, COPY, PARAPHRASE, ANSWER = 0.55, 0.8, 0.6, 4
-CHUNK = 4096
+BLOCK, ROWS, RANK = 16, 256, 192
+COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.8, 0.6, 4
+CHUNK = 2048
+#: Terms that are summed at a time.
+MOST_TERMS = 500_000
 MARKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -53,9 +55,16 @@ def _sketch(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, passages = np.zeros(ROWS * width, np.float32), np.zeros(width, np.int64), 0
+        flat, signs, terms, n, held_terms = [], [], [], 0, 0
+
+        def add() -> None:
+            nonlocal held
+            np.add(rows, np.bincount(np.concatenate(flat), np.concatenate(signs), ROWS * width), out=rows, casting="unsafe")
+            held += np.bincount(np.unique(np.concatenate(terms)) % width, minlength=width)
+
         for batch in batches:
-            flat, signs, terms, n = [], [], [], 0
-            for (text,) in rows_of(batch, ["text"]):
+            for (text,) in zip(batch.column(0)):  # noqa: B905
+                text = text.as_py()
                 words = words_of(text)
                 if not words:
                     continue
@@ -69,10 +78,14 @@ def _sketch(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]]
                 signs.append(np.where(mix >> np.uint64(63), 1.0, -1.0))
                 terms.append((n + block) * width + ids)
                 n += len(words) // (2 * BLOCK) + 1
-            if flat:
-                rows += np.bincount(np.concatenate(flat), np.concatenate(signs), ROWS * width).astype(np.float32)
-                held += np.bincount(np.unique(np.concatenate(terms)) % width, minlength=width)
-                passages += n
+                held_terms += len(ids)
+                if held_terms > MOST_TERMS:
+                    add()
+                    passages += n
+                    flat, signs, terms, n, held_terms = [], [], [], 0, 0
+        if flat:
+            add()
+            passages += n
         if not passages:
             return
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -114,13 +127,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def common_subsequence(masks: dict[bytes, int], size: int, words: list[bytes]) -> int:
-    """Length of the longest common subsequence with the item whose word positions are in masks."""
+def common_subsequence(masks: dict[bytes, int], size: int, words: list[bytes], least: float) -> int:
+    """Length of the longest common subsequence with the item whose word positions are in masks; 0 if under least."""
+    held = list(filter(None, map(masks.get, words)))
+    if len(held) < least:  # a subsequence has no more words than these
+        return 0
     full = v = (1 << size) - 1
-    for w in words:
-        if m := masks.get(w):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in held:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return size - v.bit_count()
 
 
@@ -147,7 +162,7 @@ class Search:
         """Share of the item that stands near word `start`, if it is enough."""
         own = self.items[item][1]
         near = words[max(0, start - BLOCK) : start + len(own) + 2 * BLOCK]
-        share = common_subsequence(self.masks[item], len(own), near) / len(own)
+        share = common_subsequence(self.masks[item], len(own), near, PARAPHRASE * len(own)) / len(own)
         if share >= COPY:
             return share
         if share >= PARAPHRASE and len(own) > ANSWER:
@@ -156,17 +171,19 @@ class Search:
                 return share
         return None
 
-    def found(self, texts: list[str | None]) -> Iterator[dict[int, float]]:
+    def found(self, texts: Iterable[str | None]) -> Iterator[dict[int, float]]:
         """For each text, the confirmed items with the share of their words; whole texts, passages in chunks."""
         held: list[list[bytes]] = []
         folded: list[np.ndarray] = []
+        size = 0
         for text in texts:
             words = words_of(text)
             held.append(words)
             folded.append(passages_folded(ids_of(words, self.vocabulary), self.space))
-            if sum(map(len, folded)) >= CHUNK:
+            size += len(folded[-1])
+            if size >= CHUNK:
                 yield from self._confirmed(held, folded)
-                held, folded = [], []
+                held, folded, size = [], [], 0
         if held:
             yield from self._confirmed(held, folded)
 
@@ -212,7 +229,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sent.value.found(batch.column(1).to_pylist()) if sent.value.items else ()
+            found = sent.value.found(x.as_py() for x in batch.column(1)) if sent.value.items else ()
             rows = [(d, sent.value.items[i][0], s) for d, hits in zip(batch.column(0).to_pylist(), found) for i, s in sorted(hits.items())]  # noqa: B905
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["doc_id", "item_id", "share"])
@@ -230,7 +247,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if not sent.value.items:
                 yield batch
                 continue
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = (x.as_py() for x in batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([not hits for hits in sent.value.found(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
