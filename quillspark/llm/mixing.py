@@ -71,10 +71,15 @@ def copies(u: Column) -> Column:
 
 
 def ranked(sized: DataFrame, starts: DataFrame) -> DataFrame:
-    """sized with _rank (from 1 within source) and the columns that starts has of the source."""
-    out = sized.withColumn("_place", F.row_number().over(W.partitionBy(*CELL).orderBy("size", "doc_id")))
-    out = same_cell(out, starts, CELL)
-    return out.withColumn("_rank", F.col("_place") + F.col("start")).drop("_place", "start")
+    """sized with _rank (from 1 within source) and the columns that starts has of the source.
+
+    One key that is never null names the cell, so that the ranks and the join share one exchange.
+    """
+    cell = F.concat_ws("|", F.col("_class").cast("string"), "_bucket", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    out = sized.withColumn("_cell", cell)
+    out = out.withColumn("_place", F.row_number().over(W.partitionBy("_cell").orderBy("size", "doc_id")))
+    out = out.join(starts.select(cell.alias("_cell"), "start", "rate"), "_cell", "left")
+    return out.withColumn("_rank", F.col("_place") + F.col("start")).drop("_place", "start", "_cell")
 
 
 def mix(docs: DataFrame, seed: str = "mix", draws: int = 16) -> DataFrame:
