@@ -35,7 +35,7 @@ def skew(gray: np.ndarray, reach: float = 20.0, step: float = 0.5) -> float:
     best, angle = -1.0, 0.0
     for a in np.arange(-reach, reach + step / 2, step):
         row = np.rint(y * np.cos(np.radians(a)) - x * np.sin(np.radians(a))).astype(int)
-        if (v := np.bincount(row - row.min()).var()) > best:
+        if (v := np.bincount(row - row.min(), minlength=2 * sum(half.shape)).var()) > best:
             best, angle = v, float(a)
     return angle if abs(angle) >= 0.5 else 0.0
 
