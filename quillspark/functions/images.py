@@ -33,7 +33,7 @@ def skew(gray: np.ndarray, reach: float = 20.0, step: float = 0.5) -> float:
     if not len(x):
         return 0.0
     best, angle = -1.0, 0.0
-    for a in np.arange(-reach, reach + step / 2, step):
+    for a in sorted(np.arange(-reach, reach + step / 2, step), key=abs):  # of like angles the smallest
         row = np.rint(y * np.cos(np.radians(a)) - x * np.sin(np.radians(a))).astype(int)
         if (v := np.bincount(row - row.min(), minlength=2 * sum(half.shape)).var()) > best:
             best, angle = v, float(a)
