@@ -95,5 +95,5 @@ def test_image_kernels():
     assert images.bordered(image, 10).shape == (40, 50) and images.inverted(image).shape == (20, 30, 3)
     assert images.morph(image, 3, False)[7, 5] == 0 and images.median_blur(image, 2).shape == image.shape
     rgba = np.zeros((4, 4, 4), np.uint8)
-    rgba[1:3, :, 3] = 255
-    assert images.composite(rgba).shape == (2, 4, 3)
+    rgba[1:4, :, 3] = 255
+    assert images.composite(rgba).shape == (3, 4, 3)
