@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import rows_of, staged, table, utf8
-from quillspark.llm.hashing import ODD, mixed, rolled, word_hashes
+from quillspark.llm.hashing import mixed, powers, rolled, word_hashes
 
 WINDOW, GRAM = 35, 8
 SHARD_CHARS = 2_000_000
@@ -63,7 +63,10 @@ def runs(words: list[bytes]) -> tuple[np.ndarray, ...]:
     whole, anchor = windows(words)
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.concatenate((first, [len(anchor)])))
-    content = mixed(whole[first] * ODD + mixed(whole[first + count - 1]) + count.astype(np.uint64))
+    # all windows of a run in order: where lines repeat, a run is as long as the repetition
+    up, down = powers(len(whole) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(whole) * up[: len(whole)])))
+    content = mixed((sums[first + count] - sums[first]) * down[first] + count.astype(np.uint64))
     twice = np.zeros(len(first), bool)
     order = np.argsort(whole, kind="stable")
     same = np.flatnonzero(whole[order[1:]] == whole[order[:-1]])

@@ -65,6 +65,32 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def windows_removed(held):
+    """doc_id, n_words, n_removed, kept_sha256 by brute force from (doc_id, words)."""
+    seen = Counter(tuple(w[s : s + 35]) for _, w in held for s in range(len(w) - 34))
+    out = []
+    for doc_id, w in held:
+        gone = {i for s in range(len(w) - 34) if seen[tuple(w[s : s + 35])] > 1 for i in range(s, s + 35)}
+        out.append((doc_id, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_substring_dedup_of_repeated_lines(spark):
+    """Near-copies that repeat a line and differ in the middle of the repetition."""
+    rng = random.Random(3)
+    text = lambda n: [f"r{rng.randint(0, 10**6)}" for _ in range(n)]
+    held = []
+    for _ in range(12):
+        near = text(40) + text(15) * 10 + text(40)
+        held.append((len(held), near))
+        for k in (100, 115):
+            held.append((len(held), [*near[:k], f"e{k}", *near[k + 1 :]]))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in held], "doc_id long, text string")
+    expected = windows_removed(held)
+    assert rows(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+    assert sum(0 < e[2] < e[1] for e in expected) > 20
+
+
 def shingle_sets(held):
     lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)]
     out = {}
