@@ -144,6 +144,8 @@ def located(shard: list[tuple[list[bytes], list[tuple[int, int]]]]) -> list[np.n
         for a, b in found:
             phrase = (b" " + b" ".join(words[a:b]) + b" ").decode("latin-1")
             automaton.add_word(phrase, (len(phrase), b - a))
+    if not len(automaton):  # an automaton without phrases cannot be searched
+        return [np.zeros(len(words), bool) for words, _ in shard]
     automaton.make_automaton()
     out = []
     for words, _ in shard:

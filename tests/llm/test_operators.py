@@ -91,6 +91,20 @@ def test_substring_dedup_of_repeated_lines(spark):
     assert sum(0 < e[2] < e[1] for e in expected) > 20
 
 
+def test_substring_dedup_of_stock_phrases(spark):
+    """Documents that share the anchor of their windows but no window."""
+    rng = random.Random(8)
+    text = lambda n: [f"r{rng.randint(0, 10**6)}" for _ in range(n)]
+    phrases = [text(10) for _ in range(12)]
+    held = [(2 * i + k, text(25) + p + text(25)) for i, p in enumerate(phrases) for k in range(2)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in held], "doc_id long, text string").coalesce(1)
+    anchors = [{int(a) for a in substring_dedup.windows([x.encode() for x in w])[1]} for _, w in held]
+    assert any(a & b for a, b in zip(anchors[::2], anchors[1::2], strict=True))
+    expected = windows_removed(held)
+    assert rows(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+    assert all(e[2] == 0 for e in expected)
+
+
 def shingle_sets(held):
     lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)]
     out = {}
