@@ -4,7 +4,10 @@ The word pairs of every document are joined by hash to the places where they sta
 the templates. A pair at word p that matches template place t votes for diagonal p - t.
 A diagonal with all votes of its template is an occurrence word for word. Neighbouring
 diagonals are merged, as an inserted or lost word moves the rest by one, and a merged
-span counts when enough of the template's pairs lie on it and its length fits.
+span counts when enough of the template's pairs lie on it and its length fits. Where
+words of a template recur close by, the merged span is too long: then the neighbouring
+diagonals of it that hold most of the template's places within the length count. One
+diagonal always fits.
 
 The template list is fixed, so it is broadcast; documents are exploded and pre-aggregated
 map side, and only one row for each document and voted diagonal is shuffled.
@@ -67,6 +70,21 @@ def facts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, base boolean, pairs int")
 
 
+def most_places(diagonals: Column, longest: Column) -> Column:
+    """Most places of a template on neighbouring diagonals (diagonal, low, high, places) that span no more than `longest` pairs."""
+
+    def longer(best: Column, x: Column) -> Column:
+        places = best["places"].bitwiseOR(x["places"])
+        begin, end = F.least(best["begin"], x["diagonal"] + x["low"]), F.greatest(best["end"], x["diagonal"] + x["high"])
+        most = F.when(end - begin + 1 <= longest, F.bit_count(places)).otherwise(best["most"])
+        return F.struct(places.alias("places"), begin.alias("begin"), end.alias("end"), most.alias("most"))
+
+    none = F.struct(F.lit(0).alias("places"), F.lit(2**31 - 1).alias("begin"), F.lit(-(2**31)).alias("end"), F.lit(0).alias("most"))
+    # diagonals are whole numbers; of those further apart than twice the length none fit
+    near = F.ceil(2 * longest).cast("int")
+    return F.array_max(F.transform(diagonals, lambda _, i: F.aggregate(F.slice(diagonals, i + 1, near), none, longer, lambda x: x["most"])))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     df = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
@@ -77,6 +95,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     # numbers only, so that the words are combined in a hash table and not sorted
     votes = df.groupBy("row", "template", (F.col("p") - F.col("t")).alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count("t").alias("votes"), F.min("t").alias("low"), F.max("t").alias("high"),
+        F.expr("bit_or(shiftleft(1, t))").alias("places"),
     )
     votes = votes.join(F.broadcast(facts(docs.sparkSession)), "template", "left")
     order = W.partitionBy("row", "template").orderBy("diagonal")
@@ -87,10 +106,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.count_if(full).alias("n_full"), F.min(F.when(full, F.col("diagonal"))).alias("first"), F.max(F.when(full, F.col("diagonal"))).alias("last"),
         F.sum("votes").alias("votes"), (F.max(F.col("diagonal") + F.col("high")) - F.min(F.col("diagonal") + F.col("low")) + 1).alias("length"),
+        F.array_sort(F.collect_list(F.when(~F.col("base"), F.struct("diagonal", "low", "high", "places")))).alias("diagonals"),
     )
     share = F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))
     fits = (share >= LEAST) & (F.col("length") <= LONGEST * F.col("pairs"))
-    mine = F.when(F.col("base"), F.when(F.col("n_full") > 0, F.lit(1.0))).otherwise(F.when(fits, share))
+    part = most_places(F.col("diagonals"), LONGEST * F.col("pairs")) / F.col("pairs")
+    mine = F.when(F.col("base"), F.when(F.col("n_full") > 0, F.lit(1.0))).when(fits, share)
+    mine = mine.when(share >= LEAST, F.when(part >= LEAST, part))
     named = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     spans = spans.withColumn("share", mine)
     return spans.groupBy("row").agg(

@@ -280,6 +280,14 @@ def test_licences(spark, docs, none):
     assert license_scan.license_scan(docs).count() == len(corpus()) and license_scan.license_scan(none).count() == 0
 
 
+def test_licences_with_recurring_words(spark):
+    """Words of a template that recur close to it take nothing from it."""
+    mit, again = "Released under the MIT License", " the MIT License" * 30
+    texts = [f"{mit} (the MIT License)", f"(the MIT License) {mit}", f"{again} {mit} {again}", again, f"Released under MIT License{again}", f"under the under the under the {mit}"]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in got] == [*[("mit", 1.0)] * 3, ("", 0.0), ("mit", 0.75), ("mit", 1.0)]
+
+
 def test_quality(docs, none):
     got = {r.doc_id: r for r in quality_rules.quality_filter(docs, ["doc_id", "lang", "source"]).collect()}
     for doc_id, text, *_ in corpus():
