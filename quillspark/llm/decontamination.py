@@ -9,6 +9,10 @@
     `COSINE` as candidates. Items are the query set, so they go to the executors.
 3.  A candidate is confirmed by its longest common subsequence with the item: `COPY` of
     the item's words, or `PARAPHRASE` of them and the item's last words, its answer.
+4.  A paraphrase between other words can lie under `COSINE`. So the second pass also looks
+    up each item's rarest words: whatever holds `PARAPHRASE` of an item holds so many of
+    them within one window. Such places are confirmed at every offset, so nothing that
+    step 3 would accept in some window is missed, and a share is that of the best window.
 
 What is gathered is ROWS sums for each partition, by row; the driver sees ROWS rows as
 wide as the benchmark's vocabulary.
@@ -32,9 +36,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import rows_of, table
 
-BLOCK, ROWS, RANK = 16, 256, 192
-COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.8, 0.6, 4
+BLOCK, ROWS, RANK = 16, 320, 256
+COSINE, COPY, PARAPHRASE, ANSWER = 0.55, 0.8, 0.6, 4
 CHUNK = 2048
+#: Of the fewest words that a confirmed window shares with an item, the part that is asked of its rarest words.
+RARE = 0.3
 #: Terms that are summed at a time.
 MOST_TERMS = 500_000
 MARKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -129,7 +135,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def common_subsequence(masks: dict[bytes, int], size: int, words: list[bytes], least: float) -> int:
     """Length of the longest common subsequence with the item whose word positions are in masks; 0 if under least."""
-    held = list(filter(None, map(masks.get, words)))
+    return longest(list(map(masks.get, words)), size, least)
+
+
+def longest(masks: list[int | None], size: int, least: float) -> int:
+    """The same for a text given by the masks of its words."""
+    held = list(filter(None, masks))
     if len(held) < least:  # a subsequence has no more words than these
         return 0
     full = v = (1 << size) - 1
@@ -142,7 +153,7 @@ def common_subsequence(masks: dict[bytes, int], size: int, words: list[bytes], l
 class Search:
     """Everything the second pass needs; as large as the benchmark."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], space: np.ndarray) -> None:
+    def __init__(self, items: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], space: np.ndarray, held: np.ndarray) -> None:
         self.items, self.vocabulary, self.space = items, vocabulary, space
         self.masks: list[dict[bytes, int]] = []
         queries, self.origin = [np.zeros((0, space.shape[1]), np.float32)], []
@@ -157,6 +168,19 @@ class Search:
             queries.append(folded)
             self.origin += [(i, k * BLOCK) for k in range(len(folded))]
         self.queries = unit(np.concatenate(queries)).T.copy()
+        #: Words of the windows in which an item is confirmed, and how many of its rarest words each holds at least.
+        self.window = np.array([len(words) + 3 * BLOCK for _, words in items], np.int64)
+        self.need = np.zeros(len(items), np.int64)
+        posted: list[list[int]] = [[] for _ in vocabulary]
+        for i, (_, words) in enumerate(items):
+            least = next(k for k in range(len(words) + 1) if k / len(words) >= PARAPHRASE)
+            self.need[i] = max(1, int(RARE * least))
+            rarest = sorted(ids_of(words, vocabulary).tolist(), key=lambda w: (held[w], w))[: len(words) - least + self.need[i]]
+            for w in set(rarest):
+                posted[w].append(i)
+        self.posted = np.array([i for x in posted for i in x], np.int64)
+        self.count = np.array([*map(len, posted), 0], np.int64)
+        self.first = np.cumsum(self.count) - self.count
 
     def confirm(self, words: list[bytes], item: int, start: int) -> float | None:
         """Share of the item that stands near word `start`, if it is enough."""
@@ -171,23 +195,78 @@ class Search:
                 return share
         return None
 
+    def places(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, lo, hi): the windows of texts (ids, -1 outside the vocabulary) that start at lo to hi may hold the item."""
+        if not len(self.posted) or not texts:
+            return
+        gap = int(self.window.max())
+        base = np.cumsum([0, *(len(ids) + gap for ids in texts)])
+        ids = np.concatenate(texts)
+        where = np.flatnonzero(self.count[ids])
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])[where]
+        ids = ids[where]
+        times = self.count[ids]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item = self.posted[np.repeat(self.first[ids], times) + within]
+        span = int(base[-1]) + gap
+        key = item * span + np.repeat(where + gap * owner, times)
+        key.sort()
+        item = key // span
+        last = np.arange(len(key)) + self.need[item] - 1
+        at = np.flatnonzero(last < len(key))
+        at = at[key[last[at]] - key[at] < self.window[item[at]]]
+        if not len(at):
+            return
+        item, hi = item[at], key[at] % span
+        lo = key[last[at]] % span - self.window[item] + 1
+        owner = np.searchsorted(base, hi, side="right") - 1
+        cut = np.flatnonzero((item[1:] != item[:-1]) | (owner[1:] != owner[:-1]) | (lo[1:] > hi[:-1])) + 1
+        begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
+        own = owner[begin]
+        yield from zip(own.tolist(), item[begin].tolist(), np.maximum(lo[begin] - base[own], 0).tolist(), (hi[end] - base[own]).tolist(), strict=True)
+
+    def best(self, words: list[bytes], item: int, lo: int, hi: int) -> float | None:
+        """Largest share that is enough, of the windows that start at lo to hi."""
+        own, size = self.items[item][1], int(self.window[item])
+        part = words[lo : hi + size]
+        masks = list(map(self.masks[item].get, part))
+        most = longest(masks, len(own), PARAPHRASE * len(own)) / len(own)  # no window of the part has more
+        if most < PARAPHRASE:
+            return None
+        n = ANSWER
+        answers = [j for j in range(len(part) - n + 1) if part[j : j + n] == own[-n:]] if len(own) > n else []
+        if most < COPY and not answers:
+            return None
+        found = 0.0
+        middle = (hi - lo) / 2
+        # a window that starts with a word the item lacks holds no more of it than the next one
+        for j in sorted((j for j in range(hi - lo + 1) if masks[j] or j == hi - lo), key=lambda j: abs(j - middle)):
+            share = longest(masks[j : j + size], len(own), PARAPHRASE * len(own)) / len(own)
+            if share > found and (share >= COPY or (share >= PARAPHRASE and any(j <= a <= j + size - n for a in answers))):
+                found = share
+                if found >= most:
+                    break
+        return found or None
+
     def found(self, texts: Iterable[str | None]) -> Iterator[dict[int, float]]:
         """For each text, the confirmed items with the share of their words; whole texts, passages in chunks."""
         held: list[list[bytes]] = []
+        known: list[np.ndarray] = []
         folded: list[np.ndarray] = []
         size = 0
         for text in texts:
             words = words_of(text)
             held.append(words)
-            folded.append(passages_folded(ids_of(words, self.vocabulary), self.space))
+            known.append(ids_of(words, self.vocabulary))
+            folded.append(passages_folded(known[-1], self.space))
             size += len(folded[-1])
             if size >= CHUNK:
-                yield from self._confirmed(held, folded)
-                held, folded, size = [], [], 0
+                yield from self._confirmed(held, known, folded)
+                held, known, folded, size = [], [], [], 0
         if held:
-            yield from self._confirmed(held, folded)
+            yield from self._confirmed(held, known, folded)
 
-    def _confirmed(self, held: list[list[bytes]], folded: list[np.ndarray]) -> Iterator[dict[int, float]]:
+    def _confirmed(self, held: list[list[bytes]], known: list[np.ndarray], folded: list[np.ndarray]) -> Iterator[dict[int, float]]:
         owner = np.repeat(np.arange(len(held)), [len(f) for f in folded])
         place = np.concatenate([np.arange(len(f)) for f in folded])
         passages = unit(np.concatenate(folded))
@@ -199,6 +278,9 @@ class Search:
                 hits = out[owner[i]]
                 if hits.get(item, 0) < 1 and (share := self.confirm(held[owner[i]], item, int(place[i]) * BLOCK - offset)):
                     hits[item] = max(share, hits.get(item, 0))
+        for i, item, lo, hi in self.places(known):
+            if out[i].get(item, 0) < 1 and (share := self.best(held[i], item, lo, hi)):
+                out[i][item] = max(share, out[i].get(item, 0))
         yield from out
 
 
@@ -208,16 +290,16 @@ def latent_search(docs: DataFrame, benchmark: DataFrame) -> Search:
     items = [(r.item_id, w) for r in listed if (w := words_of(r.text))]
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
     if not vocabulary:
-        return Search([], {}, np.zeros((0, 1), np.float32))
+        return Search([], {}, np.zeros((0, 1), np.float32), np.zeros(0))
     sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sketch(vocabulary), "row int, z binary")
     sums = {r.row: np.frombuffer(r.x) for r in sums.repartition("row").mapInArrow(_total, "row int, x binary").collect()}
     if not sums:
-        return Search([], {}, np.zeros((0, 1), np.float32))
+        return Search([], {}, np.zeros((0, 1), np.float32), np.zeros(0))
     weight = np.log((1 + sums[ROWS + 1][0]) / (1 + sums[ROWS]))
     weight = weight * weight  # rare words, which name a passage, outweigh those that name a language
     matrix = np.stack([sums[i] for i in range(ROWS)]) * weight
     right = np.linalg.svd(matrix, full_matrices=False)[2][:RANK]
-    return Search(items, vocabulary, (right * weight).T.astype(np.float32))
+    return Search(items, vocabulary, (right * weight).T.astype(np.float32), sums[ROWS])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -321,6 +321,41 @@ def test_decontamination(spark, docs, none):
     assert decontamination.leaks(docs, benchmark.limit(0)).count() == 0 and decontamination.leaks(none, benchmark).count() == 0
 
 
+def plain_share(text, item):
+    """Largest share of the item in a window of the text, if it is enough, by brute force."""
+    best = 0
+    for s in range(len(text)):
+        near = text[s : s + len(item) + 48]
+        if sum((Counter(near) & Counter(item)).values()) < 0.6 * len(item):
+            continue
+        row = [0] * (len(item) + 1)
+        for w in near:
+            last = row[:]
+            for k, x in enumerate(item):
+                row[k + 1] = last[k] + 1 if w == x else max(last[k + 1], row[k])
+        share = row[-1] / len(item)
+        answer = any(near[j : j + 4] == item[-4:] for j in range(len(near) - 3)) and len(item) > 4
+        if share >= 0.8 or share >= 0.6 and answer:
+            best = max(best, share)
+    return best
+
+
+def test_paraphrases_at_every_offset(spark):
+    """Shares by brute force of paraphrases inside texts of the benchmark's words, at offsets that fit no grid."""
+    rng = random.Random(12)
+    some = lambda n: [f"q{rng.randint(0, 400)}" for _ in range(n)]
+    items = [some(rng.choice((15, 20, 33, 48, 59))) for _ in range(20)]
+    texts = []
+    for offset in range(64):
+        own = items[offset % 20]
+        gone = set(rng.sample(range(len(own) - 4), int(len(own) * rng.choice((0.2, 0.3, 0.4)))))
+        texts.append(some(64 + offset) + [x if k not in gone else "q0" if k % 2 else f"z{k}" for k, x in enumerate(own)] + some(80))
+    expected = {(i, j): share for i, t in enumerate(texts) for j, own in enumerate(items) if (share := plain_share(t, own))}
+    frame = lambda lists, key: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lists)], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontamination.leaks(frame(texts, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == expected and len(expected) >= 60
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     d = "/root/testdata/sf0.001"
