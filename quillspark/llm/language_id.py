@@ -2,8 +2,12 @@
 
 Letter trigrams, hashed to `BUCKETS`, are counted per language over all labelled training
 documents. A document's trigrams are explained by a mixture of the languages; EM gives
-the proportions. The languages it is said to hold are the leading ones, as many as make
-the likelihood less a penalty for each language largest; the first is predicted.
+the proportions, run until they stand still. The set of languages it is said to hold is
+found by penalised likelihood: from the mixture of all, the language of the smallest
+share is taken out, the rest fitted again, down to a single one, and the set whose
+likelihood less a penalty for each language is largest is taken, as is any single language
+that beats it. The language of the largest share in that set is predicted; of equal shares
+the first by name.
 
 The model has one number for each language and bucket, whatever the corpus, and goes
 to the executors with the function. Documents train unless crc32 of their id as text is
@@ -29,27 +33,34 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import rows_of, table
 
 BUCKETS = 1 << 15
-SMOOTHING, ROUNDS, PENALTY, DONE = 0.1, 15, 2.0, 1e-3
+SMOOTHING, PENALTY = 0.1, 2.0
+#: EM ends when no proportion moves by DONE; it moves ever less, so ROUNDS only guards against rounding.
+DONE, ROUNDS = 1e-4, 10_000
 
 
 @cache
 def letters() -> np.ndarray:
-    """For each code point, whether it is a letter."""
-    table = np.zeros(0x110000, bool)
-    for a, b in ((0, 0x20000), (0x20000, 0x32000)):
-        table[a:b] = [unicodedata.category(chr(c))[0] in "LM" for c in range(a, b)]
+    """For each code point, whether it is a letter (general category L)."""
+    table = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+    table.flags.writeable = False
     return table
 
 
+@cache
+def word_parts() -> np.ndarray:
+    """For each code point, whether it stands within words: letters and the marks on them."""
+    return letters() | np.fromiter((unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
+
+
 def trigrams(text: str) -> np.ndarray:
     """Buckets of the letter trigrams of the lowered text; word bounds count as one blank. Empty if no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters()[points]
-    if not is_letter.any():
+    if not letters()[points].any():
         return np.zeros(0, np.int64)
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]
-    x = np.where(is_letter, points, 32)[keep].astype(np.uint32)
+    inside = word_parts()[points]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    x = np.where(inside, points, 32)[keep].astype(np.uint32)
     x = np.concatenate(([np.uint32(32)], x, [np.uint32(32)]))
     h = x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35)
     return ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)).astype(np.int64)
@@ -76,13 +87,16 @@ class Model:
     def __init__(self, names: list[str], counts: np.ndarray) -> None:
         self.names = names
         self.p = ((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)).T.astype(np.float64)
+        self.log_p = np.log(self.p)
 
     def mixture(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Proportions of the columns of p that explain n best."""
         share = np.full(p.shape[1], 1 / p.shape[1])
+        if len(share) == 1:
+            return share
+        total = n.sum()
         for _ in range(ROUNDS):
-            part = p * share
-            new = (n / part.sum(axis=1)) @ part / n.sum()
+            new = share * ((n / (p @ share)) @ p) / total
             done = np.abs(new - share).max() < DONE
             share = new
             if done:
@@ -94,33 +108,35 @@ class Model:
         found = trigrams(text) if text else np.zeros(0, np.int64)
         if not len(found) or not self.names:
             return []
-        at, n = np.unique(found, return_counts=True)
-        p = self.p[at]
-        share = self.mixture(p, n)
-        alone = n @ np.log(p)
-        first = int(np.lexsort((-share, -alone))[0])
-        order = np.array([first, *(i for i in np.argsort(-share, kind="stable") if i != first)], np.int64)
+        n = np.bincount(found, minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        n, p = n[at], self.p[at]
         price = PENALTY * np.log(n.sum() + 1)
-        best, chosen = alone[order[0]] - price, (order[:1], share[order[:1]])
-        for size in range(2, len(order) + 1):
-            few = order[:size]
-            if share[few[-1]] < 0.02:
-                break
-            s = self.mixture(p[:, few], n)
-            value = n @ np.log(p[:, few] @ s) - price * size
-            if value <= best:
-                break
-            best, chosen = value, (few, s)
+        alone = n @ self.log_p[at]
+        one = int(alone.argmax())
+        best, chosen = alone[one] - price, (np.array([one]), np.ones(1))
+        held = np.arange(len(self.names))
+        while len(held) > 1:
+            share = self.mixture(p[:, held], n)
+            value = n @ np.log(p[:, held] @ share) - price * len(held)
+            if value > best:
+                best, chosen = value, (held, share)
+            held = np.delete(held, share.argmin())
         ranked = sorted(zip(chosen[1], chosen[0], strict=True), key=lambda x: (-x[0], x[1]))
         return [(self.names[i], float(min(1.0, s))) for s, i in ranked]
 
 
 def trained(labelled: DataFrame) -> Model:
-    rows = counted(labelled).collect()  # at most BUCKETS rows for each language
-    names = sorted({r.lang for r in rows})
+    """The model of (text, lang). What comes to the driver, as Arrow, is bounded by languages times BUCKETS, whatever the corpus."""
+    rows = counted(labelled).toArrow()
+    langs = rows.column("lang").combine_chunks().dictionary_encode()
+    langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
+    found = langs.dictionary.to_pylist()
+    names = sorted(found)
+    place = np.array([names.index(x) for x in found], np.int64)
     counts = np.zeros((len(names), BUCKETS))
-    for r in rows:
-        counts[names.index(r.lang), r.bucket] = r.n
+    if len(rows):
+        counts[place[langs.indices.to_numpy()], rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return Model(names, counts)
 
 
