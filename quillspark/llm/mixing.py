@@ -1,25 +1,25 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document of a source has the same expected number of copies, target words over
-source words. Documents stand in one order within their source; the running sum of
-expected copies plus one random offset of the source crosses some integers at each
-document, and one copy is taken per crossing. Near sizes stand together in that order,
-so that what a source gives stays within about one document of its target.
-
-The running sum needs no task that sees a whole source: documents are ranked within
-small cells (source, size class, hash bucket), and cells are summed within source and
-class, then classes within source.
-
-Nulls: a null source is a source, last in order; a null text has size 0 and no copies
-that count words. Repeated rows are documents of their own. Extra columns are kept by
-`mix`. Sources of no words have target 0. The table of sources is small and is ranked
-in one task; documents are not.
+Documents stand in one order within their source; the running sum of their expected copies
+plus one random offset of the source crosses some integers at each document, and one copy
+is taken per crossing. Large documents stand first, in classes of near sizes. The expected
+copies are the same for all documents of a class: what is left of the target over the words
+that are left, 3 at most. So each class makes up for the crossings of the larger ones, and
+what a source gives stays near its target whatever the offset.
+
+The running sum needs no task that sees a whole source: documents are ranked within small
+cells (source, size class, hash bucket), cells are summed within source and class, and a
+source's classes, some two hundred at most, are folded in one row.
+
+Nulls: a null source is a source, last in order; a document without words, null texts among
+them, is never taken. Repeated rows are documents of their own; which of several with one
+doc_id and size is taken is not told apart. Extra columns are kept; those that are called
+like the columns of `mix` give way to them. Sources of no words have target 0. The table of
+sources is small and is ranked in one task; documents are not.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,12 +27,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import n_words, staged, table
 
 MOST_TIMES = 3
+#: Hexadecimal digits of the bucket: the cells of a source and class are some thousands at most.
+DIGITS = 3
 CELL = ("source", "_class", "_bucket")
-
-
-def hex_digits(n: int) -> int:
-    """Digits of the bucket name: about as many buckets as documents in a bucket."""
-    return max(2, ceil(log(max(n, 1), 16) / 2))
+ADDED = ("size", "source_size", "target", "copies")
 
 
 def size_class(size: Column) -> Column:
@@ -60,58 +58,64 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return df.select("source", "source_size", target.alias("target"))
 
 
-def offset(seed: str, draw: Column) -> Column:
-    """A number in [0, 1) of the seed, the source and the draw."""
-    name = F.concat_ws("|", F.lit(seed), draw.cast("string"), F.coalesce("source", F.lit("null")))
+def offset(seed: str) -> Column:
+    """The random number in [0, 1) of the seed and the source."""
+    name = F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("null")))
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def copies(u: Column) -> Column:
-    return (F.floor(u + F.col("_rank") * F.col("rate")) - F.floor(u + (F.col("_rank") - 1) * F.col("rate"))).cast("long")
+def crossed(start: Column, expected: Column) -> Column:
+    """Integers above start and up to start + expected."""
+    return F.floor(start + expected) - F.floor(start)
+
+
+def expectations(classes: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """(source, _class, start, rate, source_size, target): offset and running sum before a class, and the expected copies of each of its documents."""
+    listed = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.negative("_class").alias("c"), "n", "words"))).alias("classes"))
+    met = same_cell(listed, targets, ("source",)).withColumn("u", offset(seed))
+    none = F.array().cast("array<struct<_class: int, start: double, rate: double>>")
+    begin = F.struct(F.col("target").cast("double").alias("left"), F.col("source_size").cast("long").alias("words"), F.col("u").alias("at"), none.alias("out"))
+
+    def after(done: Column, c: Column) -> Column:
+        rate = F.when(done["words"] > 0, F.least(F.lit(float(MOST_TIMES)), F.greatest(F.lit(0.0), done["left"] / done["words"]))).otherwise(0.0)
+        taken = crossed(done["at"], c["n"] * rate).cast("double") * c["words"] / c["n"]
+        one = F.struct(F.negative(c["c"]).alias("_class"), done["at"].alias("start"), rate.alias("rate"))
+        return F.struct((done["left"] - taken).alias("left"), (done["words"] - c["words"]).alias("words"), (done["at"] + c["n"] * rate).alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+
+    met = met.select("source", "source_size", "target", F.explode(F.aggregate("classes", begin, after, lambda x: x["out"])).alias("c"))
+    return met.select("source", "c.*", "source_size", "target")
 
 
 def ranked(sized: DataFrame, starts: DataFrame) -> DataFrame:
-    """sized with _rank (from 1 within source) and the columns that starts has of the source.
+    """sized with _place (from 1 within source and class) and the columns that starts has of the cell.
 
     One key that is never null names the cell, so that the ranks and the join share one exchange.
     """
     cell = F.concat_ws("|", F.col("_class").cast("string"), "_bucket", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     out = sized.withColumn("_cell", cell)
-    out = out.withColumn("_place", F.row_number().over(W.partitionBy("_cell").orderBy("size", "doc_id")))
-    out = out.join(starts.select(cell.alias("_cell"), "start", "rate"), "_cell", "left")
-    return out.withColumn("_rank", F.col("_place") + F.col("start")).drop("_place", "start", "_cell")
-
+    out = out.withColumn("_in_cell", F.row_number().over(W.partitionBy("_cell").orderBy("size", "doc_id")))
+    out = out.join(starts.withColumn("_cell", cell).drop(*CELL), "_cell", "left")
+    return out.withColumn("_place", F.col("_in_cell") + F.col("before")).drop("_in_cell", "before", "_cell")
 
-def mix(docs: DataFrame, seed: str = "mix", draws: int = 16) -> DataFrame:
-    """docs with size (counted from text unless docs has it), source_size, target and copies.
 
-    A source's offset is that one of `draws` random ones which takes words nearest to its target.
-    """
-    digits = hex_digits(docs.count())
+def mix(docs: DataFrame, seed: str = "mix", size: Column | None = None) -> DataFrame:
+    """docs with size (`size`, or the words of text), source_size, target and copies."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
-    sized = docs if "size" in docs.columns else docs.withColumn("size", n_words("text"))
-    sized = sized.withColumns({"_class": size_class(F.col("size")), "_bucket": F.substring(key, 1, digits)})
-    slim = sized.select("doc_id", "size", *CELL)
-    slim = slim if "size" in docs.columns else staged(slim, "mix-sizes")
-    cells = staged(slim.groupBy(*CELL).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells")
+    own = [c for c in docs.columns if c not in ADDED]
+    size = F.coalesce(size, F.lit(0)).cast("long") if size is not None else n_words("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), "doc_id", "source", size.alias("size"))
+    rows = rows.withColumns({"_class": size_class(F.col("size")), "_bucket": F.substring(key, 1, DIGITS)})
+    cells = staged(rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells")
     classes = staged(cells.groupBy("source", "_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "mix-classes")
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    before = W.partitionBy("source").orderBy("_class").rowsBetween(W.unboundedPreceding, -1)
-    by_class = classes.withColumn("class_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "words")
-    by_class = staged(same_cell(by_class, targets.withColumn("rate", rate), ("source",)), "mix-starts")
+    by_class = staged(expectations(classes, targets, seed), "mix-expectations")
     inside = W.partitionBy("source", "_class").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = same_cell(cells.withColumn("start", F.coalesce(F.sum("n").over(inside), F.lit(0))), by_class, ("source", "_class"))
-    starts = staged(starts.select(*CELL, (F.col("start") + F.col("class_start")).alias("start"), "rate"), "mix-ranks")
-
-    numbers = F.array(*(F.sum(copies(offset(seed, F.lit(i))) * F.col("size")) for i in range(draws)))
-    taken = ranked(slim, starts).groupBy("source", "rate").agg(numbers.alias("taken"))
-    taken = same_cell(taken, targets, ("source",))
-    misses = F.transform("taken", lambda t, i: F.struct(F.abs(t - F.col("target")).alias("miss"), i.alias("draw")))
-    chosen = taken.select("source", "source_size", "target", F.array_min(misses)["draw"].alias("draw"))
-    out = same_cell(ranked(sized, starts), staged(chosen, "mix-draws"), ("source",))
-    out = out.withColumn("copies", copies(offset(seed, F.col("draw"))))
-    return out.select(*docs.columns, *(["size"] if "size" not in docs.columns else []), "source_size", "target", "copies")
+    starts = cells.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("n", "words")
+    starts = staged(same_cell(starts, by_class, ("source", "_class")), "mix-starts")
+    out = ranked(rows, starts)
+    so_far = F.col("start") + (F.col("_place") - 1) * F.col("rate")
+    copies = F.floor(F.col("start") + F.col("_place") * F.col("rate")) - F.floor(so_far)
+    return out.select("_row.*", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def same_cell(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -124,55 +128,50 @@ def same_cell(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataF
 
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken, numbered from 0 in `copy` (`_copy` if docs has one)."""
-    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
-    number = "_copy" if "copy" in docs.columns else "copy"
-    out = mix(rows, seed).filter(F.col("copies") > 0).select("_row", "copies")
-    return out.select("_row.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias(number))
+    """The mix itself: rows of docs, each as often as it is taken, numbered from 0 in `copy` (with underscores before it while docs has such a column)."""
+    number = "copy"
+    while number in docs.columns:
+        number = f"_{number}"
+    rows = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"))
+    out = mix(rows, seed).filter(F.col("copies") > 0).select("_own", "copies")
+    return out.select("_own.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias(number))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
-    return mix(staged(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("n"))
+    return mix(staged(docs, "mix-sizes"), size=F.col("n")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-ORACLE = """
-WITH base AS (
+ORACLE = f"""
+WITH RECURSIVE base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
-digits AS (SELECT CAST(greatest(2, ceil(ln(greatest(count(*), 1)) / ln(16) / 2)) AS BIGINT) AS k FROM base),
-sized AS (
-  SELECT doc_id, source, size, len(bin(size)) AS bits,
-    substr(md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))), 1, (SELECT k FROM digits)) AS bucket FROM base),
+sized AS (SELECT doc_id, source, size, len(bin(size)) AS bits, substr(md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))), 1, {DIGITS}) AS bucket FROM base),
 classed AS (SELECT *, bits * 8 + ((size >> greatest(bits - 4, 0)) & 7) AS class FROM sized),
-ranked AS (
-  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY class, bucket, size, doc_id) AS r FROM classed),
+ranked AS (SELECT doc_id, source, size, class, row_number() OVER (PARTITION BY source, class ORDER BY bucket, size, doc_id) AS place FROM classed),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 weighed AS (
-  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM sources),
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS i, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, {MOST_TIMES} * source_size AS cap FROM sources),
 levels AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0) AS DOUBLE)
       / CAST(sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS DOUBLE) AS level
   FROM weighed WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 filled AS (SELECT *, level * w > cap AS is_full FROM levels),
 targets AS (
-  SELECT source, source_size,
+  SELECT i, source, source_size,
     CASE WHEN is_full THEN CAST(cap AS DOUBLE)
-      ELSE (SELECT level FROM filled WHERE NOT is_full ORDER BY cap / w, source NULLS LAST LIMIT 1) * w END AS target
+      ELSE (SELECT level FROM filled WHERE NOT is_full ORDER BY cap / w, source NULLS LAST LIMIT 1) * w END AS target,
+    CAST(CAST('0x' || substr(md5(concat_ws('|', 'mix', coalesce(source, 'null'))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
   FROM filled),
-rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
-draws AS (
-  SELECT source, draw,
-    CAST(CAST('0x' || substr(md5(concat_ws('|', 'mix', CAST(draw AS VARCHAR), coalesce(source, 'null'))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
-  FROM sources, range(16) AS d(draw)),
-tried AS (
-  SELECT x.source, d.draw, d.u,
-    sum(CAST(floor(d.u + r * rate) - floor(d.u + (r - 1) * rate) AS BIGINT) * size) AS taken, any_value(target) AS target
-  FROM ranked AS x JOIN rates AS t ON x.source IS NOT DISTINCT FROM t.source
-    JOIN draws AS d ON x.source IS NOT DISTINCT FROM d.source GROUP BY ALL),
-chosen AS (
-  SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), draw) = 1)
-SELECT doc_id, size, source_size, rates.target,
-  CAST(floor(u + r * rate) - floor(u + (r - 1) * rate) AS BIGINT) * size AS taken
-FROM ranked JOIN rates ON ranked.source IS NOT DISTINCT FROM rates.source
-  JOIN chosen ON ranked.source IS NOT DISTINCT FROM chosen.source
+classes AS (
+  SELECT i, class, CAST(count(*) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (PARTITION BY i ORDER BY class DESC) AS k
+  FROM ranked JOIN targets ON ranked.source IS NOT DISTINCT FROM targets.source GROUP BY i, class),
+walk(i, k, class, start, rate, rest, words, after) AS (
+  SELECT i, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), target, source_size, u FROM targets
+  UNION ALL
+  SELECT i, k, class, after, rate, rest - CAST(floor(after + n * rate) - floor(after) AS DOUBLE) * w / n, words - w, after + n * rate
+  FROM (SELECT c.i, c.k, CAST(c.class AS BIGINT) AS class, c.n, c.words AS w, walk.after, walk.rest, walk.words,
+      CASE WHEN walk.words > 0 THEN least({MOST_TIMES}.0, greatest(CAST(0 AS DOUBLE), walk.rest / walk.words)) ELSE CAST(0 AS DOUBLE) END AS rate
+    FROM walk JOIN classes AS c ON c.i = walk.i AND c.k = walk.k + 1))
+SELECT doc_id, size, source_size, target, CAST(floor(start + place * rate) - floor(start + (place - 1) * rate) AS BIGINT) * size AS taken
+FROM ranked JOIN targets ON ranked.source IS NOT DISTINCT FROM targets.source JOIN walk ON walk.i = targets.i AND walk.class = ranked.class
 """
