@@ -2,11 +2,15 @@
 
 One Python pass measures each document. Quantile sketches of the measures
 (`percentile_approx`, merged map side first) give an upper and a lower fence per
-language and source; groups with few documents use the fence of their language,
-or that of all documents. The fences are joined back and filter.
-
-Nulls: a null text is an empty one, and fails; a null language or source is a
-group of its own. Repeated rows are judged each. Extra columns are ignored.
+language and source: REACH interquartile ranges off the quartiles, and no cutoff is
+fixed. A group's quartiles are drawn towards those of its language, and these towards
+those of all documents, as if PRIOR documents more stood there, so a group of any size
+has its fence by the same rule. Where nearly all documents agree the range is nothing;
+the least range then leaves room for a few odd signs. The fences are joined back and filter.
+
+Nulls: a null text is an empty one, and fails; a null language or source is a group of
+its own. Values at a fence are kept. Repeated rows are judged each. Extra columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import rows_of, staged, table, utf8
 
 SYMBOLS = b"#*$%&|<>"
-#: Measure: its upper fence never stands below this, so that groups of like documents lose none.
-FENCES = {"symbol_ratio": 0.05, "dup_line_ratio": 0.50, "word_length": 14.0}
-LEAST_LENGTH = 2.0
+#: Measure and its least interquartile range.
+FENCES = {"symbol_ratio": 0.0025, "dup_line_ratio": 0.05, "word_length": 0.1}
+REACH, PRIOR = 8.0, 50
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
@@ -98,28 +102,32 @@ def with_ratios(df: DataFrame) -> DataFrame:
     )
 
 
-def fences(df: DataFrame, least: int = 50, reach: float = 4.0, accuracy: int = 1000) -> DataFrame:
+def fences(df: DataFrame, accuracy: int = 10000) -> DataFrame:
     """Fences by lang and source, by lang, and for all; `level` tells them apart (0 is the finest).
 
-    The quantiles come from documents that pass the base rules. A fence stands
-    `reach` interquartile ranges off the quartiles; groups of fewer than `least`
-    documents give none.
+    The quartiles come from documents that pass the base rules.
     """
-    quantiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(f"_{m}") for m in FENCES]
-    parts = []
-    for level, keys in enumerate((["lang", "source"], ["lang"], [])):
-        part = df.filter(~base_failed()).groupBy(*keys).agg(F.count("*").alias("_n"), *quantiles)
-        part = part.filter((F.col("_n") >= least) | F.lit(level == 2))
-        for missing in {"lang", "source"} - set(keys):
-            part = part.withColumn(missing, F.lit(None).cast("string"))
-        parts.append(part.withColumn("level", F.lit(level)))
+    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in FENCES]
+    passing = df.filter(~base_failed())
+    at = passing.agg(*quartiles).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), *FENCES)
+    parts = [at.withColumn("level", F.lit(2))]
+    for level, keys in ((1, ["lang"]), (0, ["lang", "source"])):
+        group = passing.groupBy(*keys).agg(F.count("*").alias("_n"), *quartiles)
+        above = at.select(F.col("lang").alias("_lang"), *(F.col(m).alias(f"_{m}") for m in FENCES))
+        # the table above has one row, or one for each language
+        group = group.join(F.broadcast(above), F.lit(True) if level == 1 else F.col("lang").eqNullSafe(F.col("_lang")))
+        drawn = lambda m: F.zip_with(m, f"_{m}", lambda x, y: (F.col("_n") * x + PRIOR * y) / (F.col("_n") + PRIOR))
+        source = F.col("source") if level == 0 else F.lit(None).cast("string").alias("source")
+        at = group.select("lang", source, *(drawn(m).alias(m) for m in FENCES))
+        parts.append(at.withColumn("level", F.lit(level)))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    for m, floor in FENCES.items():
-        low, high = F.col(f"_{m}")[0], F.col(f"_{m}")[1]
-        out = out.withColumn(f"{m}_max", F.greatest(F.lit(floor), high + reach * (high - low)))
-    low, high = F.col("_word_length")[0], F.col("_word_length")[1]
-    out = out.withColumn("word_length_min", F.least(F.lit(LEAST_LENGTH), low - reach * (high - low)))
-    return out.select("level", "lang", "source", *(f"{m}_max" for m in FENCES), "word_length_min")
+    limits = []
+    for m, least in FENCES.items():
+        low, high = F.col(m)[0], F.col(m)[1]
+        limits.append((high + REACH * F.greatest(high - low, F.lit(least))).alias(f"{m}_max"))
+        if m == "word_length":
+            limits.append((low - REACH * F.greatest(high - low, F.lit(least))).alias(f"{m}_min"))
+    return out.select("level", "lang", "source", *limits)
 
 
 def judged(df: DataFrame, limits: DataFrame) -> DataFrame:
@@ -151,10 +159,10 @@ def quality_filter(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns, whatever those are called."""
-    limits = staged(fences(with_ratios(staged(measured(docs, ["lang", "source"]), "quality-measures"))), "quality-fences")
-    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
-    return judged(measured(rows, ["_row", "lang", "source"]), limits).filter("kept").select("_row.*")
+    """The documents that are kept, with their own columns, whatever those are called; each text is measured once."""
+    rows = docs.select("text", "lang", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    base = staged(measured(rows, ["_row", "lang", "source"]), "quality-measures")
+    return judged(base, staged(fences(with_ratios(base)), "quality-fences")).filter("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +170,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _fence_sql(level: int, keys: str, least: int) -> str:
-    names = {"lang, source": "lang, source", "lang": "lang, NULL AS source", "": "NULL AS lang, NULL AS source"}[keys]
-    q = lambda m, p: f"quantile_disc({m}, {p})"
-    top = ", ".join(f"greatest({floor}, {q(m, 0.75)} + 4 * ({q(m, 0.75)} - {q(m, 0.25)})) AS {m}_max" for m, floor in FENCES.items())
-    low = f"least({LEAST_LENGTH}, {q('word_length', 0.25)} - 4 * ({q('word_length', 0.75)} - {q('word_length', 0.25)})) AS word_length_min"
-    return f"SELECT {level} AS level, {names}, {top}, {low} FROM judged WHERE NOT base_failed {f'GROUP BY {keys}' if keys else ''} HAVING count(*) >= {least}"
+def _quartiles() -> str:
+    return ", ".join(f"quantile_disc({m}, {p}) AS {m}_{k}" for m in FENCES for k, p in (("lo", 0.25), ("hi", 0.75)))
+
+
+def _drawn() -> str:
+    return ", ".join(f"(g.n * g.{m}_{k} + {PRIOR} * a.{m}_{k}) / (g.n + {PRIOR}) AS {m}_{k}" for m in FENCES for k in ("lo", "hi"))
+
+
+def _bad() -> str:
+    spread = {m: f"{REACH} * greatest({m}_hi - {m}_lo, {least})" for m, least in FENCES.items()}
+    return " OR ".join([*(f"{m} > {m}_hi + {spread[m]}" for m in FENCES), f"word_length < word_length_lo - {spread['word_length']}"])
 
 
 ORACLE = f"""
@@ -186,9 +199,16 @@ measured AS (
 judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(n_symbols AS DOUBLE) / greatest(word_chars, 1) AS symbol_ratio,
     CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_ratio, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS word_length FROM measured),
-fences AS ({_fence_sql(0, "lang, source", 50)} UNION ALL {_fence_sql(1, "lang", 50)} UNION ALL {_fence_sql(2, "", 1)}),
+passing AS (SELECT * FROM judged WHERE NOT base_failed),
+every AS (SELECT {_quartiles()} FROM passing),
+by_lang AS (SELECT lang, {_drawn()} FROM (SELECT lang, count(*) AS n, {_quartiles()} FROM passing GROUP BY lang) AS g CROSS JOIN every AS a),
+by_source AS (
+  SELECT g.lang, source, {_drawn()} FROM (SELECT lang, source, count(*) AS n, {_quartiles()} FROM passing GROUP BY lang, source) AS g
+  JOIN by_lang AS a ON a.lang IS NOT DISTINCT FROM g.lang),
+fences AS (
+  SELECT 0 AS level, * FROM by_source UNION ALL SELECT 1, lang, NULL, * EXCLUDE (lang) FROM by_lang UNION ALL SELECT 2, NULL, NULL, * FROM every),
 met AS (
-  SELECT j.*, symbol_ratio > symbol_ratio_max OR dup_line_ratio > dup_line_ratio_max OR word_length > word_length_max OR word_length < word_length_min AS bad
+  SELECT j.*, {_bad()} AS bad
   FROM judged AS j LEFT JOIN fences AS f ON (level = 0 AND f.lang IS NOT DISTINCT FROM j.lang AND f.source IS NOT DISTINCT FROM j.source)
     OR (level = 1 AND f.lang IS NOT DISTINCT FROM j.lang) OR level = 2
   QUALIFY row_number() OVER (PARTITION BY j.id ORDER BY level) = 1)

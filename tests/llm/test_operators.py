@@ -355,6 +355,17 @@ def test_quality(docs, none):
     assert quality_rules.quality_filter(none, ["doc_id", "lang", "source"]).count() == 0 and quality_rules.accepted(none).count() == 0
 
 
+def test_quality_fences_follow_the_data(spark):
+    """One fixed cutoff cannot give this: what is odd in a source of plain prose is common in one of tables, in groups large and small."""
+    rng = random.Random(5)
+    prose = lambda n, k, sign: " ".join(f"w{rng.randint(0, 10**6)}" + (sign if i < k else "") for i in range(n))
+    held = [("en", "plain", prose(100, i % 2, "#")) for i in range(1500)] + [("en", "table", prose(100, 20 + i % 20, "|")) for i in range(300)]
+    held += [("en", "plain", prose(100, 30, "#")), ("en", "table", prose(100, 30, "#")), ("en", "rare", prose(100, 25, "|")), ("en", "plain", prose(100, 0, "") + " " + "x" * 900)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(held)], "doc_id long, lang string, source string, text string")
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_filter(df, ["doc_id", "lang", "source"]).collect()}
+    assert all(kept[i] for i in range(1800)) and [kept[1800 + i] for i in range(4)] == [False, True, False, False]
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(6)
     item = lambda n: " ".join(f"q{rng.randint(0, 400)}" for _ in range(n))
