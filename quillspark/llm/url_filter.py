@@ -7,9 +7,10 @@ and a rule holds when the URL has all of its tokens. Rules made of common tokens
 rare, so hot hosts meet few rules. The longest fixed rule that fits goes first.
 
 Labels: a page is bad when `labels` has it (by id) with quality 0 or toxic 1; pages
-without labels teach nothing. Nulls: a null URL, or one without "://", has empty host and
+without labels teach nothing. Rules are pruned by support and confidence, whatever their
+length. A URL's verdict is the same for all rows that hold it. Nulls: a null URL, or one without "://", has empty host and
 path, no tokens and the verdict allow. Repeated rows are judged each; of repeated labels
-the bad one counts. Extra columns are not read. Without labels there are no mined rules.
+the bad one counts. Extra columns are not read, whatever they are called. Without labels there are no mined rules.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed rules: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 BAD = "label=bad"
-SUPPORT, CONFIDENCE, MOST_ITEMS = 0.005, 0.6, 4
+SUPPORT, CONFIDENCE = 0.005, 0.6
 
 
 def host(url: Column) -> Column:
@@ -35,12 +36,19 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: host=<label> for each label of the host, path=<part> for each lettered part of the path."""
-    named = lambda kind, parts: F.transform(parts, lambda x: F.concat(F.lit(kind), x))
-    of_host = F.filter(F.split(host, r"\."), lambda x: x != "")
-    of_path = F.filter(F.split(F.translate(path, UPPER, LOWER), "[^a-z]+"), lambda x: x != "")
-    return F.array_distinct(F.concat(named("host=", of_host), named("path=", of_path)))
+def tokens(url: Column) -> Column:
+    """Distinct tokens of the whole URL: host=<label> for each label of the host, path=, query= and part=<run> for each run of letters and digits after it."""
+
+    def named(kind: str, text: Column, parting: str) -> Column:
+        return F.transform(F.filter(F.split(text, parting), lambda x: x != ""), lambda x: F.concat(F.lit(kind), x))
+
+    rest = lambda pattern: F.lower(F.coalesce(F.regexp_extract(url, pattern, 1), F.lit("")))
+    runs = r"[^\p{L}\p{N}]+"
+    parts = (
+        named("host=", host(url), r"\."), named("path=", F.lower(path(url)), runs),
+        named("query=", rest(r"://[^?#]*\?([^#]*)"), runs), named("part=", rest(r"://[^#]*#(.*)"), runs),
+    )
+    return F.array_distinct(F.concat(*parts))
 
 
 def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
@@ -56,8 +64,7 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     """(items, confidence, support) from (tokens, bad)."""
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support).fit(baskets.filter(F.size("items") > 0)).freqItemsets
-    found = found.filter(F.size("items") <= MOST_ITEMS + 1).select(F.array_sort("items").alias("items"), "freq")
-    found = staged(found, "url-itemsets")
+    found = staged(found.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     bad = found.filter(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("n_bad"))
     rules = bad.filter(F.size("items") > 0).join(found, "items").withColumn("confidence", F.col("n_bad") / F.col("freq"))
     return rules.filter(F.col("confidence") >= confidence).select("items", "confidence", F.col("n_bad").alias("support"))
@@ -73,8 +80,7 @@ def posted(rules: DataFrame, labelled: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence (of the best mined rule that holds, else null)."""
     h, p = host(F.col("url")), path(F.col("url"))
-    parts = pages.select("page_id", h.alias("host"), p.alias("path"))
-    parts = parts.withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    parts = pages.select("page_id", h.alias("host"), p.alias("path"), tokens(F.col("url")).alias("tokens"))
     marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     labelled = staged(parts.join(marks.filter("bad IS NOT NULL"), "page_id").select("tokens", "bad"), "url-labelled")
     index = staged(posted(mined_rules(labelled), labelled), "url-rules")

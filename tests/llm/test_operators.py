@@ -1,6 +1,7 @@
 """Brute force and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -321,6 +322,31 @@ def test_urls(spark):
     assert url_filter.url_filter(pages.limit(0), labels).count() == 0
 
 
+def test_rules_of_any_length(spark, docs):
+    """Rules by brute force; one of five tokens of which no four are bad enough."""
+    rng = random.Random(7)
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    urls = [f"http://x.org/{'/'.join(names)}?k={i}#Ä{i % 2}" for i in range(12)]
+    urls += [f"http://x.org/{'/'.join(n for n in names if n != gone)}?k={i}" for gone in names for i in range(12)]
+    urls += [f"http://{rng.choice('xyz')}.org/{rng.choice(names)}" for _ in range(60)]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, tokens string, items string")
+    labels = spark.createDataFrame([(i, int(i >= 12), 0) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, labels).collect()}
+    assert got == {i: "block" if i < 12 else "allow" for i in range(len(urls))}
+    listed = [(url.split("/")[2].split("."), re.findall(r"[a-zä0-9]+", url.split("/", 3)[3].lower().split("?")[0])) for url in urls]
+    baskets = [({f"host={h}" for h in hosts} | {f"path={x}" for x in parts}, i < 12) for i, (hosts, parts) in enumerate(listed)]
+    frame = spark.createDataFrame([(sorted(b), bad) for b, bad in baskets], "tokens array<string>, bad boolean")
+    rules = {tuple(r["items"]): (r.support, round(r.confidence, 9)) for r in url_filter.mined_rules(frame).collect()}
+    every = sorted({x for b, _ in baskets for x in b})
+    expected = {}
+    for k in range(1, 8):
+        for items in itertools.combinations(every, k):
+            held = [bad for b, bad in baskets if b.issuperset(items)]
+            if held and sum(held) >= 0.005 * len(baskets) and sum(held) >= 0.6 * len(held):
+                expected[items] = (sum(held), round(sum(held) / len(held), 9))
+    assert rules == expected and max(map(len, rules)) >= 5
+
+
 def test_licences(spark, docs, none):
     texts = ["Licensed under CC BY-NC 4.0. All Rights\nReserved; cc by!", "all rights are reserved", "Released under MIT License", "the GNU general public license, general-public LICENSE", None, "", "cc"]
     got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
