@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }

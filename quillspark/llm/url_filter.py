@@ -98,3 +98,36 @@ def url_filter(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     return url_filter(pages.select("page_id", "url"), labels).drop("confidence")
+
+
+def _fits_sql() -> str:
+    rows = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    rule, verdict = (" ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{x}'" for h, p, v in rows for x in ((h + p) if k else v,)) for k in (1, 0))
+    return f"CASE {rule} END AS rule, CASE {verdict} END AS fixed"
+
+
+#: Every subset of every basket is counted, which is slow but says the same as FP-growth.
+ORACLE = f"""
+WITH parts AS (
+  SELECT row_number() OVER () AS id, page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '://[^?#]*\\?([^#]*)', 1), '') AS query,
+    coalesce(regexp_extract(url, '://[^#]*#(.*)', 1), '') AS part FROM pages),
+held AS (
+  SELECT id, page_id, host, path, list_sort(list_distinct(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host=' || x)
+    || list_transform(list_filter(string_split_regex(lower(path), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: 'path=' || x)
+    || list_transform(list_filter(string_split_regex(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: 'query=' || x)
+    || list_transform(list_filter(string_split_regex(lower(part), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: 'part=' || x))) AS tokens FROM parts),
+marks AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id HAVING bool_or(quality = 0 OR toxic = 1) IS NOT NULL),
+baskets AS (SELECT tokens, bad FROM held JOIN marks ON doc_id = page_id WHERE bad OR len(tokens) > 0),
+subsets AS (
+  SELECT list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items, bad FROM (SELECT tokens, bad, unnest(range(1, 1 << len(tokens))) AS m FROM baskets)),
+rules AS (
+  SELECT items FROM subsets GROUP BY items
+  HAVING count(*) FILTER (bad) >= greatest(1, ceil({SUPPORT} * (SELECT count(*) FROM baskets))) AND count(*) FILTER (bad) >= {CONFIDENCE} * count(*)),
+met AS (
+  SELECT DISTINCT id FROM (SELECT id, list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items FROM (SELECT id, tokens, unnest(range(1, 1 << len(tokens))) AS m FROM held))
+  SEMI JOIN rules USING (items)),
+judged AS (SELECT held.*, met.id IS NOT NULL AS mined, {_fits_sql()} FROM held LEFT JOIN met ON met.id = held.id)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN mined THEN 'block' ELSE 'allow' END) AS verdict FROM judged
+"""

@@ -448,7 +448,8 @@ def test_paraphrases_at_every_offset(spark):
 def test_oracles(spark, name):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
+    for name_ in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM read_parquet('{d}/{name_}.parquet')")
     result = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in result.description]
     plain = lambda rs: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rs)
