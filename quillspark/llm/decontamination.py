@@ -17,28 +17,40 @@
 What is gathered is ROWS sums for each partition, by row; the driver sees ROWS rows as
 wide as the benchmark's vocabulary.
 
-Nulls: a null text or item has no words and matches nothing; hits of a row without
-doc_id have none either. Repeated rows are each reported; repeated items too. Texts are
-read whole. Extra columns are ignored by `leaks` and kept by `decontaminated`.
+Terms weigh by the square of their inverse document frequency, smoothed so that a word of
+all passages still counts. The models go to the executors for `ITEMS` items at a time, so what
+is sent is bounded; a larger benchmark takes further passes.
+
+Nulls: a null text or item has no words and matches nothing, nor does an item of fewer than
+`LEAST_WORDS` words, which any text may hold by chance; hits of a row without doc_id have
+none either. Repeated rows are each reported; repeated items too. Ids may be of any type.
+Of equal shares in several windows one is reported. Texts are read whole. Extra columns are
+ignored by `leaks` and kept by `decontaminated`, whatever they are called.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.common import rows_of, table
 
 BLOCK, ROWS, RANK = 16, 320, 256
 COSINE, COPY, PARAPHRASE, ANSWER = 0.55, 0.8, 0.6, 4
-CHUNK = 2048
+#: Passages that are compared at a time, and blocks whose vectors are summed at a time.
+CHUNK, PART = 2048, 512
+#: Items that are searched for at a time, and the words that an item has at least.
+ITEMS, LEAST_WORDS = 5000, 8
 #: Of the fewest words that a confirmed window shares with an item, the part that is asked of its rarest words.
 RARE = 0.3
 #: Terms that are summed at a time.
@@ -51,8 +63,19 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(MARKS).split() if text else []
 
 
-def ids_of(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
+def ids_of(words: Iterable[bytes], vocabulary: dict[bytes, int], n: int) -> np.ndarray:
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, n)
+
+
+def gridded(held: list[list[bytes]], vocabulary: dict[bytes, int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the words of texts (-1 outside the vocabulary), in rows of `width` that each belong to one text; the rows of each text; all ids."""
+    sizes = np.array([len(words) for words in held], np.int64)
+    ids = ids_of(chain.from_iterable(held), vocabulary, int(sizes.sum()))
+    rows = np.maximum(1, -(-sizes // width))
+    shift = width * (np.cumsum(rows) - rows) - (np.cumsum(sizes) - sizes)
+    grid = np.full(int(rows.sum()) * width, -1, np.int32)
+    grid[np.arange(len(ids)) + np.repeat(shift, sizes)] = ids
+    return grid.reshape(-1, width), rows, ids
 
 
 def _sketch(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -61,37 +84,38 @@ def _sketch(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, passages = np.zeros(ROWS * width, np.float32), np.zeros(width, np.int64), 0
-        flat, signs, terms, n, held_terms = [], [], [], 0, 0
+        texts, seeds, size = [], [], 0
 
         def add() -> None:
-            nonlocal held
-            np.add(rows, np.bincount(np.concatenate(flat), np.concatenate(signs), ROWS * width), out=rows, casting="unsafe")
-            held += np.bincount(np.unique(np.concatenate(terms)) % width, minlength=width)
+            nonlocal held, passages
+            grid, count, _ = gridded(texts, vocabulary, 2 * BLOCK)
+            within = np.arange(len(grid)) - np.repeat(np.cumsum(count) - count, count)
+            mix = (within.astype(np.uint64) + np.repeat(np.array(seeds, np.uint64) << np.uint64(20), count)) * np.uint64(0x9E3779B97F4A7C15)
+            mix ^= mix >> np.uint64(29)
+            mix *= np.uint64(0xBF58476D1CE4E5B9)
+            grid.sort(axis=1)
+            known = grid >= 0
+            ids = grid[known]
+            of = np.repeat(np.arange(len(grid)), known.sum(axis=1))
+            row, sign = (mix >> np.uint64(40)).astype(np.int64) % ROWS * width, np.where(mix >> np.uint64(63), 1.0, -1.0)
+            np.add(rows, np.bincount(row[of] + ids, sign[of], ROWS * width), out=rows, casting="unsafe")
+            known[:, 1:] &= grid[:, 1:] != grid[:, :-1]  # each word of a passage once
+            held += np.bincount(grid[known], minlength=width)
+            passages += len(grid)
 
         for batch in batches:
             for (text,) in zip(batch.column(0)):  # noqa: B905
                 text = text.as_py()
                 words = words_of(text)
-                if not words:
-                    continue
-                ids = ids_of(words, vocabulary)
-                at = np.flatnonzero(ids >= 0)
-                ids, block = ids[at].astype(np.int64), at // (2 * BLOCK)
-                mix = (block.astype(np.uint64) + np.uint64(zlib.crc32(text.encode("utf-8", "replace")) << 20)) * np.uint64(0x9E3779B97F4A7C15)
-                mix ^= mix >> np.uint64(29)
-                mix *= np.uint64(0xBF58476D1CE4E5B9)
-                flat.append((mix >> np.uint64(40)).astype(np.int64) % ROWS * width + ids)
-                signs.append(np.where(mix >> np.uint64(63), 1.0, -1.0))
-                terms.append((n + block) * width + ids)
-                n += len(words) // (2 * BLOCK) + 1
-                held_terms += len(ids)
-                if held_terms > MOST_TERMS:
+                if words:
+                    texts.append(words)
+                    seeds.append(zlib.crc32(text.encode("utf-8", "replace")))
+                    size += len(words)
+                if size > MOST_TERMS:
                     add()
-                    passages += n
-                    flat, signs, terms, n, held_terms = [], [], [], 0, 0
-        if flat:
+                    texts, seeds, size = [], [], 0
+        if texts:
             add()
-            passages += n
         if not passages:
             return
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -110,27 +134,37 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "x"])
 
 
-def blocks_folded(ids: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Latent vectors of the blocks of a text; ids are -1 outside the vocabulary."""
-    out = np.zeros((max(1, -(-len(ids) // BLOCK)), space.shape[1]), np.float32)
-    at = np.flatnonzero(ids >= 0)
-    if len(at):
-        block = at // BLOCK
-        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        out[block[first]] = np.add.reduceat(space[ids[at]], first)
+def folded(grid: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Latent vectors of the rows of grid: the sums of their words' vectors, one word of every row at a time."""
+    ordered = -np.sort(-grid, axis=1)  # words of the vocabulary first
+    count = (ordered >= 0).sum(axis=1)
+    order = np.argsort(-count, kind="stable")
+    ordered, many = ordered[order].T.copy(), np.searchsorted(-count[order], -np.arange(grid.shape[1]))
+    out = np.zeros((len(grid), space.shape[1]), np.float32)
+    part = np.empty((PART, space.shape[1]), np.float32)
+    for at in range(0, len(grid), PART):
+        for k, m in enumerate(many.tolist()):
+            n = min(m - at, PART)
+            if n <= 0:
+                break
+            np.take(space, ordered[k, at : at + n], axis=0, out=part[:n], mode="clip")
+            out[at : at + n] += part[:n]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def passages_folded(grid: np.ndarray, count: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Latent vectors of the passages of texts, two blocks each, one block apart; the last one of a text is a single block."""
+    out = folded(grid, space)
+    last = np.zeros(len(out), bool)
+    last[np.cumsum(count) - 1] = True
+    np.add(out[:-1], out[1:], out=out[:-1], where=~last[:-1, None])
     return out
 
 
-def passages_folded(ids: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Latent vectors of the passages, two blocks each, one block apart; the last one may be a single block."""
-    out = blocks_folded(ids, space)
-    if len(out) > 1:
-        out[:-1] += out[1:]
-    return out
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
 def common_subsequence(masks: dict[bytes, int], size: int, words: list[bytes], least: float) -> int:
@@ -162,12 +196,13 @@ class Search:
             for k, w in enumerate(words):
                 masks[w] = masks.get(w, 0) | 1 << k
             self.masks.append(masks)
-            folded = passages_folded(ids_of(words, vocabulary), space)
+            found = passages_folded(*gridded([words], vocabulary, BLOCK)[:2], space)
             # a last passage of few words is within the one before it
-            folded = folded[: max(1, len(folded) - 1)]
-            queries.append(folded)
-            self.origin += [(i, k * BLOCK) for k in range(len(folded))]
-        self.queries = unit(np.concatenate(queries)).T.copy()
+            found = found[: max(1, len(found) - 1)]
+            queries.append(found)
+            self.origin += [(i, k * BLOCK) for k in range(len(found))]
+        queries = np.concatenate(queries)
+        self.queries = (queries / np.maximum(norms(queries), 1e-9)[:, None]).T.copy()
         #: Words of the windows in which an item is confirmed, and how many of its rarest words each holds at least.
         self.window = np.array([len(words) + 3 * BLOCK for _, words in items], np.int64)
         self.need = np.zeros(len(items), np.int64)
@@ -175,7 +210,7 @@ class Search:
         for i, (_, words) in enumerate(items):
             least = next(k for k in range(len(words) + 1) if k / len(words) >= PARAPHRASE)
             self.need[i] = max(1, int(RARE * least))
-            rarest = sorted(ids_of(words, vocabulary).tolist(), key=lambda w: (held[w], w))[: len(words) - least + self.need[i]]
+            rarest = sorted(ids_of(words, vocabulary, len(words)).tolist(), key=lambda w: (held[w], w))[: len(words) - least + self.need[i]]
             for w in set(rarest):
                 posted[w].append(i)
         self.posted = np.array([i for x in posted for i in x], np.int64)
@@ -249,30 +284,28 @@ class Search:
         return found or None
 
     def found(self, texts: Iterable[str | None]) -> Iterator[dict[int, float]]:
-        """For each text, the confirmed items with the share of their words; whole texts, passages in chunks."""
+        """For each text, the confirmed items with the share of their words; whole texts, about CHUNK passages at a time."""
         held: list[list[bytes]] = []
-        known: list[np.ndarray] = []
-        folded: list[np.ndarray] = []
         size = 0
         for text in texts:
-            words = words_of(text)
-            held.append(words)
-            known.append(ids_of(words, self.vocabulary))
-            folded.append(passages_folded(known[-1], self.space))
-            size += len(folded[-1])
+            held.append(words_of(text))
+            size += len(held[-1]) // BLOCK + 1
             if size >= CHUNK:
-                yield from self._confirmed(held, known, folded)
-                held, known, folded, size = [], [], [], 0
+                yield from self._confirmed(held)
+                held, size = [], 0
         if held:
-            yield from self._confirmed(held, known, folded)
-
-    def _confirmed(self, held: list[list[bytes]], known: list[np.ndarray], folded: list[np.ndarray]) -> Iterator[dict[int, float]]:
-        owner = np.repeat(np.arange(len(held)), [len(f) for f in folded])
-        place = np.concatenate([np.arange(len(f)) for f in folded])
-        passages = unit(np.concatenate(folded))
+            yield from self._confirmed(held)
+
+    def _confirmed(self, held: list[list[bytes]]) -> Iterator[dict[int, float]]:
+        grid, count, ids = gridded(held, self.vocabulary, BLOCK)
+        known = np.split(ids, np.cumsum([len(words) for words in held])[:-1])
+        owner = np.repeat(np.arange(len(held)), count)
+        place = np.arange(len(grid)) - np.repeat(np.cumsum(count) - count, count)
+        passages = passages_folded(grid, count, self.space)
+        least = COSINE * np.maximum(norms(passages), 1e-9)
         out: list[dict[int, float]] = [{} for _ in held]
         for at in range(0, len(passages), CHUNK):
-            p, q = np.nonzero(passages[at : at + CHUNK] @ self.queries >= COSINE)
+            p, q = np.nonzero(passages[at : at + CHUNK] @ self.queries >= least[at : at + CHUNK, None])
             for i, k in zip((p + at).tolist(), q.tolist(), strict=True):
                 item, offset = self.origin[k]
                 hits = out[owner[i]]
@@ -284,10 +317,17 @@ class Search:
         yield from out
 
 
-def latent_search(docs: DataFrame, benchmark: DataFrame) -> Search:
-    """Both models of docs (text) for the items of benchmark (item_id, text), the query set."""
-    listed = benchmark.select("item_id", F.col("text").cast("string").alias("text")).orderBy("item_id", "text").collect()
-    items = [(r.item_id, w) for r in listed if (w := words_of(r.text))]
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items of benchmark (item_id, text) that are long enough, as id and words, at most about ITEMS at a time."""
+    listed = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    blocks = max(1, -(-listed.count() // ITEMS))
+    for block in range(blocks):
+        part = listed.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else listed
+        yield [(r.item_id, w) for r in part.orderBy("item_id", "text").collect() if len(w := words_of(r.text)) >= LEAST_WORDS]
+
+
+def latent_search(docs: DataFrame, items: list[tuple[object, list[bytes]]]) -> Search:
+    """Both models of docs (text) for a block of items."""
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
     if not vocabulary:
         return Search([], {}, np.zeros((0, 1), np.float32), np.zeros(0))
@@ -295,35 +335,44 @@ def latent_search(docs: DataFrame, benchmark: DataFrame) -> Search:
     sums = {r.row: np.frombuffer(r.x) for r in sums.repartition("row").mapInArrow(_total, "row int, x binary").collect()}
     if not sums:
         return Search([], {}, np.zeros((0, 1), np.float32), np.zeros(0))
-    weight = np.log((1 + sums[ROWS + 1][0]) / (1 + sums[ROWS]))
+    weight = np.log((2 + sums[ROWS + 1][0]) / (1 + sums[ROWS]))  # above 0 even for a word of all passages
     weight = weight * weight  # rare words, which name a passage, outweigh those that name a language
     matrix = np.stack([sums[i] for i in range(ROWS)]) * weight
     right = np.linalg.svd(matrix, full_matrices=False)[2][:RANK]
-    return Search(items, vocabulary, (right * weight).T.astype(np.float32), sums[ROWS])
+    return Search(items, vocabulary, np.ascontiguousarray((right * weight).T, np.float32), sums[ROWS])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): the items that stand in a document, with the share of their words found in order."""
-    search = latent_search(docs, benchmark)
-    sent = docs.sparkSession.sparkContext.broadcast(search)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kinds = [f.dataType.simpleString() for f in (base.schema["doc_id"], benchmark.schema["item_id"])]
+    schema = StructType([base.schema["doc_id"], benchmark.schema["item_id"], StructField("share", DoubleType())])
+    out = None
+    for items in item_blocks(benchmark):
+        found = base.mapInArrow(_leaks(docs.sparkSession.sparkContext.broadcast(latent_search(docs, items)), to_arrow_schema(schema)), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
+
+def _leaks(sent: Broadcast[Search], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = sent.value.found(x.as_py() for x in batch.column(1)) if sent.value.items else ()
             rows = [(d, sent.value.items[i][0], s) for d, hits in zip(batch.column(0).to_pylist(), found) for i, s in sorted(hits.items())]  # noqa: B905
             columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["doc_id", "item_id", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types, strict=True)], ["doc_id", "item_id", "share"])
 
-    return base.mapInArrow(run, f"doc_id {kinds[0]}, item_id long, share double")
+    return run
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds an item."""
-    search = latent_search(docs, benchmark)
-    sent = docs.sparkSession.sparkContext.broadcast(search)
+    out = docs
+    for items in item_blocks(benchmark):
+        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(latent_search(docs, items))), docs.schema)
+    return out
+
 
+def _clean(sent: Broadcast[Search]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not sent.value.items:
@@ -332,7 +381,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             texts = (x.as_py() for x in batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([not hits for hits in sent.value.found(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

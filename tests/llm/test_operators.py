@@ -409,6 +409,25 @@ def test_decontamination(spark, docs, none):
     assert decontamination.leaks(docs, benchmark.limit(0)).count() == 0 and decontamination.leaks(none, benchmark).count() == 0
 
 
+def test_decontamination_of_odd_tables(spark):
+    """Ids that are texts, items too short to tell, a corpus whose words are all in all passages, ties, and further blocks of items."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    benchmark = spark.createDataFrame([("a", item), ("b", item), ("c", "water"), ("d", "the cat drank some"), (None, "q " * 9)], "item_id string, text string")
+    df = spark.createDataFrame([("x", item, 1), ("x", item, 2), (None, f"{item} {item}", 3), ("y", None, 4)], "doc_id string, text string, share int")
+    found = [("x", "a", 1.0), ("x", "a", 1.0), ("x", "b", 1.0), ("x", "b", 1.0), (None, "a", 1.0), (None, "b", 1.0)]
+    assert rows(decontamination.leaks(df, benchmark), "doc_id", "item_id", "share") == sorted(found, key=repr)
+    assert decontamination.leaks(df.filter("share = 1"), benchmark).count() == 2
+    water = spark.createDataFrame([("z", "the cat drank some water")], "doc_id string, text string")
+    assert decontamination.leaks(water, benchmark).count() == 0
+    assert [r.share for r in decontamination.decontaminated(df, benchmark).collect()] == [4]
+    whole, decontamination.ITEMS = decontamination.ITEMS, 2
+    try:
+        assert rows(decontamination.leaks(df, benchmark), "doc_id", "item_id", "share") == sorted(found, key=repr)
+        assert [r.share for r in decontamination.decontaminated(df, benchmark).collect()] == [4]
+    finally:
+        decontamination.ITEMS = whole
+
+
 def plain_share(text, item):
     """Largest share of the item in a window of the text, if it is enough, by brute force."""
     best = 0
