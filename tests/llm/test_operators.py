@@ -305,6 +305,34 @@ def test_html(spark):
     assert html_extraction.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_regions():
+    """The ratio decides where marks say nothing or too much."""
+    text = html_extraction.main_text
+    long = "A long paragraph of the text, which goes on and on. " * 6
+    assert text(f'<body><div class="content no-sidebar"><div class="sidebar-left"><article><p>{long}</p><p>More.</p></article></div></div>') == f"{long.strip()}\nMore."
+    rows_ = f'<p>{long}</p><table><tr class="ad"><td>Buy<tr><td>One<td>Two</td></tr></table><p>{long}</p>'
+    assert text(f"<body>{rows_}") == f"{long.strip()}\nOne\nTwo\n{long.strip()}"
+    assert text(f"<body><article><p>{long}</article><nav>x</nav><aside>y</aside><article><p>Two.</p></article>") == f"{long.strip()}\nTwo."
+    short = ["The title", "One.", "Two.", "Three.", "Four.", long.strip(), "Short.", "Mid line.", "e", "f", "Final sentence."]
+    assert text("<body><h1>" + "</p><p>".join(short)) == "\n".join(short)
+    # no element or word marks the menu, the shop and the imprint
+    menu = '<div><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></div>'
+    page = f"<body>{menu}<div><h1>Title</h1><div><p>{long}</p><p>Yes.</p><p><a href=/x>a link</a></p><p>{long}</p></div></div><div><p>Shop</p><p>Cart</p></div>"
+    assert text(page) == f"Title\n{long.strip()}\nYes.\n{long.strip()}"
+    assert text(f'<body><article><p>{long}</p></article><section id="comments"><article><p>{long * 3}</p></article></section>') == long.strip()
+
+
+def test_html_of_pages_without_article(spark):
+    """The same text as with the element, on all pages."""
+    found = [(html_extraction.main_text(r.html), html_extraction.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html or ""))) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert sum(a == b for a, b in found) >= 0.99 * len(found) and sum(a != "" for a, _ in found) > 0.9 * len(found)
+
+
+def test_html_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x", "t", 5)] * 2, "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extraction.extracted(df).collect()] == [(1, "u", "x", 1)] * 2
+
+
 def test_urls(spark):
     urls = ["http://a.COM/x?y", "https://example.com/en/1", "http://www.example.com/en/", "http://m.www.example.com/en/a#b", "ftp://x.net/es/", "x.net/fr/", "http://a.net/fr", "http://net/fr/z", None, "://", "http://com", "http://xcom/"]
     urls += [f"http://bad{i % 3}.org/spam/{i}" for i in range(60)] + [f"http://good{i % 3}.org/news/{i}" for i in range(60)]
