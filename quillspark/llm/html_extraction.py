@@ -220,15 +220,16 @@ def region(lines: list[Line], up: list[int], tag: list[str], content: np.ndarray
     whole = [n for n in around if tag[n] in ROOTS]
     root = whole[-1] if whole else root
     kept = []
-    for line, path in zip(lines, paths, strict=True):
+    held = [i for i, path in enumerate(paths) if content[i] and root in path]
+    for i, (line, path) in enumerate(zip(lines, paths, strict=True)):
         if root not in path:
             kept.append(False)
         elif any(tag[n] in ROOTS for n in path):
             kept.append(True)
         else:
             part = path[path.index(root) - 1] if path[0] != root else root
-            own = part == root or several[part] == 1
-            kept.append((own or has_content[part]) and line.plain >= LINKS * len(line.text))
+            own = part == root or several[part] == 1 or (held and held[0] < i < held[-1])
+            kept.append(bool(own or has_content[part]) and line.plain >= LINKS * len(line.text))
     first = kept.index(True) if True in kept else 0
     if first and not whole and tag[lines[first - 1].node] in HEADINGS:
         kept[first - 1] = True
