@@ -393,6 +393,16 @@ def test_licences_with_recurring_words(spark):
     assert [(r.labels, r.score) for r in got] == [*[("mit", 1.0)] * 3, ("", 0.0), ("mit", 0.75), ("mit", 1.0)]
 
 
+def test_licences_verified(spark):
+    """Distinct places in the template's order; whole licence texts; a common word pair all over a text."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    texts = ["the mit license the mit license", "mit license the the mit under the released under", "released quietly under the very MIT License", mit + ' (the "Software"), to deal in the Software',
+             "x of the " * 3000 + mit + ", to deal in the Software without restriction " + "of the software " * 3000,
+             "Permission to use, copy, modify, or distribute this software for any purpose with or without any fee is hereby granted, provided that this copyright notice and this permission notice appear in all copies"]
+    got = license_scan.license_scan(spark.createDataFrame([(i, t, "a", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, label string, score double")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["", "", "", "mit", "mit", "isc"] and got[3].score > 0.8 and 0.7 <= got[5].score < 1
+
+
 def test_quality(docs, none):
     got = {r.doc_id: r for r in quality_rules.quality_filter(docs, ["doc_id", "lang", "source"]).collect()}
     for doc_id, text, *_ in corpus():
