@@ -1,23 +1,29 @@
 """Removal of word windows that occur more than once in a corpus.
 
-Method: find recurring passages, confirm them, compile them into Aho-Corasick automata,
-one per shard of documents, and stream the documents through to locate every occurrence.
+Method: find recurring passages, confirm them, compile them into sharded Aho-Corasick
+automata, and stream the documents through these to locate every occurrence.
 
 1.  Each document's windows of `WINDOW` words fall into runs that share their smallest
     gram hash (their anchor). Equal windows have equal anchors, so only anchors that
     occur twice are followed. Anchors are counted with map-side combining and joined
     back, never gathered; a run is a few words wide whatever the document's length.
 2.  Runs of an anchor that are equal throughout recur as a whole. Where runs of an
-    anchor differ, their windows are counted one by one, each distinct run once.
-3.  The confirmed passages of a shard of documents make one automaton. It is run over
-    the shard's documents, and every match is removed. Shards hold a bounded number of
-    characters, so memory does not grow with the corpus.
-
-Windows are compared by 128 bits of hashes (anchor and window).
+    anchor differ, their windows are counted one by one, each distinct run once. A
+    distinct run is written out as text by one document that holds it; what recurs of
+    it is a confirmed passage.
+3.  Documents are dealt to shards of about `SHARD_BYTES`. A document can only hold
+    passages of its own anchors, so a posting of anchors and shards tells which passages
+    each shard has to look for; those make its automata, of at most `MOST_CHARS`
+    characters at a time. The documents of the shard are streamed through each, and the
+    words under all matches are removed. The matches alone decide; a document whose
+    anchors no other has meets no passage and is done before.
+
+Windows are compared by 128 bits of hashes (anchor and window), passages literally.
 
 Nulls and empty texts have no words: nothing removed, the hash of the empty string.
 A null doc_id stays null. Repeated rows are each other's copies. Extra columns are not
-read. Very long texts are processed whole; a shard may then be a single document.
+read, whatever they are called. Very long texts are processed whole; a shard may then be
+a single document.
 """
 
 from __future__ import annotations
@@ -36,10 +42,9 @@ from quillspark.llm.common import rows_of, staged, table, utf8
 from quillspark.llm.hashing import mixed, powers, rolled, word_hashes
 
 WINDOW, GRAM = 35, 8
-SHARD_CHARS = 2_000_000
-RUN = pa.struct([("m", pa.int64()), ("rc", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
-CHECK = pa.struct([("m", pa.int64()), ("w", pa.int64()), ("s", pa.int32()), ("weight", pa.int32())])
-RANGE = pa.struct([("s", pa.int32()), ("n", pa.int32())])
+SHARD_BYTES, MOST_CHARS = 8 << 20, 2_000_000
+RUN = "struct<m: long, rc: long, s: int, n: int, twice: boolean>"
+PHRASE = "struct<m: long, rc: long, whole: boolean, weight: int, text: binary, windows: array<long>>"
 
 
 def smallest(x: np.ndarray, width: int) -> np.ndarray:
@@ -82,18 +87,19 @@ def list_array(lengths: list[int], values: pa.Array) -> pa.ListArray:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts, lengths = [], []
+        parts, lengths, sizes = [], [], []
         for (text,) in rows_of(batch, ["text"]):
+            sizes.append(len(text))
             words = text.split()
             if len(words) < WINDOW:
                 lengths.append(0)
                 continue
             parts.append(runs(words))
             lengths.append(len(parts[-1][0]))
-        kinds = [RUN.field(i) for i in range(5)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] or [[] for _ in kinds]
-        values = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], fields=kinds)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(lengths, values)], ["doc_id", "th", "runs"])
+        values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["m", "rc", "s", "n", "twice"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), list_array(lengths, values)], ["doc_id", "th", "size", "runs"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,92 +109,132 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], ["doc_id", "th", "z"])
 
 
+def written(words: list[bytes], run: dict, whole: np.ndarray | None) -> dict:
+    """A distinct run as text, with the hashes of its windows where these are to be counted."""
+    s, n = run["s"], run["n"]
+    again = run["k"] > 1
+    return {
+        "m": run["m"], "rc": run["rc"], "whole": again, "weight": (2 if again else 1) if run["differ"] else 0,
+        "text": b" ".join(words[s : s + n + WINDOW - 1]), "windows": whole[s : s + n].tolist() if run["differ"] else [],
+    }
+
+
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without live runs are done; of the others, whole ranges and the windows to be counted."""
+    """Documents without live anchors are done; the others go on with their anchors and write out the runs that fall to them."""
     unpacker = zstandard.ZstdDecompressor()
-    names = ["doc_id", "th", "n_words", "kept_sha256", "z", "ranges", "checks"]
+    names = ["doc_id", "n_words", "kept_sha256", "z", "anchors", "phrases"]
+    phrase = pa.struct([("m", pa.int64()), ("rc", pa.int64()), ("whole", pa.bool_()), ("weight", pa.int32()), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
     for batch in batches:
-        n_words, hashes, kept, ranges, checks = [], [], [], [], []
-        for z, live in rows_of(batch, ["z", "live"]):
+        n_words, hashes, kept, phrases = [], [], [], []
+        for z, anchors, firsts in rows_of(batch, ["z", "anchors", "firsts"]):
             words = unpacker.decompress(z).split() if z else []
             n_words.append(len(words))
-            done = not live
-            hashes.append(hashlib.sha256(b" ".join(words)).hexdigest() if done else None)
-            kept.append(None if done else z)
-            ranges.append([{"s": x["s"], "n": x["n"]} for x in live or () if x["whole"]])
-            checks.append([])
-            if any(x["weight"] for x in live or ()):
-                whole = windows(words)[0].view(np.int64)
-                for x in live:
-                    if x["weight"]:
-                        checks[-1] += [{"m": x["m"], "w": int(w), "s": x["s"] + i, "weight": x["weight"]} for i, w in enumerate(whole[x["s"] : x["s"] + x["n"]])]
-        columns = [pa.array(n_words, pa.int64()), pa.array(hashes, pa.string()), pa.array(kept, pa.binary()), pa.array(ranges, pa.list_(RANGE)), pa.array(checks, pa.list_(CHECK))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
-
-
-def passages(n_windows: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal word ranges (start, end) that ranges of windows (first, number) cover without a gap between windows."""
-    edge = np.zeros(n_windows + 1, np.int64)
-    for s, n in ranges:
-        edge[s] += 1
-        edge[s + n] -= 1
-    inside = np.concatenate(([0], np.cumsum(edge)[:-1] > 0, [0])).astype(np.int8)
+            hashes.append(None if anchors else hashlib.sha256(b" ".join(words)).hexdigest())
+            kept.append(z if anchors else None)
+            whole = windows(words)[0].view(np.int64) if any(x["differ"] for x in firsts or ()) else None
+            phrases.append([written(words, x, whole) for x in firsts or ()])
+        columns = [pa.array(n_words, pa.int64()), pa.array(hashes, pa.string()), pa.array(kept, pa.binary())]
+        anchors = batch.column(batch.schema.get_field_index("anchors"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, anchors, pa.array(phrases, pa.list_(phrase))], names)
+
+
+def passages(n_windows: int, found: list[int]) -> list[tuple[int, int]]:
+    """Maximal word ranges (start, end) that the windows found cover without a gap between windows."""
+    inside = np.zeros(n_windows + 2, np.int8)
+    inside[np.array(found) + 1] = 1
     turn = np.flatnonzero(np.diff(inside))
     return [(int(a), int(b) + WINDOW - 1) for a, b in zip(turn[::2], turn[1::2], strict=True)]
 
 
-def located(shard: list[tuple[list[bytes], list[tuple[int, int]]]]) -> list[np.ndarray]:
-    """For each document (words, its confirmed passages) of the shard, which words lie in a passage of the shard."""
-    automaton = ahocorasick.Automaton()
-    for words, found in shard:
-        for a, b in found:
-            phrase = (b" " + b" ".join(words[a:b]) + b" ").decode("latin-1")
-            automaton.add_word(phrase, (len(phrase), b - a))
-    if not len(automaton):  # an automaton without phrases cannot be searched
-        return [np.zeros(len(words), bool) for words, _ in shard]
-    automaton.make_automaton()
-    out = []
-    for words, _ in shard:
-        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        start_of = {}
-        at = 0
-        for i, w in enumerate(words):
-            start_of[at] = i
-            at += len(w) + 1
-        edge = np.zeros(len(words) + 1, np.int64)
-        for end, (size, n) in automaton.iter(text):
-            i = start_of[end - size + 1]
-            edge[i] += 1
-            edge[i + n] -= 1
-        out.append(np.cumsum(edge)[:-1] > 0)
-    return out
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of a run whose windows recur."""
+    for batch in batches:
+        ms, texts = [], []
+        for m, text, found in rows_of(batch, ["m", "text", "found"]):
+            words = text.split(b" ")
+            for a, b in passages(len(words) - WINDOW + 1, found):
+                ms.append(m)
+                texts.append(b" ".join(words[a:b]))
+        yield pa.RecordBatch.from_arrays([pa.array(ms, pa.int64()), pa.array(texts, pa.binary())], ["m", "text"])
+
+
+class Shard:
+    """Documents, and the places in them where passages were found; passages are searched for by one automaton after the other."""
+
+    def __init__(self) -> None:
+        self.ids: list[object] = []
+        self.texts: list[str] = []
+        self.edges: list[np.ndarray] = []  # by word: +1 where matches begin, -1 after their ends
+        self.automaton, self.chars = ahocorasick.Automaton(), 0
+
+    def add_document(self, doc_id: object, words: list[bytes]) -> None:
+        self.ids.append(doc_id)
+        self.texts.append((b" " + b" ".join(words) + b" ").decode("latin-1"))
+        self.edges.append(np.zeros(len(words) + 1, np.int32))
+
+    def add_passage(self, text: bytes) -> None:
+        phrase = f" {text.decode('latin-1')} "
+        self.automaton.add_word(phrase, len(phrase))
+        self.chars += len(phrase)
+        if self.chars >= MOST_CHARS:
+            self.search()
+
+    def search(self) -> None:
+        if not self.chars:  # an automaton without phrases cannot be searched
+            return
+        self.automaton.make_automaton()
+        for text, edge in zip(self.texts, self.edges, strict=True):
+            found = list(self.automaton.iter(text))
+            if found:
+                ends, sizes = np.array(found, np.int64).T
+                blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)  # one before each word, one at the end
+                edge += np.bincount(np.searchsorted(blanks, ends - sizes + 1), minlength=len(edge)).astype(np.int32)
+                edge -= np.bincount(np.searchsorted(blanks, ends), minlength=len(edge)).astype(np.int32)
+        self.automaton, self.chars = ahocorasick.Automaton(), 0
+
+    def results(self) -> Iterator[tuple[object, int, int, str]]:
+        """doc_id, n_words, n_removed, kept_sha256 of each document."""
+        self.search()
+        for doc_id, text, edge in zip(self.ids, self.texts, self.edges, strict=True):
+            words = text.encode("latin-1").split()
+            gone = (np.cumsum(edge)[:-1] > 0).tolist()
+            kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+            yield doc_id, len(words), sum(gone), hashlib.sha256(kept).hexdigest()
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard, its documents before its passages."""
     unpacker = zstandard.ZstdDecompressor()
+    shard, at, kind = Shard(), None, pa.null()
 
-    def flush(ids: list, shard: list) -> pa.RecordBatch:
-        marks = located(shard)
-        removed = [int(m.sum()) for m in marks]
-        kept = [hashlib.sha256(b" ".join(w for w, gone in zip(words, m.tolist(), strict=True) if not gone)).hexdigest() for (words, _), m in zip(shard, marks, strict=True)]
-        columns = [pa.array(ids, kind), pa.array([len(w) for w, _ in shard], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def out(shard: Shard) -> pa.RecordBatch:
+        columns = list(zip(*shard.results(), strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     for batch in batches:
-        kind = batch.column(0).type
-        ids, shard, chars = [], [], 0
-        for doc_id, z, ranges, more in rows_of(batch, ["doc_id", "z", "ranges", "more"]):
-            words = unpacker.decompress(z).split()
-            got = [(x["s"], x["n"]) for x in ranges] + [(s, 1) for s in more or ()]
-            found = passages(len(words) - WINDOW + 1, got)
-            ids.append(doc_id)
-            shard.append((words, found))
-            chars += sum(len(w) + 1 for a, b in found for w in words[a:b])
-            if chars > SHARD_CHARS:
-                yield flush(ids, shard)
-                ids, shard, chars = [], [], 0
-        if ids:
-            yield flush(ids, shard)
+        kind = batch.column(batch.schema.get_field_index("doc_id")).type
+        for number, passage, doc_id, body in rows_of(batch, ["shard", "passage", "doc_id", "body"]):
+            if number != at:
+                if shard.ids:
+                    yield out(shard)
+                shard, at = Shard(), number
+            if passage:
+                shard.add_passage(body)
+            else:
+                shard.add_document(doc_id, unpacker.decompress(body).split())
+    if shard.ids:
+        yield out(shard)
+
+
+def confirmed(phrases: DataFrame) -> DataFrame:
+    """(m, text): the distinct passages that recur, from the distinct runs (m, rc, whole, weight, text, windows)."""
+    checks = phrases.filter("weight > 0").select("m", "rc", "weight", F.posexplode("windows").alias("i", "w"))
+    recurring = checks.groupBy("m", "w").agg(F.sum("weight").alias("k")).filter("k > 1").select("m", "w")
+    # staged, so that both sides of the join are exchanges and large partitions can be split
+    found = checks.filter("weight = 1").join(staged(recurring, "passages-recurring"), ["m", "w"], "left_semi")
+    found = found.groupBy("m", "rc").agg(F.collect_list("i").alias("found"))
+    parts = phrases.filter("weight = 1").select("m", "rc", "text").join(found, ["m", "rc"]).mapInArrow(_cut, "m long, text binary")
+    return phrases.filter("whole").select("m", "text").union(parts).distinct()
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -196,8 +242,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     key = f"doc_id {id_type}, th long"
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), utf8("text").alias("text"))
-    run_type = "struct<m: long, rc: long, s: int, n: int, twice: boolean>"
-    by_doc = staged(base.mapInArrow(_runs, f"{key}, runs array<{run_type}>"), "passages-runs")
+    by_doc = staged(base.mapInArrow(_runs, f"{key}, size long, runs array<{RUN}>"), "passages-runs")
+    shards = max(1, -(-(by_doc.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
     each = by_doc.select("doc_id", "th", F.explode("runs").alias("r")).select("doc_id", "th", "r.*")
 
     anchors = each.groupBy("m").agg(F.count("*").alias("k"), F.min("rc").alias("low"), F.max("rc").alias("high"), F.max("twice").alias("again"))
@@ -205,31 +251,27 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     # staged, so that both sides of each join are exchanges and large partitions can be split
     anchors = staged(anchors.select("m", ((F.col("low") != F.col("high")) | F.col("again")).alias("differ")), "passages-anchors")
     live = staged(each.drop("twice").join(anchors, "m"), "passages-live")
-    place = F.struct("doc_id", "th", "s")
-    distinct = live.filter("differ").groupBy("m", "rc").agg(F.count("*").alias("k"), F.min(place).alias("first"))
-    differ = live.filter("differ").join(staged(distinct, "passages-distinct"), ["m", "rc"])
-    first = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.th") == F.col("th")) & (F.col("first.s") == F.col("s"))
-    weight = F.when(F.col("k") == 1, 1).when(first, 2).otherwise(0)
-    status = live.filter(~F.col("differ")).withColumns({"whole": F.lit(True), "weight": F.lit(0)}).unionByName(
-        differ.withColumns({"whole": F.col("k") > 1, "weight": weight}).drop("k", "first")
-    )
-    lists = status.groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "s", "n", "whole", "weight")).alias("live"))
+    distinct = live.groupBy("m", "rc").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "th", "s", "n", "differ")).alias("f"))
+    run = F.struct("m", "rc", "f.s", "f.n", "f.differ", "k")
+    # the anchors of a document, and the distinct runs that it is the first to hold
+    lists = live.select("doc_id", "th", "m", F.lit(None).cast(distinct.select(run).schema[0].dataType).alias("run"))
+    lists = lists.unionByName(distinct.select("f.doc_id", "f.th", F.lit(None).cast("long").alias("m"), run.alias("run")))
+    lists = lists.groupBy("doc_id", "th").agg(F.collect_set("m").alias("anchors"), F.collect_list("run").alias("firsts"))
     packed = base.mapInArrow(_pack, f"{key}, z binary")
     on = packed["doc_id"].eqNullSafe(lists["doc_id"]) & (packed["th"] == lists["th"])
-    met = packed.join(lists, on, "left").select(packed["doc_id"], packed["th"], "z", "live")
-    schema = f"{key}, n_words long, kept_sha256 string, z binary, ranges array<struct<s: int, n: int>>, checks array<struct<m: long, w: long, s: int, weight: int>>"
-    met = staged(met.mapInArrow(_expand, schema), "passages-met")
-
-    checks = met.select("doc_id", "th", F.explode("checks").alias("c")).select("doc_id", "th", "c.*")
-    recurring = checks.groupBy("m", "w").agg(F.sum("weight").alias("k")).filter("k > 1").select("m", "w")
-    more = checks.filter("weight = 1").join(staged(recurring, "passages-recurring"), ["m", "w"], "left_semi")
-    more = more.groupBy("doc_id", "th").agg(F.collect_list("s").alias("more"))
-    open_ = met.filter("z IS NOT NULL").select("doc_id", "th", "z", "ranges")
-    on = open_["doc_id"].eqNullSafe(more["doc_id"]) & (open_["th"] == more["th"])
-    open_ = open_.join(more, on, "left").select(open_["doc_id"], "z", "ranges", "more")
-    located_ = open_.mapInArrow(_locate, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
+    met = packed.join(lists, on, "left").select(packed["doc_id"], "z", "anchors", "firsts")
+    met = met.mapInArrow(_expand, f"doc_id {id_type}, n_words long, kept_sha256 string, z binary, anchors array<long>, phrases array<{PHRASE}>")
+    # any document may go to any shard, so repeated rows do not meet in one
+    met = staged(met.withColumn("shard", F.floor(F.rand(7) * shards)), "passages-met")
+
+    # where repeated rows write a run out each, it recurs as a whole, and more of its windows change nothing
+    found = staged(confirmed(met.select(F.explode("phrases").alias("p")).select("p.*")), "passages-confirmed")
+    posted = met.select("shard", F.explode("anchors").alias("m")).distinct().join(found, "m")
+    bodies = met.filter("z IS NOT NULL").select("shard", F.lit(False).alias("passage"), "doc_id", F.col("z").alias("body"))
+    bodies = bodies.unionByName(posted.select("shard", F.lit(True).alias("passage"), F.lit(None).cast(id_type).alias("doc_id"), F.col("text").alias("body")))
+    located = bodies.repartition("shard").sortWithinPartitions("shard", "passage").mapInArrow(_locate, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
     done = met.filter("z IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return done.unionByName(located_)
+    return done.unionByName(located)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

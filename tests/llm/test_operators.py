@@ -107,6 +107,41 @@ def test_substring_dedup_of_stock_phrases(spark):
     assert all(e[2] == 0 for e in expected)
 
 
+def test_periodic_texts(spark):
+    """Random texts with repeated grams, few words and small edits, against the brute force."""
+    rng = random.Random(21)
+    held = []
+    for _ in range(40):
+        line = [f"v{rng.randint(0, 60)}" for _ in range(rng.choice((2, 8, 9, 20, 36)))]
+        near = [f"v{rng.randint(0, 60)}" for _ in range(rng.randint(0, 40))] + line * rng.randint(2, 12) + [f"v{rng.randint(0, 60)}" for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(1, 3)):
+            held.append((len(held), near[:]))
+            near[rng.randrange(len(near))] = f"e{rng.random()}"
+    one = [f"u{i}" for i in range(73)]
+    one[38:46] = one[10:18]
+    held += [(900, one), (901, [x if i != 36 else "other" for i, x in enumerate(one)])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in held], "doc_id long, text string").repartition(3)
+    expected = windows_removed(held)
+    assert rows(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+    assert [e[2] for e in expected if e[0] in (900, 901)] == [72, 72] and sum(0 < e[2] < e[1] for e in expected) > 20
+
+
+def test_automata_locate(spark, monkeypatch):
+    """Nothing is removed but what the automata find; several automata and shards find the same."""
+    passage, other = " ".join(f"p{i}" for i in range(50)), " ".join(f"o{i}" for i in range(40))
+    df = spark.createDataFrame([(i, f"a{i} {passage} b{i} {other if i % 2 else ''} c{i}") for i in range(9)], "doc_id long, text string")
+    expected = rows(substring_dedup.substring_dedup(df), "doc_id", "n_removed", "kept_sha256")
+    assert [e[1] for e in expected] == [50, 90] * 4 + [50]
+    shard = substring_dedup.Shard()
+    for i in range(2):
+        shard.add_document(i, f"a{i} {passage} b".encode().split())
+    shard.add_passage(passage.encode())
+    assert [r[:3] for r in shard.results()] == [(0, 52, 50), (1, 52, 50)]
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 600)
+    monkeypatch.setattr(substring_dedup, "MOST_CHARS", 100)
+    assert rows(substring_dedup.substring_dedup(df), "doc_id", "n_removed", "kept_sha256") == expected
+
+
 def shingle_sets(held):
     lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)]
     out = {}
