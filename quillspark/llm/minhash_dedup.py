@@ -3,26 +3,30 @@
 1.  Documents with the same shingle set are one class, told by 128 bits of set hashes;
     its smallest doc_id stands for it.
 2.  A class is posted under each (coordinate, value) of its `K`-coordinate minhash
-    signature. Two sets of similarity 0.85 agree on fewer than `MATCH` coordinates with
-    a probability of about 1e-7, so pairs below it are skipped: postings of one class,
-    classes with fewer than MATCH shared postings, and, by prefix filtering, all but
-    the K - MATCH + 1 rarest postings of a class never meet anything.
+    signature. Two sets as alike as a link asks agree on fewer than `match` coordinates
+    with a probability of 2e-7 at most (`least_matches`), so pairs below it are skipped:
+    postings of one class, classes with fewer than match shared postings, and, by prefix
+    filtering, all but the K - match + 1 rarest postings of a class never meet anything.
 3.  In each posting that is left, every class is paired with the posting's most central
-    class only; pairs with MATCH agreeing coordinates are confirmed on full sets. Linked
+    class only; pairs with match agreeing coordinates are confirmed on full sets. Linked
     classes form components.
 4.  Where a posting still holds several components, the classes outside its central one
     are compared with the others in blocks of bounded size, across components only and by
-    a finer signature, and agreeing pairs are confirmed too. So no link between components is lost, and a group
-    of copies costs rows in proportion to its size.
+    a finer signature, and agreeing pairs are confirmed too. So no link between components
+    is lost, and a group of copies costs rows in proportion to its size.
 
 Nulls: a null or empty text has no shingles and is linked with nothing. Rows without
-doc_id join the component of their copies, null if they have none. Repeated rows share
-doc_id and component and are all kept or all not. Extra columns are not read.
+doc_id join the component of their copies, null if they have none. Ids may be of any type
+that has an order. Repeated rows share doc_id and component and are all kept or all not.
+Of classes alike in a posting the one with the smallest id is central. Extra columns are
+not read, whatever they are called.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +38,36 @@ from quillspark.llm.common import rows_of, staged, table, utf8
 from quillspark.llm.components import components
 from quillspark.llm.hashing import mixed, rolled, word_hashes
 
-SHINGLE, K, MATCH, PERCENT = 5, 64, 38, 85
-#: Coordinates of the finer signature for comparison in blocks, and how many must agree (again 1e-7).
-FINE, FINE_MATCH = 384, 290
+#: Words of a shingle, coordinates of the signature, and the least similarity of a link in per cent.
+SHINGLE, K, PERCENT = 5, 64, 85
+#: Coordinates of the finer signature for comparison in blocks.
+FINE = 384
 OUTSIDE, INSIDE = 256, 768
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(1, 2**63, K + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _random.integers(0, 2**63, K + FINE, dtype=np.uint64)
 
 
+class Threshold(NamedTuple):
+    """Least similarity in per cent, and how many coordinates of both signatures must agree for it."""
+
+    percent: int
+    match: int
+    fine: int
+
+
+def least_matches(k: int, percent: int, miss: float = 2e-7) -> int:
+    """The most coordinates of k that sets of this similarity agree on but for a probability of `miss`."""
+    p, below, m = percent / 100, 0.0, 0
+    while (below := below + comb(k, m) * p**m * (1 - p) ** (k - m)) <= miss:
+        m += 1
+    return m
+
+
+def threshold(percent: int) -> Threshold:
+    return Threshold(percent, least_matches(K, percent), least_matches(FINE, percent))
+
+
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a short text is one shingle."""
     words = text.lower().split()
@@ -96,10 +121,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "shingles", "fine"])
 
 
-def agreeing(outside: pa.Table, inside: pa.Table) -> tuple[list[int], list[int]]:
+def agreeing(outside: pa.Table, inside: pa.Table, at: Threshold) -> tuple[list, list]:
     """Pairs of rows in different components that may be links, each in the block of its first common posting only.
 
-    FINE_MATCH coordinates agree, the sizes allow a link, and so do the distances to the
+    Enough coordinates agree, the sizes allow a link, and so do the distances to the
     posting's pivot, as Jaccard distance obeys the triangle inequality.
     """
     read = lambda t, c: t.column(c).to_numpy()
@@ -115,59 +140,64 @@ def agreeing(outside: pa.Table, inside: pa.Table) -> tuple[list[int], list[int]]
     here = outside.column("token")[0].as_py() if len(outside) else None
     a, b = [], []
     for i in range(len(left)):
-        fits = (other != home[i]) & (100 * np.minimum(n[i], m) >= PERCENT * np.maximum(n[i], m))
-        fits = np.flatnonzero(fits & ~(np.abs(d[i] - e) > 1.0001 - PERCENT / 100))
+        fits = (other != home[i]) & (100 * np.minimum(n[i], m) >= at.percent * np.maximum(n[i], m))
+        fits = np.flatnonzero(fits & ~(np.abs(d[i] - e) > 1.0001 - at.percent / 100))
         if len(fits):
             near = right[:, fits] if len(fits) < len(m) else right
-            for j in fits[(near == left[i][:, None]).sum(axis=0) >= FINE_MATCH].tolist():
+            for j in fits[(near == left[i][:, None]).sum(axis=0) >= at.fine].tolist():
                 if not (apart[j] and mine[i] > theirs[j]) and min(tokens[i] & listed[j]) == here:
-                    a.append(int(mine[i]))
-                    b.append(int(theirs[j]))
+                    a.append(mine[i])
+                    b.append(theirs[j])
     return a, b
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(at: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by block (token, part, piece): each block's outside rows against its inside rows."""
-    parts: list[pa.Table] = []
-    at = None
 
     def met(rows: list[pa.Table]) -> pa.RecordBatch:
         block = pa.concat_tables(rows)
         outside = block.column("outside").to_numpy(zero_copy_only=False)
-        a, b = agreeing(block.filter(pa.array(outside)), block.filter(pa.array(~outside)))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        keys = np.stack([t.column(c).to_numpy() for c in ("token", "part", "piece")], axis=1)
-        if not len(keys):
-            continue
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(keys[lo])
-            if key != at and parts:
-                yield met(parts)
-                parts = []
-            at = key
-            parts.append(t.slice(lo, hi - lo))
-    if parts:
-        yield met(parts)
-
-
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        pairs = agreeing(block.filter(pa.array(outside)), block.filter(pa.array(~outside)), at)
+        return pa.RecordBatch.from_arrays([pa.array(x, block.schema.field("id").type) for x in pairs], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            keys = np.stack([t.column(c).to_numpy() for c in ("token", "part", "piece")], axis=1)
+            if not len(keys):
+                continue
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(keys[lo])
+                if key != last and parts:
+                    yield met(parts)
+                    parts = []
+                last = key
+                parts.append(t.slice(lo, hi - lo))
+        if parts:
+            yield met(parts)
+
+    return run
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, far, linked) for pairs (a, b), from their full sets; far is the Jaccard distance."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     met = pairs.join(left, "a").join(right, "b")
     met = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     either = F.col("sum") - F.col("both")
-    return met.select("a", "b", (1 - F.col("both") / either).alias("far"), (100 * F.col("both") >= PERCENT * either).alias("linked"))
+    return met.select("a", "b", (1 - F.col("both") / either).alias("far"), (100 * F.col("both") >= percent * either).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    signed = staged(docs.mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, sig array<long>"), "near-signed")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of docs (doc_id, text); links are at least `percent` alike."""
+    at = threshold(percent)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", utf8("text").alias("text"))
+    signed = staged(docs.mapInArrow(_sign, f"doc_id {id_type}, n long, h1 long, h2 long, sig array<long>"), "near-signed")
     classes = signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     classes = staged(classes, "near-classes")
 
@@ -175,23 +205,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # staged, so that both sides of the join are exchanges and large partitions can be split
     shared = staged(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "near-shared")
     posted = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("p"), F.sum("df").alias("central"))
-    useful = F.greatest(F.lit(0), F.lit(K - MATCH + 1) - (K - F.size("p")))
-    posted = posted.filter(F.size("p") >= MATCH).select("id", "central", F.slice("p", F.lit(1), useful).alias("p"))
+    useful = F.greatest(F.lit(0), F.lit(K - at.match + 1) - (K - F.size("p")))
+    posted = posted.filter(F.size("p") >= at.match).select("id", "central", F.slice("p", F.lit(1), useful).alias("p"))
     heads = classes.select("id", "n", "sig").join(posted, "id").select("id", "n", "sig", "central", F.col("p.token").alias("tokens"))
     heads = staged(heads, "near-heads")
 
     listed = heads.select("id", "central", F.explode("tokens").alias("token"))
-    pivots = listed.groupBy("token").agg(F.max(F.struct("central", F.negative("id").alias("i"))).alias("top"), F.count("*").alias("m")).filter("m > 1")
-    pivots = staged(pivots.select("token", F.negative("top.i").alias("pivot"), "m"), "near-pivots")
+    pivots = listed.groupBy("token").agg(F.min(F.struct(F.negative("central").alias("c"), "id")).alias("top"), F.count("*").alias("m")).filter("m > 1")
+    pivots = staged(pivots.select("token", F.col("top.id").alias("pivot"), "m"), "near-pivots")
     stars = listed.join(pivots, "token").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda a: heads.select(F.col("id").alias(a), F.col("n").alias(f"n_{a}"), F.col("sig").alias(f"sig_{a}"))
-    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    alike = F.size(F.array_intersect("sig_a", "sig_b")) >= MATCH
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    alike = F.size(F.array_intersect("sig_a", "sig_b")) >= at.match
     stars = staged(stars.join(side("a"), "a").join(side("b"), "b").filter(sizes & alike).select("a", "b"), "near-stars")
 
-    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(_pack, "id long, z binary")
-    sets = staged(packed.join(heads.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>, fine binary"), "near-sets")
-    stars = staged(compared(stars, sets), "near-compared")
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(_pack, f"id {id_type}, z binary")
+    sets = staged(packed.join(heads.select("id"), "id", "left_semi").mapInArrow(_sets, f"id {id_type}, shingles array<long>, fine binary"), "near-sets")
+    stars = staged(compared(stars, sets, percent), "near-compared")
     links = stars.filter("linked").select("a", "b")
     found = components(links)
 
@@ -214,8 +244,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns = ["token", "part", "piece", "outside", "apart", "id", "n", "component", "far", "tokens", "fine"]
     blocks = one.select(*columns).unionByName(two.select(*columns)).repartition("token", "part", "piece")
     blocks = blocks.sortWithinPartitions("token", "part", "piece")
-    pairs = staged(blocks.mapInArrow(_blocks, "a long, b long"), "near-pairs")
-    more = staged(compared(pairs, sets).filter("linked").select("a", "b"), "near-more")
+    pairs = staged(blocks.mapInArrow(_blocks(at), f"a {id_type}, b {id_type}"), "near-pairs")
+    more = staged(compared(pairs, sets, percent).filter("linked").select("a", "b"), "near-more")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
@@ -226,9 +256,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without those that another document of their component stands for; rows without doc_id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id")
+    gone = near_duplicates(docs.select("doc_id", "text"), percent).filter(~F.col("kept")).select("doc_id")
     return docs.join(staged(gone, "near-gone"), "doc_id", "left_anti").select(*docs.columns)
 
 

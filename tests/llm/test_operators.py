@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -151,7 +152,7 @@ def shingle_sets(held):
     return out
 
 
-def components_of(sets):
+def components_of(sets, percent=85):
     up = {i: i for i in sets}
 
     def root(i):
@@ -162,7 +163,7 @@ def components_of(sets):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {i: root(i) for i in ids}
@@ -183,6 +184,27 @@ def test_near_duplicates(docs, none):
     assert left.columns == docs.columns and {r[0] for r in left.collect()} == {e[0] for e in expected if e[3]} | {None}
 
 
+def test_other_thresholds_and_ids(spark):
+    """Links of 0.8 and ids that are texts, by brute force; the chance to miss a link is what it is said to be."""
+    rng = random.Random(17)
+    texts = {}
+    for g in range(12):
+        base = [f"w{g}_{i}" for i in range(120)]
+        for k in range(6):
+            gone = set(rng.sample(range(120), rng.choice((0, 1, 2, 3, 4))))
+            texts[f"d{rng.randint(0, 10**9)}"] = " ".join(x if i not in gone else f"e{k}" for i, x in enumerate(base))
+    sets = shingle_sets(texts.items())
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    for percent in (80, 85):
+        got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df, percent).collect()}
+        assert got == components_of(sets, percent)
+    assert components_of(sets, 80) != components_of(sets, 85)
+    for percent in (80, 85):
+        for k, m in ((minhash_dedup.K, minhash_dedup.threshold(percent).match), (minhash_dedup.FINE, minhash_dedup.threshold(percent).fine)):
+            tail = lambda m: sum(math.comb(k, i) * (percent / 100) ** i * (1 - percent / 100) ** (k - i) for i in range(m))  # noqa: E731, B023
+            assert tail(m) <= 2e-7 < tail(m + 1)
+
+
 def test_links_away_from_the_pivot(spark):
     """Two pairs share most postings with a hub that neither links to, and a chain links by its ends."""
     rng = random.Random(4)
