@@ -6,7 +6,11 @@ splits at exactly these, so Python stages work on UTF-8 bytes, whole texts only.
 
 from __future__ import annotations
 
+import functools
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,26 +38,53 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file:///tmp/checkpoints/quillspark"
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return "file:///tmp/checkpoints/quillspark"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+_opened = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that were staged within; what is to last is staged after it."""
+    outer, _opened.paths = getattr(_opened, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _opened.paths = _opened.paths, outer
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
     Cuts the lineage, so that a lost executor costs a reread and not a rerun, and
-    gives the optimizer the real size of the table.
+    gives the optimizer the real size of the table. A `scratch` around deletes it,
+    unless it is lasting.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not lasting and getattr(_opened, "paths", None) is not None:
+        _opened.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result staged and the tables on the way to it deleted."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark):
+            return staged(query(spark, sf_dir), "result", lasting=True)
+
+    return run
+
+
 def utf8(column: str) -> Column:
     """The column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
