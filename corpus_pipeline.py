@@ -1,8 +1,10 @@
 """Cleaning pipeline over `documents`: each stage's rows are written and are the next one's input.
 
-Rows with null text fail the quality rules and go there; ids, nulls and repeated rows are
-treated as each operator says. Documents that no stage rejects reach the mix unchanged
-but for personal data, which gives way to the name of its kind.
+Rows with null text fail the quality rules and go there; ids, nulls, ties and repeated rows
+are treated as each operator says, and an empty table gives an empty one. Columns beyond
+those of `documents` go along, whatever they are called; the mix adds `copy`. Documents that
+no stage rejects reach the mix unchanged but for personal data, which gives way to the name
+of its kind.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontamination, minhash_dedup, mixing, pii, quality_rules
-from quillspark.llm.common import small_batches, staged, table
+from quillspark.llm.common import scratch, small_batches, staged, table
+
+#: Similarity, in per cent, of near-duplicates of which one stays.
+ALIKE = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id."""
     small_batches(spark)
-    return minhash_dedup.representatives(docs)
+    return minhash_dedup.representatives(docs, ALIKE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):  # the tables on the way to a stage's result
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
