@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +10,10 @@ LATEX = {
     "\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_",
     "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}",
 }
-#: The first of 35,327 characters, all below the surrogates, that stand for tokens.
-FIRST_TOKEN, MOST_TOKENS = 19968, 35327
+#: The first of the characters that stand for tokens, and their number: all beyond the basic plane, each one character of a text.
+FIRST_TOKEN, MOST_TOKENS = 0x10000, 0x100000
+#: Distances are looked for within these bands before the whole table is filled.
+BANDS = (16, 128)
 
 
 def col(c: Column | str) -> Column:
@@ -31,7 +31,13 @@ def tokens(normal: Column | str) -> Column:
 
 
 def edits(a: Column | str, b: Column | str) -> Column:
-    return F.levenshtein(col(a), col(b))
+    """Edit distance; of texts that are near, in time that grows with the distance and not with its square."""
+    a, b = col(a), col(b)
+    whole = F.levenshtein(a, b)
+    for k in reversed(BANDS):
+        near = F.levenshtein(a, b, k)  # -1 beyond k
+        whole = F.when(near >= 0, near).otherwise(whole)
+    return F.when(a == b, F.lit(0)).otherwise(whole)
 
 
 def within(a: Column | str, b: Column | str, k: int = 1) -> Column:
@@ -46,11 +52,12 @@ def token_edits(a: Column, b: Column) -> Column:
     known = F.array_distinct(F.concat(a, b))
 
     def encoded(tokens: Column) -> Column:
-        code = lambda t: F.lpad(F.hex((F.array_position(known, t) + (FIRST_TOKEN - 1)).cast("long")), 4, "0")
-        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(code(t)), "UTF-16BE")), "")
+        code = lambda t: F.lpad(F.hex((F.array_position(known, t) + (FIRST_TOKEN - 1)).cast("long")), 8, "0")
+        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(code(t)), "UTF-32")), "")
 
     few = F.size(known) <= MOST_TOKENS
-    return F.when(few, F.levenshtein(encoded(a), encoded(b))).otherwise(F.raise_error(F.lit("too many distinct tokens in one pair")))
+    distance = F.when(few, edits(encoded(a), encoded(b))).otherwise(F.raise_error(F.lit("over a million distinct tokens in one pair")))
+    return F.when(a == b, F.lit(0)).otherwise(distance)
 
 
 def stem(path: Column | str) -> Column:
@@ -111,7 +118,3 @@ def in_order(order: list[Column], value: Column, sep: str) -> Column:
     """Aggregate: the values joined in the order of the key, whatever order the shuffle left."""
     rows = F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), value.alias("v"))))
     return F.array_join(F.transform(rows, lambda r: r["v"]), sep)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -1,7 +1,7 @@
 """Boxes (x, y, w, h), their overlaps, one-to-one matching and line metrics.
 
 Boxes of an image meet by an equi-join on image_id, so that no pair across images is
-made; matching needs only pairs above the threshold and folds them in score order.
+made; matching streams the pairs above the threshold in score order.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.operators.ordered import fold, running
+
 THRESHOLD = 0.5
 
 
@@ -77,19 +79,29 @@ def pairs(gt: DataFrame, pred: DataFrame, overlapping: bool = True) -> DataFrame
     )
 
 
-def greedy(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(image_id, gt, pred, iou): predictions by falling score (then index) each take the best free box (then lowest index)."""
-    df = df.filter(F.col("iou") >= threshold)
-    df = df.groupBy("image_id", "pred", "score").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("n"), "gt"))).alias("c"))
-    df = df.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred", "c"))).alias("ps"))
-    none = F.array().cast("array<struct<gt: long, pred: long, iou: double>>")
+def matches(df: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(image_id, gt, pred, iou, level): at each threshold (its place is the level), predictions by falling score (then index) each take the best free box (then lowest index)."""
+    df = df.filter(F.col("iou") >= min(thresholds)).select("image_id", "gt", "pred", "score", "iou")
+    order = [F.desc("score"), F.asc("pred"), F.desc("iou"), F.asc("gt")]
+
+    def step(state: dict, row: dict) -> dict | None:
+        levels = []
+        for i, t in enumerate(thresholds):
+            taken, done = state.setdefault(i, (set(), set()))
+            if row["iou"] >= t and row["pred"] not in done and row["gt"] not in taken:
+                taken.add(row["gt"])
+                done.add(row["pred"])
+                levels.append(i)
+        return {**{c: row[c] for c in ("image_id", "gt", "pred", "iou")}, "levels": levels} if levels else None
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = f"image_id {kinds['image_id']}, gt {kinds['gt']}, pred {kinds['pred']}, iou double, levels array<int>"
+    return fold(df, ["image_id"], order, dict, step, schema).select("image_id", "gt", "pred", "iou", F.explode("levels").alias("level"))
 
-    def take(done: Column, p: Column) -> Column:
-        free = F.filter(p["c"], lambda c: ~F.exists(done, lambda d: d["gt"] == c["gt"]))
-        one = F.transform(F.slice(free, 1, 1), lambda c: F.struct(c["gt"].cast("long").alias("gt"), p["pred"].cast("long").alias("pred"), (-c["n"]).alias("iou")))
-        return F.concat(done, one)
 
-    return df.select("image_id", F.explode(F.aggregate("ps", none, take)).alias("m")).select("image_id", "m.*")
+def greedy(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(image_id, gt, pred, iou): one-to-one matches at the threshold."""
+    return matches(df, [threshold]).drop("level")
 
 
 def detection_rates(tp: Column, n_pred: Column, n_gt: Column) -> list[Column]:
@@ -148,31 +160,29 @@ def any_hits(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float
     return out.select("images", (1 - per("hit", "n_gt")).alias("missed_rate"), per("split", "n_gt").alias("split_rate"), per("merged", "n_pred").alias("merge_rate"), "count_within_0", "count_within_1")
 
 
+LEVELS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
+
+
 def coco_map(gt: DataFrame, pred: DataFrame, most: int = 100) -> DataFrame:
     """ap, ap50, ap75, ar100 of one category by the published COCO protocol; zeros without predictions.
 
-    At each threshold predictions match greedily; precision is taken at 101 recalls from
-    the running maximum over falling score.
+    At each threshold predictions match greedily. True positives are summed over falling
+    score, in range partitions; at each of 101 recalls the precision is the largest of
+    those whose recall is no less, so it is enough to keep the largest between two recalls.
     """
     top = W.partitionBy("image_id").orderBy(F.desc("score"), "pred")
     pred = pred.withColumn("rk", F.row_number().over(top)).filter(F.col("rk") <= most).drop("rk")
-    levels = [round(0.5 + 0.05 * i, 2) for i in range(10)]
-    met = pairs(gt, pred)
-    hits = None
-    for t in levels:
-        one = greedy(met, t).select("image_id", "pred", F.lit(t).alias("t"), F.lit(1).alias("tp"))
-        hits = one if hits is None else hits.unionByName(one)
-    grid = pred.select("image_id", "pred", "score").withColumn("t", F.explode(F.array(*map(F.lit, levels))))
-    grid = grid.join(hits, ["image_id", "pred", "t"], "left").na.fill(0, ["tp"])
-    order = W.partitionBy("t").orderBy(F.desc("score"), "image_id", "pred")
-    grid = grid.withColumns({"k": F.row_number().over(order), "tps": F.sum("tp").over(order.rowsBetween(W.unboundedPreceding, 0))})
-    grid = grid.crossJoin(F.broadcast(gt.agg(F.count("*").alias("n_gt"))))  # one row
-    grid = grid.withColumns({"recall": F.col("tps") / F.greatest(F.col("n_gt"), F.lit(1)), "precision": F.col("tps") / F.col("k")})
-    best = F.max("precision").over(W.partitionBy("t").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0))
-    # each prediction answers for the recalls above the one before it, up to its own
-    before = F.coalesce(F.lag("tps").over(W.partitionBy("t").orderBy("k")), F.lit(0)) / F.greatest(F.col("n_gt"), F.lit(1))
-    points = lambda r: F.floor(r * 100 + 1e-9) + 1
-    grid = grid.withColumns({"best": best, "points": points(F.col("recall")) - F.when(F.col("k") == 1, 0).otherwise(points(before))})
-    by_t = grid.groupBy("t").agg((F.sum(F.col("best") * F.col("points")) / 101).alias("ap"), F.max("recall").alias("ar"))
-    at = lambda t: F.coalesce(F.max(F.when(F.col("t") == t, F.col("ap"))), F.lit(0.0))
-    return by_t.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("ap"), at(0.5).alias("ap50"), at(0.75).alias("ap75"), F.coalesce(F.avg("ar"), F.lit(0.0)).alias("ar100"))
+    hits = matches(pairs(gt, pred), LEVELS).groupBy("image_id", "pred").agg(F.collect_set("level").alias("levels"))
+    names = [f"tp{i}" for i in range(len(LEVELS))]
+    rows = pred.select("image_id", "pred", "score").join(hits, ["image_id", "pred"], "left")
+    rows = rows.select("image_id", "pred", "score", *(F.coalesce(F.array_contains("levels", i), F.lit(False)).cast("long").alias(n) for i, n in enumerate(names)))
+    rows = running(rows, [F.desc("score"), F.asc("image_id"), F.asc("pred")], names, "k")
+    rows = rows.crossJoin(F.broadcast(gt.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_gt"))))  # one row
+    rows = rows.select("k", "n_gt", F.posexplode(F.array(*names)).alias("level", "tps"))
+    recall = F.col("tps") / F.col("n_gt")
+    best = rows.groupBy("level", F.floor(recall * 100 + 1e-9).alias("point")).agg(F.max(F.col("tps") / F.col("k")).alias("precision"), F.max(recall).alias("recall"))
+    after = W.partitionBy("level").orderBy(F.desc("point")).rowsBetween(W.unboundedPreceding, 0)  # 101 rows at most
+    best = best.withColumns({"precision": F.max("precision").over(after), "low": F.coalesce(F.lag("point").over(W.partitionBy("level").orderBy("point")), F.lit(-1))})
+    by_level = best.groupBy("level").agg((F.sum(F.col("precision") * (F.col("point") - F.col("low"))) / 101).alias("ap"), F.max("recall").alias("ar"))
+    at = lambda i: F.coalesce(F.max(F.when(F.col("level") == i, F.col("ap"))), F.lit(0.0))
+    return by_level.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("ap"), at(0).alias("ap50"), at(5).alias("ap75"), F.coalesce(F.avg("ar"), F.lit(0.0)).alias("ar100"))

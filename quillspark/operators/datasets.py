@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.operators import boxes
+from quillspark.operators.ordered import running
 
 
 def split_sizes(n: int, val: float = 0.15, test: float = 0.15) -> tuple[int, int, int]:
@@ -68,10 +69,9 @@ def page_xml(images: DataFrame, gt: DataFrame) -> DataFrame:
 
 def strided(df: DataFrame, order: str, most: int) -> DataFrame:
     """Every step-th row in order, `most` at the largest; step is n // most, at least 1."""
-    n = df.count()
-    step = max(1, n // most)
-    ranked = df.orderBy(order).limit(step * most)
-    return ranked.withColumn("_r", F.row_number().over(W.orderBy(order)) - 1).filter((F.col("_r") % step == 0) & (F.col("_r") < step * most)).drop("_r")
+    step = max(1, df.count() // most)
+    at = F.col("_r") - 1
+    return running(df, [F.col(order)], [], "_r").filter((at % step == 0) & (at < step * most)).drop("_r")
 
 
 def first_n(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Training-run series: ordered folds and windows per run.
 
-A run's series is folded in step order within its key; the fold's array is one run long.
+A run's series is folded in step order within its key, one row at a time.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.operators.ordered import fold
+
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -16,18 +18,14 @@ def finite(c: Column) -> Column:
 
 def ema(df: DataFrame, key: str, step: list[str], value: str, decay: float = 0.98, keep: Column | None = None) -> DataFrame:
     """(key, step, value, ema): seeded with the first value; values that are not finite, or not to keep, are skipped."""
-    df = df.filter(finite(F.col(value)) & (F.lit(True) if keep is None else keep))
-    rows = F.array_sort(F.collect_list(F.struct(*step, F.col(value).cast("double").alias("v"))))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    fields = ", ".join(f"{s}: {kinds[s]}" for s in step)
-    none = F.array().cast(f"array<struct<{fields}, v: double, ema: double>>")
-
-    def smooth(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)["ema"]
-        new = F.when(F.size(done) == 0, r["v"]).otherwise(decay * last + (1 - decay) * r["v"])
-        return F.concat(done, F.array(F.struct(*(r[s].alias(s) for s in step), r["v"].alias("v"), new.alias("ema"))))
-
-    return df.groupBy(key).agg(rows.alias("rows")).select(key, F.explode(F.aggregate("rows", none, smooth)).alias("r")).select(key, *(f"r.{s}" for s in step), F.col("r.v").alias(value), "r.ema")
+    df = df.filter(finite(F.col(value)) & (F.lit(True) if keep is None else keep)).select(key, *step, F.col(value).cast("double").alias(value))
+
+    def smooth(state: dict, row: dict) -> dict:
+        state["ema"] = decay * state["ema"] + (1 - decay) * row[value] if state else row[value]
+        return {**row, "ema": state["ema"]}
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return fold(df, [key], [F.col(s) for s in step], dict, smooth, f"{schema}, ema double")
 
 
 def best_so_far(df: DataFrame, key: str, step: list[str], value: str, smallest: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from quillspark.functions import text as T
 
 REQUIRED = ("document_id", "ground_truth", "line_id", "prediction")
 LEVELS = ("word", "line", "document")
-#: name -> factory of an aggregate over normalised `l` and `r`.
+#: name -> factory of an aggregate over normalised `l` and `r` and their edit distance `e`.
 METRICS: dict[str, Callable[[], Column]] = {}
 
 
@@ -34,25 +34,33 @@ def near_perfect(k: int = 1) -> Column:
 
 register_metric("ema", lambda: mean(F.col("l") == F.col("r")))
 register_metric("near_perfect_match", near_perfect)
-register_metric("cer", lambda: ratio(F.sum(T.edits("l", "r")), F.sum(F.length("l"))))
+register_metric("cer", lambda: ratio(F.sum("e"), F.sum(F.length("l"))))
 register_metric("wer", lambda: ratio(F.sum(T.token_edits(T.tokens("l"), T.tokens("r"))), F.sum(F.size(T.tokens("l")))))
-register_metric("levenshtein_distance", lambda: mean(T.edits("l", "r")))
+register_metric("levenshtein_distance", lambda: mean(F.col("e")))
 
 
 def at_level(df: DataFrame, level: str) -> DataFrame:
-    """Pairs (l, r) of a level: rows, or texts joined in row order by line or document."""
+    """Pairs (l, r, e) of a level: rows, or texts joined in row order by line or document, and their edit distance.
+
+    Row order is `ord`; without that column, the order of the rows as they are read. Joined
+    texts are few bytes but long to compare, so they are dealt out anew.
+    """
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     if level not in LEVELS:
         raise ValueError(f"unknown level: {level}")
-    df = df.withColumns({"l": T.normalize("ground_truth"), "r": T.normalize("prediction")})
-    if level == "word":
-        return df.select("l", "r")
-    keys = ["document_id", "line_id"] if level == "line" else ["document_id"]
-    order = [F.col("ord")] if "ord" in df.columns else [F.monotonically_increasing_id()]
-    out = df.groupBy(*keys).agg(T.in_order(order, F.col("l"), " ").alias("l"), T.in_order(order, F.col("r"), " ").alias("r"))
-    return out.select(T.normalize("l").alias("l"), T.normalize("r").alias("r"))
+    if "ord" not in df.columns:
+        df = df.withColumn("ord", F.monotonically_increasing_id())
+    df = df.select(*REQUIRED, "ord", T.normalize("ground_truth").alias("l"), T.normalize("prediction").alias("r"))
+    if level != "word":
+        keys = ["document_id", "line_id"] if level == "line" else ["document_id"]
+        order = [F.col("ord")]
+        df = df.groupBy(*keys).agg(T.in_order(order, F.col("l"), " ").alias("l"), T.in_order(order, F.col("r"), " ").alias("r"))
+        spark = df.sparkSession
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        df = df.select(T.normalize("l").alias("l"), T.normalize("r").alias("r")).repartition(tasks, "l", "r")
+    return df.select("l", "r", T.edits("l", "r").alias("e"))
 
 
 def evaluate(df: DataFrame, level: str = "word", metrics: list[str] | None = None) -> DataFrame:
