@@ -12,8 +12,6 @@ LATEX = {
 }
 #: The first of the characters that stand for tokens, and their number: all beyond the basic plane, each one character of a text.
 FIRST_TOKEN, MOST_TOKENS = 0x10000, 0x100000
-#: Distances are looked for within these bands before the whole table is filled.
-BANDS = (16, 128)
 
 
 def col(c: Column | str) -> Column:
@@ -31,13 +29,7 @@ def tokens(normal: Column | str) -> Column:
 
 
 def edits(a: Column | str, b: Column | str) -> Column:
-    """Edit distance; of texts that are near, in time that grows with the distance and not with its square."""
-    a, b = col(a), col(b)
-    whole = F.levenshtein(a, b)
-    for k in reversed(BANDS):
-        near = F.levenshtein(a, b, k)  # -1 beyond k
-        whole = F.when(near >= 0, near).otherwise(whole)
-    return F.when(a == b, F.lit(0)).otherwise(whole)
+    return F.when(col(a) == col(b), F.lit(0)).otherwise(F.levenshtein(col(a), col(b)))
 
 
 def within(a: Column | str, b: Column | str, k: int = 1) -> Column:

@@ -3,12 +3,44 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+
+def distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance by bit vectors: one step over whole words of bits for each element of b (Myers 1999, Hyyrö 2001)."""
+    if a == b or not len(a) or not len(b):
+        return 0 if a == b else max(len(a), len(b))
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    all_ = (1 << len(a)) - 1
+    last, up, down, total = 1 << (len(a) - 1), all_, 0, len(a)
+    for x in b:
+        here = places.get(x, 0)
+        level = (((here & up) + up) ^ up) | here | down
+        more, less = (down | ~(level | up)) & all_, up & level
+        total += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & all_, less << 1 & all_
+        up, down = (less | ~(here | down | more)) & all_, more & (here | down)
+    return total
+
+
+def _distances(split: Callable[[str], Sequence]) -> Callable[[Column | str, Column | str], Column]:
+    @F.pandas_udf(IntegerType())
+    def distances(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else distance(split(x), split(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return distances
+
+
+#: For long texts, where filling the whole table of distances is slow: in characters, and in words of normalised texts.
+long_edits = _distances(lambda text: text)
+long_token_edits = _distances(lambda text: text.split(" ") if text else [])
 
 
 def unicode_form(form: str) -> Callable[[Column | str], Column]:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.udfs import long_edits, long_token_edits
 
 REQUIRED = ("document_id", "ground_truth", "line_id", "prediction")
 LEVELS = ("word", "line", "document")
-#: name -> factory of an aggregate over normalised `l` and `r` and their edit distance `e`.
+#: name -> factory of an aggregate over normalised `l` and `r` and their edit distances `e` in characters and `te` in words.
 METRICS: dict[str, Callable[[], Column]] = {}
 
 
@@ -35,12 +36,12 @@ def near_perfect(k: int = 1) -> Column:
 register_metric("ema", lambda: mean(F.col("l") == F.col("r")))
 register_metric("near_perfect_match", near_perfect)
 register_metric("cer", lambda: ratio(F.sum("e"), F.sum(F.length("l"))))
-register_metric("wer", lambda: ratio(F.sum(T.token_edits(T.tokens("l"), T.tokens("r"))), F.sum(F.size(T.tokens("l")))))
+register_metric("wer", lambda: ratio(F.sum("te"), F.sum(F.size(T.tokens("l")))))
 register_metric("levenshtein_distance", lambda: mean(F.col("e")))
 
 
 def at_level(df: DataFrame, level: str) -> DataFrame:
-    """Pairs (l, r, e) of a level: rows, or texts joined in row order by line or document, and their edit distance.
+    """Pairs (l, r, e, te) of a level: rows, or texts joined in row order by line or document, and their edit distances.
 
     Row order is `ord`; without that column, the order of the rows as they are read. Joined
     texts are few bytes but long to compare, so they are dealt out anew.
@@ -60,7 +61,13 @@ def at_level(df: DataFrame, level: str) -> DataFrame:
         spark = df.sparkSession
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         df = df.select(T.normalize("l").alias("l"), T.normalize("r").alias("r")).repartition(tasks, "l", "r")
-    return df.select("l", "r", T.edits("l", "r").alias("e"))
+        return df.select("l", "r", long_edits("l", "r").alias("e"), long_token_edits("l", "r").alias("te"))
+    return compared(df)
+
+
+def compared(df: DataFrame) -> DataFrame:
+    """df (l, r and what else it has) with the edit distances of short texts."""
+    return df.withColumns({"e": T.edits("l", "r"), "te": T.token_edits(T.tokens("l"), T.tokens("r"))})
 
 
 def evaluate(df: DataFrame, level: str = "word", metrics: list[str] | None = None) -> DataFrame:

@@ -104,9 +104,9 @@ def _(spark, d):
 @query("report_pivot", measured("v_pairs", wer=True).replace("SELECT trim", "SELECT document_id, trim").replace("SELECT l, r", "SELECT document_id, l, r")
        + f"SELECT document_id, round(avg(CAST(l = r AS DOUBLE)), 9) AS ema, round(CAST(sum(e) AS DOUBLE) / sum(n), 9) AS cer, {WER} AS wer FROM m GROUP BY document_id")
 def _(spark, d):
-    df = view(spark, d, "v_pairs").select("document_id", T.normalize("ground_truth").alias("l"), T.normalize("prediction").alias("r")).withColumn("e", T.edits("l", "r"))
+    df = view(spark, d, "v_pairs").select("document_id", T.normalize("ground_truth").alias("l"), T.normalize("prediction").alias("r"))
     keys = ["ema", "cer", "wer"]
-    by_model = df.groupBy("document_id").agg(*(recognition.METRICS[k]().alias(k) for k in keys))
+    by_model = recognition.compared(df).groupBy("document_id").agg(*(recognition.METRICS[k]().alias(k) for k in keys))
     return reporting.pivoted(recognition.long_form(by_model, ["document_id"]), "document_id", "key", "value", keys)
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.udfs import long_edits, long_token_edits
 from quillspark.operators import recognition as R
 
 ROWS = [
@@ -58,6 +59,26 @@ def test_distances(spark):
         assert row.t == distance(row.l.split(), row.r.split())
 
 
+def test_long_distances(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choices(["ab", "żć", "a", "b"], k=rng.randint(0, 90))), " ".join(rng.choices(["ab", "żć", "c"], k=rng.randint(0, 90)))) for _ in range(40)] + [(None, "a"), ("", ""), ("", "a b")]
+    df = spark.createDataFrame(rows, "l string, r string")
+    for row in df.select("l", "r", long_edits("l", "r").alias("e"), long_token_edits("l", "r").alias("t")).collect():
+        if row.l is None:
+            assert row.e is None and row.t is None
+        else:
+            assert row.e == distance(row.l, row.r) and row.t == distance(row.l.split(), row.r.split())
+
+
+def test_levels_without_order(spark):
+    """Rows are joined as they are read."""
+    df = spark.createDataFrame(ROWS, SCHEMA).coalesce(1).drop("ord")
+    for level in R.LEVELS:
+        with_order = R.evaluate(spark.createDataFrame(ROWS, SCHEMA), level).first()
+        assert R.evaluate(df, level).first() == with_order
+    assert [r.level for r in R.report(df).collect()] == list(R.LEVELS)
+
+
 def test_names(spark):
     df = spark.createDataFrame([("x/doc_a_007.png",), ("scan.png",), ("a_1_b.jpg",)], "p string")
     document, line = T.sample_ids("p")
