@@ -136,12 +136,16 @@ def micro(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.select(*(keys or []), "n_gt", "n_pred", *detection_rates(F.col("matched"), F.col("n_pred"), F.col("n_gt")), *(rate(c).alias(f"{c}_rate") for c in ("split", "absorbed", "missed")))
 
 
-def ece(df: DataFrame, closed: bool, bins: int = 10) -> DataFrame:
-    """Expected calibration error of (score, correct). Open: a score of 1 is in no bin but counts in N."""
+def score_bin(closed: bool, bins: int = 10) -> Column:
+    """The bin of `score`. Open: a score of 1 is in none."""
     inside = lambda i: (F.col("score") >= i * 0.1) & ((F.col("score") < (i + 1) * 0.1) | (F.lit(closed) & (i == bins - 1) & (F.col("score") <= 1.0)))
-    bin_ = F.get(F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), inside), F.lit(0))
+    return F.get(F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), inside), F.lit(0))
+
+
+def ece(df: DataFrame, closed: bool) -> DataFrame:
+    """Expected calibration error of (score, correct). Open: a score of 1 is in no bin but counts in N."""
     # bins are few, so N is the sum of their counts
-    by_bin = df.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("hit"), F.avg("score").alias("sure"))
+    by_bin = df.groupBy(score_bin(closed).alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("hit"), F.avg("score").alias("sure"))
     gap = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("hit") - F.col("sure"))).otherwise(0.0)
     return by_bin.agg(F.coalesce(F.sum(gap) / F.sum("n"), F.lit(0.0)).alias("ece"))
 
@@ -163,8 +167,8 @@ def any_hits(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float
 LEVELS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
-def coco_map(gt: DataFrame, pred: DataFrame, most: int = 100) -> DataFrame:
-    """ap, ap50, ap75, ar100 of one category by the published COCO protocol; zeros without predictions.
+def average_precision(gt: DataFrame, pred: DataFrame, scopes: DataFrame, most: int = 100) -> DataFrame:
+    """(scope, ap, ap50, ap75, ar100) of one category by the published COCO protocol, for each scope of (image_id, scope) with boxes and predictions.
 
     At each threshold predictions match greedily. True positives are summed over falling
     score, in range partitions; at each of 101 recalls the precision is the largest of
@@ -174,15 +178,27 @@ def coco_map(gt: DataFrame, pred: DataFrame, most: int = 100) -> DataFrame:
     pred = pred.withColumn("rk", F.row_number().over(top)).filter(F.col("rk") <= most).drop("rk")
     hits = matches(pairs(gt, pred), LEVELS).groupBy("image_id", "pred").agg(F.collect_set("level").alias("levels"))
     names = [f"tp{i}" for i in range(len(LEVELS))]
-    rows = pred.select("image_id", "pred", "score").join(hits, ["image_id", "pred"], "left")
-    rows = rows.select("image_id", "pred", "score", *(F.coalesce(F.array_contains("levels", i), F.lit(False)).cast("long").alias(n) for i, n in enumerate(names)))
-    rows = running(rows, [F.desc("score"), F.asc("image_id"), F.asc("pred")], names, "k")
-    rows = rows.crossJoin(F.broadcast(gt.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_gt"))))  # one row
-    rows = rows.select("k", "n_gt", F.posexplode(F.array(*names)).alias("level", "tps"))
+    rows = pred.select("image_id", "pred", "score").join(hits, ["image_id", "pred"], "left").join(scopes, "image_id")
+    rows = rows.select("scope", "image_id", "pred", "score", *(F.coalesce(F.array_contains("levels", i), F.lit(False)).cast("long").alias(n) for i, n in enumerate(names)))
+    rows = rows.withColumns({f"own{i}": F.col(n) for i, n in enumerate(names)})
+    rows = running(rows, [F.asc("scope"), F.desc("score"), F.asc("image_id"), F.asc("pred")], names, "k")
+    # what stood before the scope; there are as many rows as scopes
+    before = rows.groupBy("scope").agg((F.min("k") - 1).alias("k0"), F.array(*(F.min(F.col(n) - F.col(f"own{i}")) for i, n in enumerate(names))).alias("tp0"))
+    before = before.join(gt.join(scopes, "image_id").groupBy("scope").agg(F.count("*").alias("n_gt")), "scope")
+    rows = rows.select("scope", "k", F.posexplode(F.array(*names)).alias("level", "tps")).join(before, "scope")
+    rows = rows.select("scope", "level", "n_gt", (F.col("k") - F.col("k0")).alias("k"), (F.col("tps") - F.element_at("tp0", F.col("level") + 1)).alias("tps"))
     recall = F.col("tps") / F.col("n_gt")
-    best = rows.groupBy("level", F.floor(recall * 100 + 1e-9).alias("point")).agg(F.max(F.col("tps") / F.col("k")).alias("precision"), F.max(recall).alias("recall"))
-    after = W.partitionBy("level").orderBy(F.desc("point")).rowsBetween(W.unboundedPreceding, 0)  # 101 rows at most
-    best = best.withColumns({"precision": F.max("precision").over(after), "low": F.coalesce(F.lag("point").over(W.partitionBy("level").orderBy("point")), F.lit(-1))})
-    by_level = best.groupBy("level").agg((F.sum(F.col("precision") * (F.col("point") - F.col("low"))) / 101).alias("ap"), F.max("recall").alias("ar"))
-    at = lambda i: F.coalesce(F.max(F.when(F.col("level") == i, F.col("ap"))), F.lit(0.0))
-    return by_level.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("ap"), at(0).alias("ap50"), at(5).alias("ap75"), F.coalesce(F.avg("ar"), F.lit(0.0)).alias("ar100"))
+    best = rows.groupBy("scope", "level", F.floor(recall * 100 + 1e-9).alias("point")).agg(F.max(F.col("tps") / F.col("k")).alias("precision"), F.max(recall).alias("recall"))
+    points = W.partitionBy("scope", "level")  # 101 rows at most
+    after = points.orderBy(F.desc("point")).rowsBetween(W.unboundedPreceding, 0)
+    best = best.withColumns({"precision": F.max("precision").over(after), "low": F.coalesce(F.lag("point").over(points.orderBy("point")), F.lit(-1))})
+    by_level = best.groupBy("scope", "level").agg((F.sum(F.col("precision") * (F.col("point") - F.col("low"))) / 101).alias("ap"), F.max("recall").alias("ar"))
+    at = lambda i: F.max(F.when(F.col("level") == i, F.col("ap")))
+    return by_level.groupBy("scope").agg(F.avg("ap").alias("ap"), at(0).alias("ap50"), at(5).alias("ap75"), F.avg("ar").alias("ar100"))
+
+
+def coco_map(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """ap, ap50, ap75, ar100 over all images; zeros without predictions."""
+    scopes = gt.select("image_id").union(pred.select("image_id")).distinct().withColumn("scope", F.lit(""))
+    found = average_precision(gt, pred, scopes)
+    return found.agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("ap", "ap50", "ap75", "ar100")))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import boxes, datasets, diagnostics, experiments, recognition, reporting
+from quillspark.operators import boxes, datasets, detection, diagnostics, experiments, recognition, reporting
 from quillspark.plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,21 +269,117 @@ def _(spark, d):
     return boxes.micro(counts.join(source, "image_id"), ["source"])
 
 
+OPERATING = "op AS (SELECT * FROM v_pred WHERE score >= 0.25), "
+AT_POINT = OPERATING + COUNTS.replace("v_pred", "op")
+
+
+def _report_sql() -> str:
+    pairs_all = PAIRS.replace("ov AS", "ova AS").replace("FROM ov ", "FROM ova ").replace("met AS", "meta AS")
+    parts, names = [], []
+    for t in range(50, 100, 5):
+        own = MATCHES.format(t=f"{t / 100}").replace("FROM met ", "FROM meta ")
+        for word in ("lst", "turn", "walk", "matches"):
+            own = own.replace(word, f"{word}{t}")
+        parts.append(own)
+        names.append(f"SELECT {t} AS t, pred FROM matches{t}")
+    zero = lambda *cs: ", ".join(f"round(coalesce({c}, 0), 9) AS {c}" for c in cs)
+    edges = " ".join(f"WHEN score >= {i} * CAST(0.1 AS DOUBLE) AND score < {i + 1} * CAST(0.1 AS DOUBLE) THEN {i}" for i in range(10))
+    return f"""WITH {AT_POINT}, {pairs_all}, {', '.join(parts)},
+      src AS (SELECT image_id, min_by(source, gt) AS source FROM v_gt GROUP BY image_id),
+      sco AS (SELECT image_id, '' AS scope FROM v_images UNION ALL SELECT image_id, '=' || source FROM src),
+      tot AS (SELECT scope, count(*) AS n_images, CAST(sum(n_gt) AS BIGINT) AS n_gt, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(matched) AS BIGINT) AS n_matched,
+        sum(split) AS s, sum(absorbed) AS a, sum(missed) AS m FROM cnt JOIN sco ON sco.image_id = cnt.image_id GROUP BY scope),
+      ious AS (SELECT scope, avg(iou) AS iou_mean, quantile_cont(iou, 0.5) AS iou_median FROM matches JOIN sco ON sco.image_id = matches.image_id GROUP BY scope),
+      jud AS (SELECT scope, CASE {edges} ELSE 9 END AS bin, score, CASE WHEN matches.pred IS NULL THEN 0.0 ELSE 1.0 END AS correct
+        FROM op JOIN sco ON sco.image_id = op.image_id LEFT JOIN matches ON matches.pred = op.pred),
+      bins AS (SELECT scope, bin, count(*) AS n, avg(correct) AS hit, avg(score) AS sure FROM jud GROUP BY scope, bin),
+      eces AS (SELECT scope, sum(n * abs(hit - sure)) / sum(n) AS ece FROM bins GROUP BY scope),
+      tp AS ({' UNION ALL '.join(names)}),
+      grid AS (SELECT scope, v.t, p.image_id, p.pred, p.score, CASE WHEN tp.pred IS NULL THEN 0 ELSE 1 END AS tp FROM v_pred AS p JOIN sco ON sco.image_id = p.image_id
+        CROSS JOIN (SELECT 50 + 5 * i AS t FROM range(10) AS x(i)) AS v LEFT JOIN tp ON tp.t = v.t AND tp.pred = p.pred),
+      run AS (SELECT scope, t, row_number() OVER o AS k, sum(tp) OVER (PARTITION BY scope, t ORDER BY score DESC, image_id, pred ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tps
+        FROM grid WINDOW o AS (PARTITION BY scope, t ORDER BY score DESC, image_id, pred)),
+      pts AS (SELECT run.scope, t, CAST(tps AS DOUBLE) / n_gt AS rec, CAST(tps AS DOUBLE) / k AS prec FROM run JOIN tot ON tot.scope = run.scope),
+      lvl AS (SELECT scope, t, CAST(floor(rec * 100 + 1e-9) AS BIGINT) AS pt, max(prec) AS prec, max(rec) AS rec FROM pts GROUP BY ALL),
+      got AS (SELECT w.scope, w.t, r, coalesce((SELECT max(prec) FROM lvl WHERE lvl.scope = w.scope AND lvl.t = w.t AND lvl.pt >= r), 0) AS p
+        FROM (SELECT DISTINCT scope, t FROM lvl) AS w CROSS JOIN range(101) AS q(r)),
+      aps AS (SELECT scope, avg(p) AS ap, avg(p) FILTER (t = 50) AS ap50, avg(p) FILTER (t = 75) AS ap75 FROM got GROUP BY scope),
+      ars AS (SELECT scope, avg(ar) AS ar100 FROM (SELECT scope, t, max(rec) AS ar FROM lvl GROUP BY ALL) GROUP BY scope),
+      pr AS (SELECT *, CASE WHEN n_pred > 0 THEN n_matched / CAST(n_pred AS DOUBLE) ELSE 0 END AS p, CASE WHEN n_gt > 0 THEN n_matched / CAST(n_gt AS DOUBLE) ELSE 0 END AS r FROM tot)
+      SELECT CASE WHEN pr.scope <> '' THEN substr(pr.scope, 2) END AS source, CAST(0.25 AS DOUBLE) AS conf_thresh, {zero('ap', 'ap50', 'ap75', 'ar100')}, round(p, 9) AS precision, round(r, 9) AS recall,
+        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1, round(m / CAST(n_gt AS DOUBLE), 9) AS missed_rate, round(s / CAST(n_gt AS DOUBLE), 9) AS split_rate,
+        round(a / CAST(n_gt AS DOUBLE), 9) AS merge_rate, {zero('iou_mean', 'iou_median', 'ece')}, n_images, n_gt, n_pred, n_matched
+      FROM pr LEFT JOIN ious ON ious.scope = pr.scope LEFT JOIN eces ON eces.scope = pr.scope LEFT JOIN aps ON aps.scope = pr.scope LEFT JOIN ars ON ars.scope = pr.scope"""
+
+
+@query("detection_report", _report_sql(), recursive=True)
+def _(spark, d):
+    return detection.report(*_boxes(spark, d))
+
+
+@query("prf1", f"WITH {AT_POINT} {rates()}".replace("SELECT n_gt, n_pred, round", "SELECT precision, recall, f1 FROM (SELECT n_gt, n_pred, round") + ")", recursive=True)
+def _(spark, d):
+    images, gt, pred = _boxes(spark, d)
+    return boxes.micro(boxes.line_counts(images, gt, detection.at_operating_point(pred))).select("precision", "recall", "f1")
+
+
+BLOCK = f"""WITH {OPERATING}{PAIRS.replace("v_pred", "op")}, us AS (SELECT * FROM v_images WHERE image_id IN (SELECT image_id FROM v_gt)),
+  hit AS (SELECT * FROM met WHERE iou >= 0.5), bst AS (SELECT image_id, gt, count(*) AS k, max(iou) AS iou FROM hit GROUP BY image_id, gt),
+  own AS (SELECT image_id, pred, count(*) AS k, arg_max(gt, {{'i': iou, 'g': -gt}}) AS gt FROM hit GROUP BY image_id, pred),
+  err AS (SELECT abs((p.y + p.h / 2) / height - (g.y + g.h / 2) / height) AS cy, abs((p.w / width) / (p.h / height + 1e-6) - (g.w / width) / (g.h / height + 1e-6)) AS ar
+    FROM own JOIN v_gt AS g ON g.image_id = own.image_id AND g.gt = own.gt JOIN op AS p ON p.image_id = own.image_id AND p.pred = own.pred JOIN us ON us.image_id = own.image_id),
+  n AS (SELECT us.image_id, (SELECT count(*) FROM v_gt WHERE v_gt.image_id = us.image_id) AS g, (SELECT count(*) FROM op WHERE op.image_id = us.image_id) AS p FROM us),
+  tot AS (SELECT sum(g) AS g, sum(p) AS p, avg(CAST(g = p AS DOUBLE)) AS exact, avg(CAST(abs(g - p) <= 1 AS DOUBLE)) AS near FROM n),
+  jud AS (SELECT CASE {" ".join(f"WHEN score >= {i} * CAST(0.1 AS DOUBLE) AND score < {i + 1} * CAST(0.1 AS DOUBLE) THEN {i}" for i in range(10))} END AS bin, score, CASE WHEN own.pred IS NULL THEN 0.0 ELSE 1.0 END AS correct
+    FROM op JOIN us ON us.image_id = op.image_id LEFT JOIN own ON own.image_id = op.image_id AND own.pred = op.pred),
+  bins AS (SELECT bin, count(*) AS n, avg(correct) AS hit, avg(score) AS sure FROM jud GROUP BY bin)
+  SELECT round((SELECT avg(iou) FROM bst), 9) AS iou_mean, round((SELECT quantile_cont(iou, 0.5) FROM bst), 9) AS iou_median, round((SELECT quantile_cont(iou, 0.1) FROM bst), 9) AS iou_p10,
+    round((SELECT quantile_cont(iou, 0.9) FROM bst), 9) AS iou_p90, round(1 - (SELECT count(*) FROM bst) / CAST(g AS DOUBLE), 9) AS missed_line_rate,
+    round((SELECT count(*) FROM bst WHERE k > 1) / CAST(g AS DOUBLE), 9) AS split_rate, round((SELECT count(*) FROM own WHERE k > 1) / CAST(p AS DOUBLE), 9) AS merge_rate,
+    round((SELECT quantile_cont(cy, 0.5) FROM err), 9) AS median_cy_error_norm, round((SELECT quantile_cont(ar, 0.5) FROM err), 9) AS median_ar_error, round(exact, 9) AS line_count_acc_exact,
+    round(near, 9) AS line_count_acc_pm1, round((SELECT sum(CASE WHEN bin IS NULL THEN 0 ELSE n * abs(hit - sure) END) / sum(n) FROM bins), 9) AS confidence_ece FROM tot"""
+
+
+@query("notebook_block", BLOCK)
+def _(spark, d):
+    return detection.validation_block(*_boxes(spark, d))
+
+
+@query("count_acc", BLOCK.replace("SELECT round((SELECT avg(iou) FROM bst), 9) AS iou_mean", "SELECT 0 AS iou_mean").replace("SELECT 0 AS iou_mean", "SELECT line_count_acc_exact, line_count_acc_pm1 FROM (SELECT 0 AS iou_mean") + ")")
+def _(spark, d):
+    images, gt, pred = _boxes(spark, d)
+    used = images.join(gt, "image_id", "left_semi")
+    hits = boxes.any_hits(used, gt, detection.at_operating_point(pred))
+    return hits.select(F.col("count_within_0").alias("line_count_acc_exact"), F.col("count_within_1").alias("line_count_acc_pm1"))
+
+
+@query("iou_histogram", f"WITH {PAIRS}, {AT_HALF} SELECT CAST(least(floor(iou * 20), 19) AS INTEGER) AS bin, round(CAST(least(floor(iou * 20), 19) AS DOUBLE) / 20, 9) AS low, count(*) AS n FROM matches GROUP BY 1, 2", recursive=True)
+def _(spark, d):
+    return detection.iou_histogram(boxes.greedy(boxes.pairs(view(spark, d, "v_gt"), view(spark, d, "v_pred"))))
+
+
+@query("detection_delta", """SELECT image_id AS image, raw, preprocessed, preprocessed - raw AS delta FROM (
+  SELECT image_id, count(*) FILTER (pred < 100000000) AS raw, count(*) FILTER (pred >= 100000000) AS preprocessed FROM v_pred GROUP BY image_id)""")
+def _(spark, d):
+    variant = F.when(F.col("pred") < 100000000, "raw").otherwise("preprocessed")
+    return detection.detection_delta(view(spark, d, "v_pred").select(F.col("image_id").alias("image"), variant.alias("variant"), "pred"))
+
+
 @query("source_first", "SELECT image_id, min_by(source, gt) AS source FROM v_gt GROUP BY image_id")
 def _(spark, d):
-    return view(spark, d, "v_gt").groupBy("image_id").agg(F.min_by("source", "gt").alias("source"))
+    return detection.image_sources(view(spark, d, "v_gt"))
 
 
 @query("conf_filter", "SELECT image_id, pred FROM v_pred WHERE score >= 0.25")
 def _(spark, d):
-    return view(spark, d, "v_pred").filter("score >= 0.25").select("image_id", "pred")
+    return detection.at_operating_point(view(spark, d, "v_pred")).select("image_id", "pred")
 
 
 @query("iou_percentiles", f"WITH {PAIRS}, {AT_HALF} SELECT round(avg(iou), 9) AS mean, round(quantile_cont(iou, 0.1), 9) AS p10, round(quantile_cont(iou, 0.5), 9) AS p50, round(quantile_cont(iou, 0.9), 9) AS p90 FROM matches", recursive=True)
 def _(spark, d):
     hits = boxes.greedy(boxes.pairs(view(spark, d, "v_gt"), view(spark, d, "v_pred")))
-    p = F.percentile("iou", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return hits.agg(F.avg("iou").alias("mean"), p.alias("p")).select("mean", *(F.col("p")[i].alias(f"p{q}") for i, q in enumerate((10, 50, 90))))
+    q = detection.quantiles(hits.withColumn("all", F.lit(1)), ["all"], "iou", ["image_id", "pred"], [0.1, 0.5, 0.9])
+    return q.crossJoin(F.broadcast(hits.agg(F.avg("iou").alias("mean")))).select("mean", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((10, 50, 90))))
 
 
 @query("pair_errors", f"""WITH {PAIRS}, {AT_HALF} SELECT round(median(abs((p.y + p.h / 2) - (g.y + g.h / 2)) / g.h), 9) AS centre_error, round(median(abs(p.w / p.h - g.w / g.h)), 9) AS aspect_error
