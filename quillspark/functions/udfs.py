@@ -43,6 +43,11 @@ long_edits = _distances(lambda text: text)
 long_token_edits = _distances(lambda text: text.split(" ") if text else [])
 
 
+@F.pandas_udf(StringType())
+def six_decimals(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: f"{x:.6f}", na_action="ignore")
+
+
 def unicode_form(form: str) -> Callable[[Column | str], Column]:
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:

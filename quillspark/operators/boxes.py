@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions.udfs import six_decimals
 from quillspark.operators.ordered import fold, running
 
 THRESHOLD = 0.5
@@ -27,10 +28,12 @@ def clip01(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
-def yolo_line(width: Column, height: Column, cls: Column | None = None) -> Column:
+def yolo_line(width: Column, height: Column, cls: Column | None = None, exact: bool = False) -> Column:
+    """A label line of six decimals; `exact` rounds the binary value, as Python does, where Java rounds the shortest decimal."""
     x, y, w, h = (F.col(c) for c in "xywh")
     parts = [clip01((x + w / 2) / width), clip01((y + h / 2) / height), clip01(w / width), clip01(h / height)]
-    return F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(0) if cls is None else cls, *parts)
+    parts = [six_decimals(p) if exact else F.format_string("%.6f", p) for p in parts]
+    return F.concat_ws(" ", (F.lit(0) if cls is None else cls).cast("string"), *parts)
 
 
 def parsed_yolo(line: Column, width: Column, height: Column) -> Column:
@@ -43,6 +46,17 @@ def parsed_yolo(line: Column, width: Column, height: Column) -> Column:
     return F.when(F.size(p) >= 5, box)
 
 
+def lines_of_polygons(df: DataFrame) -> DataFrame:
+    """df with x, y, w, h around `boundary` (an array of points) and score 1; rows without points are left out."""
+    return df.filter(F.size("boundary") > 0).withColumn("_b", polygon_box(F.col("boundary"))).select("*", "_b.*", F.lit(1.0).alias("score")).drop("_b")
+
+
+def records(category: int = 1) -> Column:
+    """A prediction in results format: image, category, box and score; a missing score is 1."""
+    box = F.array(*(F.col(c).cast("double") for c in "xywh"))
+    return F.struct("image_id", F.lit(category).alias("category_id"), box.alias("bbox"), F.coalesce("score", F.lit(1.0)).alias("score"))
+
+
 def polygon_box(points: Column) -> Column:
     """Struct (x, y, w, h) around an array of (x, y); null if empty."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

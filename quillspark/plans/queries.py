@@ -483,18 +483,65 @@ def _(spark, d):
     return datasets.hashed_split(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), "c_custkey")
 
 
-@query("yolo_files", f"""WITH l AS (SELECT image_id, gt, {YOLO} AS line FROM v_gt), t AS (SELECT image_id, string_agg(line, chr(10) ORDER BY gt) AS text FROM l GROUP BY image_id)
-  SELECT i.image_id, coalesce(text, '') AS text FROM v_images AS i LEFT JOIN t ON t.image_id = i.image_id""")
+@query("yolo_lines", f"SELECT gt, {YOLO} AS line FROM v_gt")
+def _(spark, d):
+    return view(spark, d, "v_gt").select("gt", boxes.yolo_line(F.lit(600), F.lit(800), exact=True).alias("line"))
+
+
+@query("yolo_files", f"""WITH l AS (SELECT image_id, gt, {YOLO} AS line FROM v_gt), t AS (SELECT image_id, string_agg(line || chr(10), '' ORDER BY gt) AS text FROM l GROUP BY image_id)
+  SELECT i.image_id, replace(file_name, '.png', '.txt') AS name, coalesce(text, '') AS text FROM v_images AS i LEFT JOIN t ON t.image_id = i.image_id""")
 def _(spark, d):
     return datasets.yolo_files(view(spark, d, "v_images"), view(spark, d, "v_gt"))
 
 
-@query("page_xml", """WITH c AS (SELECT *, CAST(x AS INTEGER) AS a, CAST(y AS INTEGER) AS b, CAST(x + w AS INTEGER) AS r, CAST(y + h AS INTEGER) AS e, CAST(round_even(y + 0.75 * h, 0) AS INTEGER) AS m FROM v_gt),
-  l AS (SELECT image_id, gt, format('<TextLine id="l{}"><Coords points="{},{} {},{} {},{} {},{}"/><Baseline points="{},{} {},{}"/></TextLine>', gt, a, b, r, b, r, e, a, e, a, m, r, m) AS line FROM c),
-  t AS (SELECT image_id, string_agg(line, '' ORDER BY gt) AS lines FROM l GROUP BY image_id)
-  SELECT i.image_id, format('<PcGts><Page imageFilename="{}" imageWidth="{}" imageHeight="{}"><TextRegion id="r0">{}</TextRegion></Page></PcGts>', file_name, width, height, coalesce(lines, '')) AS xml FROM v_images AS i LEFT JOIN t ON t.image_id = i.image_id""")
+NAMED = "CASE WHEN image_id % 5 = 0 THEN concat('scans/a&b <', CAST(image_id AS VARCHAR), '>\".png') ELSE concat('page_', CAST(image_id AS VARCHAR), '.png') END"
+
+
+@query("page_xml", f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gt) - 1 AS k, CAST(x AS INTEGER) AS a, CAST(y AS INTEGER) AS b, CAST(x + w AS INTEGER) AS r, CAST(y + h AS INTEGER) AS e, CAST(round_even(y + 0.75 * h, 0) AS INTEGER) AS m FROM v_gt),
+  l AS (SELECT image_id, gt, format('<TextLine id="l{{}}"><Coords points="{{}},{{}} {{}},{{}} {{}},{{}} {{}},{{}}" /><Baseline points="{{}},{{}} {{}},{{}}" /></TextLine>', k, a, b, r, b, r, e, a, e, a, m, r, m) AS line FROM c),
+  t AS (SELECT image_id, string_agg(line, '' ORDER BY gt) AS lines FROM l GROUP BY image_id), i AS (SELECT image_id, width, height, regexp_extract({NAMED}, '([^/]*)$', 1) AS base FROM v_images)
+  SELECT i.image_id, replace(base, '.png', '.xml') AS name, concat('<PcGts xmlns="{datasets.PAGE_NS}"><Page imageFilename="', replace(replace(replace(replace(base, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'),
+    format('" imageWidth="{{0}}" imageHeight="{{1}}"><TextRegion id="r0"><Coords points="0,0 {{0}},0 {{0}},{{1}} 0,{{1}}" />', width, height), coalesce(lines, ''), '</TextRegion></Page></PcGts>') AS xml
+  FROM i LEFT JOIN t ON t.image_id = i.image_id""")
+def _(spark, d):
+    images = view(spark, d, "v_images")
+    odd = F.concat(F.lit("scans/a&b <"), F.col("image_id").cast("string"), F.lit('>".png'))
+    return datasets.page_xml(images.withColumn("file_name", F.when(F.col("image_id") % 5 == 0, odd).otherwise(F.col("file_name"))), view(spark, d, "v_gt"))
+
+
+NOTES = """img AS (SELECT image_id, file_name, CASE WHEN image_id % 11 = 0 THEN 0 ELSE width END AS width, height FROM v_images),
+  fil AS (SELECT CASE image_id % 4 WHEN 0 THEN '/data/' WHEN 1 THEN '/data/images/' ELSE '/pool/' END || file_name AS path FROM v_images WHERE image_id % 7 <> 0),
+  ann AS (SELECT image_id, gt, gt % 4 AS category_id, CASE WHEN gt % 13 = 0 THEN NULL WHEN gt % 17 = 0 THEN [x, y, w] WHEN gt % 23 = 0 THEN [x, y, 0.0, h] ELSE [x, y, w, h] END AS bbox FROM v_gt)"""
+
+
+def _notes(spark, d):
+    images = view(spark, d, "v_images")
+    folder = F.when(F.col("image_id") % 4 == 0, "/data/").when(F.col("image_id") % 4 == 1, "/data/images/").otherwise("/pool/./x/../")
+    listed = images.filter("image_id % 7 <> 0").select(F.concat(folder, F.col("file_name")).alias("path"))
+    images = images.withColumn("width", F.when(F.col("image_id") % 11 == 0, 0).otherwise(F.col("width")))
+    gt, box = F.col("gt"), F.array("x", "y", "w", "h")
+    flawed = F.when(gt % 17 == 0, F.slice(box, 1, 3)).when(gt % 23 == 0, F.array("x", "y", F.lit(0.0), "h")).otherwise(box)
+    annotations = view(spark, d, "v_gt").select("image_id", "gt", (gt % 4).alias("category_id"), F.when(gt % 13 != 0, flawed).alias("bbox"))
+    categories = spark.createDataFrame([(3,), (1,), (2,)], "category_id long")
+    return datasets.resolved_paths(images, listed, "/data", "/pool"), annotations, categories
+
+
+@query("coco_convert", f"""WITH {NOTES}, pth AS (SELECT img.*, (SELECT min_by(path, rk) FROM (VALUES (1, '/data/'), (2, '/pool/'), (4, '/data/images/')) AS p(rk, folder) JOIN fil ON path = folder || file_name WHERE rk < 4) AS path FROM img),
+  ok AS (SELECT * FROM pth WHERE path IS NOT NULL AND width > 0),
+  box AS (SELECT a.image_id, gt, CASE WHEN category_id = 0 THEN 0 ELSE category_id - 1 END AS cls, width, height, bbox, bbox IS NULL OR len(bbox) <> 4 OR coalesce(bbox[3] <= 0, true) AS flaw FROM ann AS a JOIN ok ON ok.image_id = a.image_id),
+  txt AS (SELECT image_id, count(*) FILTER (flaw) AS skipped, coalesce(string_agg(format('{{}} {{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', cls, least(greatest((bbox[1] + bbox[3] / 2) / width, 0.0), 1.0), least(greatest((bbox[2] + bbox[4] / 2) / height, 0.0), 1.0),
+    least(greatest(bbox[3] / width, 0.0), 1.0), least(greatest(bbox[4] / height, 0.0), 1.0)), chr(10) ORDER BY gt) FILTER (NOT flaw), '') AS text FROM box GROUP BY image_id)
+  SELECT pth.image_id, replace(file_name, '.png', '.txt') AS name, path, CASE WHEN ok.image_id IS NULL THEN 'missing' ELSE 'copied' END AS state, CASE WHEN ok.image_id IS NOT NULL THEN coalesce(text, '') END AS text, coalesce(skipped, 0) AS skipped
+  FROM (SELECT image_id, file_name, path FROM pth) AS pth LEFT JOIN (SELECT image_id FROM ok) AS ok ON ok.image_id = pth.image_id LEFT JOIN txt ON txt.image_id = pth.image_id""")
+def _(spark, d):
+    return datasets.converted(*_notes(spark, d))
+
+
+@query("convert_counts", f"""WITH {NOTES}, ok AS (SELECT image_id FROM img WHERE width > 0 AND image_id % 7 <> 0 AND image_id % 4 <> 1)
+  SELECT count(*) AS copied, (SELECT count(*) FROM img) - count(*) AS missing, count(*) AS written,
+    (SELECT count(*) FROM ann WHERE image_id IN (SELECT image_id FROM ok) AND (bbox IS NULL OR len(bbox) <> 4 OR coalesce(bbox[3] <= 0, true))) AS skipped FROM ok""")
 def _(spark, d):
-    return datasets.page_xml(view(spark, d, "v_images"), view(spark, d, "v_gt"))
+    return datasets.conversion_counts(datasets.converted(*_notes(spark, d)))
 
 
 @query("dup_stems", "SELECT split_part(c_name, '#', 1) AS stem, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
