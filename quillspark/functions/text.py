@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from math import isfinite
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Escapes of LaTeX's special characters (fixed values).
@@ -78,6 +80,20 @@ def latex_escape(text: Column | str) -> Column:
     return F.array_join(F.transform(F.split(col(text), ""), lambda c: F.coalesce(table[c], c)), "")
 
 
+def latex(text: str | None) -> str:
+    """The same for a text of the driver."""
+    return "".join(LATEX.get(c, c) for c in text or "")
+
+
+def four_decimals(value: object) -> str:
+    """The same as `format_number` for a value of the driver; what is no number stays as it is."""
+    try:
+        number = float("nan") if value is None else float(value)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return str(value)
+    return f"{number:.4f}" if isfinite(number) else "n/a"
+
+
 def format_number(value: Column | str) -> Column:
     """Four decimals, or n/a where there is no finite number."""
     v = col(value)
@@ -96,9 +112,11 @@ def clean_generated(text: Column | str, prompt: str, image_token: str = "<image>
     return F.when(alike, F.trim(F.substring(plain, (F.locate(mark, plain) + len(mark)).cast("int"), F.lit(1 << 30)))).otherwise(plain)
 
 
-def first_key(json: Column | str, keys: tuple[str, ...] = ("sentence", "text", "label", "value")) -> Column:
-    """The first of the keys that a JSON object has."""
-    return F.coalesce(*(F.get_json_object(col(json), f"$.{k}") for k in keys))
+def first_key(json: Column | str, keys: tuple[str, ...] = ("sentence", "text", "label", "value"), inside: tuple[str, ...] = ("", "[0]", ".result", ".prediction", "[0][0]")) -> Column:
+    """The first of the keys that a JSON object has, or the objects in it; a plain JSON text is its own value."""
+    at = [F.get_json_object(col(json), f"${place}.{k}") for place in inside for k in keys]
+    plain = F.when(F.trim(col(json)).startswith('"'), F.from_json(F.concat(F.lit('{"v":'), col(json), F.lit("}")), "v string")["v"])
+    return F.coalesce(*at, plain)
 
 
 def joined(parts: Column, sep: str = " ") -> Column:
@@ -110,3 +128,19 @@ def in_order(order: list[Column], value: Column, sep: str) -> Column:
     """Aggregate: the values joined in the order of the key, whatever order the shuffle left."""
     rows = F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), value.alias("v"))))
     return F.array_join(F.transform(rows, lambda r: r["v"]), sep)
+
+
+def page_texts(df: DataFrame, page: list[str], line: str, order: str, text: str) -> DataFrame:
+    """page and `text`: trimmed lines joined by line breaks, parts of a page (`line`) by empty lines, both in order."""
+    parts = df.groupBy(*page, line).agg(in_order([F.col(order)], F.trim(text), "\n").alias("_part"))
+    return parts.groupBy(*page).agg(in_order([F.col(line)], F.col("_part"), "\n\n").alias("text"))
+
+
+def base64_of(data: Column) -> Column:
+    """Base64 without line breaks."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
+def decoded(text: Column) -> Column:
+    """Bytes of a base64 text; null if it is none."""
+    return F.try_to_binary(text, F.lit("base64"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import time
 import unicodedata
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 
 def distance(a: Sequence, b: Sequence) -> int:
@@ -61,49 +66,139 @@ def mock_recogniser(paths: list[str]) -> list[str]:
     return [p.rsplit("/", 1)[-1].rsplit(".", 1)[0].replace("_", " ") for p in paths]
 
 
-def recognise(samples: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], batch: int = 8) -> DataFrame:
-    """samples (with image_path) and `prediction`; the model is loaded once a partition, batches are of `batch`."""
-    schema = StructType([*samples.schema.fields, StructField("prediction", StringType())])
+Loader = Callable[[], Callable[[list[str]], list[str]]]
+
+
+def one_by_one(predict: Callable[[str], str]) -> Callable[[list[str]], list[str]]:
+    """A recogniser of batches from one of single images."""
+    return lambda paths: [predict(p) for p in paths]
+
+
+def recognise(samples: DataFrame, load: Loader, batch: int = 8, seconds: bool = False) -> DataFrame:
+    """samples (with image_path) and `prediction`; the model is loaded once a partition, batches are of `batch`.
+
+    With `seconds`, each sample's part of the time that its batch took.
+    """
+    fields = [*samples.schema.fields, StructField("prediction", StringType()), *([StructField("seconds", DoubleType())] if seconds else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in frames:
             texts: list[str] = []
+            took: list[float] = []
             for at in range(0, len(frame), batch):
                 part = list(frame["image_path"].iloc[at : at + batch])
+                began = time.perf_counter()
                 got = model(part)
                 if len(got) != len(part):
                     raise RuntimeError(f"{len(got)} predictions for {len(part)} samples")
                 texts += got
-            yield frame.assign(prediction=texts)
+                took += [(time.perf_counter() - began) / len(part)] * len(part)
+            frame = frame.assign(prediction=texts)
+            yield frame.assign(seconds=took) if seconds else frame
 
-    return samples.mapInPandas(run, schema)
+    return samples.mapInPandas(run, StructType(fields))
 
 
-def http_recogniser(base_url: str, options: dict, timeout: float = 60.0) -> Callable[[], Callable[[list[str]], list[str]]]:
-    """Loader of a client for the /load and /predict_batch contract; images travel as base64."""
+class ServiceError(RuntimeError):
+    """A service's answer that says what is wrong, or is none of the agreed form."""
+
+
+class Service:
+    """Client of a recogniser service: /health, /load, /predict and /predict_batch, images as base64."""
+
+    def __init__(self, url: str, options: dict | None = None, timeout: float = 60.0) -> None:
+        self.url, self.options, self.timeout = url.rstrip("/"), options or {}, timeout
+
+    def _ask(self, path: str, body: dict | None = None) -> dict:
+        data = None if body is None else json.dumps(body).encode()
+        request = urllib.request.Request(f"{self.url}{path}", data, {"Content-Type": "application/json"} if data else {})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                answer = json.loads(reply.read())
+        except urllib.error.HTTPError as e:
+            raise ServiceError(error_detail(e.code, path, e.read().decode("utf-8", "replace"))) from None
+        except ValueError:
+            raise ServiceError(f"{path}: the answer is no JSON") from None
+        if not isinstance(answer, dict):
+            raise ServiceError(f"{path}: the answer is no JSON object")
+        return answer
+
+    def health(self) -> dict:
+        return self._ask("/health")
+
+    def load(self) -> dict:
+        return self._ask("/load", {"options": self.options})
+
+    def predict(self, path: str) -> str:
+        return str(self._ask("/predict", {"image_base64": encoded(path), "options": self.options}).get("text", "")).strip()
+
+    def predict_batch(self, paths: list[str]) -> list[str]:
+        return self.predict_images([open(local(p), "rb").read() for p in paths])
+
+    def predict_images(self, images: list[bytes]) -> list[str]:
+        """Texts of encoded images; nothing is asked for none."""
+        if not images:
+            return []
+        body = {"images_base64": [base64.b64encode(x).decode() for x in images], "options": self.options}
+        texts = self._ask("/predict_batch", body).get("texts", [])
+        if not isinstance(texts, list):
+            raise ServiceError("/predict_batch: texts are no list")
+        return [str(t).strip() for t in texts]
 
-    def load() -> Callable[[list[str]], list[str]]:
-        import base64
-        import json
-        import urllib.request
 
-        def post(path: str, body: dict) -> dict:
-            request = urllib.request.Request(f"{base_url}{path}", json.dumps(body).encode(), {"Content-Type": "application/json"})
-            with urllib.request.urlopen(request, timeout=timeout) as reply:
-                return json.load(reply)
+def error_detail(code: int, path: str, body: str) -> str:
+    """What a failed answer says: its `detail`, else its JSON object, else its text, else the bare code."""
+    message = f"HTTP {code} from {path}"
+    try:
+        answer = json.loads(body)
+    except ValueError:
+        answer = None
+    if isinstance(answer, dict):
+        return f"{message}: {answer.get('detail') or json.dumps(answer, ensure_ascii=False)}"
+    return f"{message}: {body.strip()}" if body.strip() else message
 
-        post("/load", {"options": options})
 
-        def predict(paths: list[str]) -> list[str]:
-            if not paths:
-                return []
-            images = [base64.b64encode(open(p.removeprefix("file:"), "rb").read()).decode() for p in paths]
-            texts = post("/predict_batch", {"images_base64": images, "options": options}).get("texts")
-            if not isinstance(texts, list) or not all(isinstance(t, str) for t in texts):
-                raise RuntimeError("the service's answer has no list of texts")
-            return texts
+def local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
 
-        return predict
+
+def encoded(path: str) -> str:
+    with open(local(path), "rb") as f:
+        return base64.b64encode(f.read()).decode()
+
+
+_services: dict[tuple[str, str], Service] = {}
+
+
+def http_recogniser(base_url: str, options: dict | None = None, timeout: float = 60.0) -> Loader:
+    """Loader of a service's client; a worker asks a service to load once for its options, and only if it is well."""
+
+    def load() -> Callable[[list[str]], list[str]]:
+        key = (base_url, json.dumps(options or {}, sort_keys=True))
+        if key not in _services:
+            service = Service(base_url, options, timeout)
+            if (state := service.health()).get("status") != "ok":
+                raise ServiceError(f"the service is not well: {state}")
+            service.load()
+            _services[key] = service
+        return _services[key].predict_batch
 
     return load
+
+
+#: What a detector finds on a page.
+DETECTED = "array<struct<x: double, y: double, w: double, h: double, score: double>>"
+
+
+def detect(pages: DataFrame, load: Callable[[], Callable[[bytes], list[tuple[float, float, float, float, float]]]], keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, pred, x, y, w, h, score): the boxes that a detector, loaded once a partition, finds on each page."""
+    schema = StructType([pages.schema[k] for k in keys])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = load()
+        for frame in frames:
+            yield frame[keys].assign(boxes=[[dict(zip(("x", "y", "w", "h", "score"), map(float, b), strict=True)) for b in found(c)] for c in frame[content]])
+
+    boxed = pages.select(*keys, content).mapInPandas(run, f"{schema.toDDL()}, boxes {DETECTED}")
+    return boxed.select(*keys, F.posexplode("boxes").alias("pred", "b")).select(*keys, F.col("pred").cast("long").alias("pred"), "b.*")

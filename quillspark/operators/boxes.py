@@ -77,6 +77,26 @@ def baseline_y() -> Column:
     return F.bround(F.col("y") + 0.75 * F.col("h")).cast("int")
 
 
+def reading_order(df: DataFrame) -> DataFrame:
+    """df with `line`, from 1 down each image by the middles of its boxes."""
+    order = W.partitionBy("image_id").orderBy(F.col("y") + F.col("h") / 2, "pred")
+    return df.withColumn("line", F.row_number().over(order).cast("long"))
+
+
+def surest(df: DataFrame, most: int = 300) -> DataFrame:
+    """The `most` predictions of each image with the highest scores."""
+    order = W.partitionBy("image_id").orderBy(F.desc("score"), "pred")
+    return df.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most).drop("_k")
+
+
+def pair_errors(matches: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """(image_id, gt, pred, centre_error, aspect_error): vertical middle off by how much of the box's height, and difference of width over height."""
+    g, p = (df.select("image_id", key, *(F.col(c).alias(f"{key[0]}{c}") for c in "ywh")) for df, key in ((gt, "gt"), (pred, "pred")))
+    met = matches.join(g, ["image_id", "gt"]).join(p, ["image_id", "pred"])
+    centre = F.abs((F.col("py") + F.col("ph") / 2) - (F.col("gy") + F.col("gh") / 2)) / F.col("gh")
+    return met.select("image_id", "gt", "pred", centre.alias("centre_error"), F.abs(F.col("pw") / F.col("ph") - F.col("gw") / F.col("gh")).alias("aspect_error"))
+
+
 def pairs(gt: DataFrame, pred: DataFrame, overlapping: bool = True) -> DataFrame:
     """(image_id, gt, pred, score, inter, iou, of_gt, of_pred) for boxes of one image that overlap (or all)."""
     side = lambda df, s, own: df.select("image_id", *own, *(F.col(c).alias(f"{s}{c}") for c in "xywh"))

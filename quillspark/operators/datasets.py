@@ -19,6 +19,12 @@ def split_sizes(n: int, val: float = 0.15, test: float = 0.15) -> tuple[int, int
     return v, t, n - v - t
 
 
+def sizes_of(n: Column, val: float = 0.15, test: float = 0.15) -> list[Column]:
+    """The same of a column."""
+    v, t = F.bround(n * val).cast("long"), F.bround(n * test).cast("long")
+    return [v.alias("val"), t.alias("test"), (n - v - t).alias("train")]
+
+
 def shuffled_split(ids: list[int], seed: int = 0, val: float = 0.15, test: float = 0.15) -> dict[str, list[int]]:
     """Seeded permutation of sorted ids, for lists that fit the driver: test comes first, then val, and train is the rest."""
     order = sorted(ids)
@@ -181,3 +187,14 @@ def first_n(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
 
 def duplicate_stems(df: DataFrame, stem: Column) -> DataFrame:
     return df.groupBy(stem.alias("stem")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def batches(df: DataFrame, group: list[str], order: list[str], size: int = 8) -> DataFrame:
+    """df with `batch`, from 0 within the group."""
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1
+    return df.withColumn("batch", F.floor(place / size))
+
+
+def source_prefix(path: Column, mark: str = "_") -> Column:
+    """What stands before the first mark of a file's stem."""
+    return F.split_part(stem(path), F.lit(mark), F.lit(1))

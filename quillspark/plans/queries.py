@@ -150,17 +150,17 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", T.first_key("props", ("sentence", "k")).alias("value"))
 
 
-@query("base64_roundtrip", "SELECT item_id, to_base64(encode(text)) AS encoded, text AS decoded FROM benchmark")
+@query("base64_roundtrip", "SELECT item_id, to_base64(encode(text)) AS encoded, text AS decoded, CASE WHEN item_id % 3 = 0 THEN text END AS checked FROM benchmark")
 def _(spark, d):
-    code = F.base64(F.col("text").cast("binary"))
-    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.translate(code, "\r\n", "").alias("encoded"), F.unbase64(code).cast("string").alias("decoded"))
+    code = T.base64_of(F.col("text").cast("binary"))
+    spoilt = F.when(F.col("item_id") % 3 == 0, code).otherwise(F.concat(F.lit("*"), code))
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", code.alias("encoded"), T.decoded(code).cast("string").alias("decoded"), T.decoded(spoilt).cast("string").alias("checked"))
 
 
 @query("page_text", """WITH x AS (SELECT document_id, line_id, string_agg(trim(ground_truth), chr(10) ORDER BY ord) AS page FROM v_dialog GROUP BY ALL)
   SELECT document_id, string_agg(page, chr(10) || chr(10) ORDER BY line_id) AS text FROM x GROUP BY document_id""")
 def _(spark, d):
-    pages = view(spark, d, "v_dialog").groupBy("document_id", "line_id").agg(T.in_order([F.col("ord")], F.trim("ground_truth"), "\n").alias("page"))
-    return pages.groupBy("document_id").agg(T.in_order([F.col("line_id")], F.col("page"), "\n\n").alias("text"))
+    return T.page_texts(view(spark, d, "v_dialog"), ["document_id"], "line_id", "ord", "ground_truth")
 
 
 # boxes
@@ -385,10 +385,9 @@ def _(spark, d):
 @query("pair_errors", f"""WITH {PAIRS}, {AT_HALF} SELECT round(median(abs((p.y + p.h / 2) - (g.y + g.h / 2)) / g.h), 9) AS centre_error, round(median(abs(p.w / p.h - g.w / g.h)), 9) AS aspect_error
   FROM matches AS m JOIN v_gt AS g ON g.gt = m.gt JOIN v_pred AS p ON p.pred = m.pred""", recursive=True)
 def _(spark, d):
-    g, p = (view(spark, d, v).select(k, *(F.col(c).alias(f"{k[0]}{c}") for c in "ywh")) for v, k in (("v_gt", "gt"), ("v_pred", "pred")))
-    m = boxes.greedy(boxes.pairs(view(spark, d, "v_gt"), view(spark, d, "v_pred"))).join(g, "gt").join(p, "pred")
-    centre = F.abs((F.col("py") + F.col("ph") / 2) - (F.col("gy") + F.col("gh") / 2)) / F.col("gh")
-    return m.agg(F.median(centre).alias("centre_error"), F.median(F.abs(F.col("pw") / F.col("ph") - F.col("gw") / F.col("gh"))).alias("aspect_error"))
+    _, gt, pred = _boxes(spark, d)
+    errors = boxes.pair_errors(boxes.greedy(boxes.pairs(gt, pred)), gt, pred)
+    return errors.agg(F.median("centre_error").alias("centre_error"), F.median("aspect_error").alias("aspect_error"))
 
 
 @query("notebook_hits", f"""WITH {PAIRS}, h AS (SELECT * FROM met WHERE iou >= 0.5),
@@ -443,14 +442,12 @@ def _(spark, d):
 
 @query("reading_order", "SELECT image_id, pred, row_number() OVER (PARTITION BY image_id ORDER BY y + h / 2, pred) AS line FROM v_pred")
 def _(spark, d):
-    order = W.partitionBy("image_id").orderBy(F.col("y") + F.col("h") / 2, "pred")
-    return view(spark, d, "v_pred").select("image_id", "pred", F.row_number().over(order).cast("long").alias("line"))
+    return boxes.reading_order(view(spark, d, "v_pred")).select("image_id", "pred", "line")
 
 
 @query("top_k_dets", "SELECT image_id, pred FROM (SELECT image_id, pred, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred) AS k FROM v_pred) WHERE k <= 3")
 def _(spark, d):
-    order = W.partitionBy("image_id").orderBy(F.desc("score"), "pred")
-    return view(spark, d, "v_pred").withColumn("k", F.row_number().over(order)).filter("k <= 3").select("image_id", "pred")
+    return boxes.surest(view(spark, d, "v_pred"), 3).select("image_id", "pred")
 
 
 # data sets and reports
@@ -473,8 +470,7 @@ def _(spark, d):
   SELECT c_nationkey, val, val AS test, n - 2 * val AS train FROM s""")
 def _(spark, d):
     n = spark.read.parquet(f"{d}/customer.parquet").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    part = F.bround(F.col("n") * 0.15).cast("long")
-    return n.select("c_nationkey", part.alias("val"), part.alias("test"), (F.col("n") - 2 * part).alias("train"))
+    return n.select("c_nationkey", *datasets.sizes_of(F.col("n")))
 
 
 @query("hashed_split", """WITH h AS (SELECT c_custkey, CAST(CAST('0x' || substr(md5('0|' || CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM customer)
@@ -546,7 +542,7 @@ def _(spark, d):
 
 @query("dup_stems", "SELECT split_part(c_name, '#', 1) AS stem, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def _(spark, d):
-    return datasets.duplicate_stems(spark.read.parquet(f"{d}/customer.parquet"), F.split_part("c_name", F.lit("#"), F.lit(1)))
+    return datasets.duplicate_stems(spark.read.parquet(f"{d}/customer.parquet"), datasets.source_prefix(F.col("c_name"), "#"))
 
 
 @query("first_n_per_group", "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k <= 3")
@@ -560,14 +556,14 @@ def _(spark, d):
     return datasets.strided(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), "c_custkey", 200)
 
 
-@query("status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+@query("status_counts", "SELECT count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return reporting.status_counts(spark.read.parquet(f"{d}/orders.parquet"), ("O", "F", "P"), "o_orderstatus")
 
 
 @query("latency_stats", "SELECT event_type, round(avg(value), 9) AS ms_mean, round(median(value), 9) AS ms_median FROM events GROUP BY event_type")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(*reporting.latency(None, "value"))
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(*reporting.latency("value"))
 
 
 @query("timing", "SELECT round(sum(value), 6) AS total_s, round(sum(value) / count(*), 9) AS s_per_sample, round(count(*) / sum(value), 9) AS samples_per_s, count(*) AS n FROM events")
@@ -593,15 +589,30 @@ def _(spark, d):
 
 @query("batches", "SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS batch FROM events")
 def _(spark, d):
-    rn = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.floor((rn - 1) / 8).alias("batch"))
-
-
-CONFIG = {"models": {"n": {}, "s": {}, "m": {}, "x": {"finetune": False, "zeroshot": True}}, "variants": ["raw", "pre"]}
-JOBS = """m(model, ft) AS (VALUES ('n', true), ('s', true), ('m', true), ('x', false)), v(variant) AS (VALUES ('raw'), ('pre')),
-  tr AS (SELECT model, variant AS train_variant FROM m, v WHERE ft), so AS (SELECT * FROM tr UNION ALL SELECT model, 'zeroshot' FROM m WHERE NOT ft),
-  jobs AS (SELECT 'train' AS kind, model || '_' || train_variant AS exp_id, model, train_variant, NULL AS eval_variant FROM tr
-    UNION ALL SELECT kind, model || '_' || train_variant || '_' || variant, model, train_variant, variant FROM so, v, (VALUES ('predict'), ('eval')) AS k(kind))"""
+    return datasets.batches(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], ["event_id"]).select("event_id", "batch")
+
+
+CONFIG = {
+    "models": {
+        "yolov8n": {"service": "ultralytics", "weights": "yolov8n.pt", "finetune": True, "zeroshot": True, "lr0": 0.0005},
+        "mask": {"service": "detectron2", "weights": "zoo", "finetune": True, "data_format": "coco", "train_flags": ["--amp"]},
+        "blla": {"service": "kraken", "weights": "blla.mlmodel", "finetune": True, "zeroshot": True, "data_format": "pagexml"},
+        "surya": {"service": "surya", "weights": "hub", "zeroshot": True},
+    },
+    "data": {"raw": {"yolo": "raw/data.yaml", "images_root": "raw", "pagexml": "xml/raw"}, "prep": {"yolo": "prep/data.yaml", "images_root": "prep", "pagexml": "xml/prep"}},
+    "defaults": {"lr0": 0.01, "epochs": 100, "imgsz": 1024, "batch": 8, "conf_thresh": 0.25, "train_flags": ["--line-val"], "predict_flags": ["--conf", "0.001"]},
+    "train_coco": "train.json", "val_coco": "val.json", "test_coco": "test.json",
+}
+JOBS = """m(model, place, service, weights, ft, zs, lr0, fmt, flags) AS (VALUES ('yolov8n', 0, 'ultralytics', 'yolov8n.pt', true, true, '5.0E-4', 'yolo', ['--line-val']), ('mask', 1, 'detectron2', 'zoo', true, false, '0.01', 'coco', ['--amp']),
+    ('blla', 2, 'kraken', 'blla.mlmodel', true, true, '0.01', 'pagexml', ['--line-val']), ('surya', 3, 'surya', 'hub', false, true, '0.01', 'yolo', ['--line-val'])),
+  v(variant, slot) AS (VALUES ('raw', 0), ('prep', 1)),
+  tr AS (SELECT place, slot, model, service, weights, concat(model, '_ft-', variant) AS run, variant FROM m, v WHERE ft),
+  so AS (SELECT place, slot, model, service, run, concat('results/checkpoints/', run, '/', CASE service WHEN 'detectron2' THEN 'model_final.pth' WHEN 'kraken' THEN 'model_best.mlmodel' ELSE 'train/weights/best.pt' END) AS weights FROM tr
+    UNION ALL SELECT place, 9, model, service, concat(model, '_zeroshot'), weights FROM m WHERE zs),
+  jb AS (SELECT place, slot, -1 AS on_slot, 'train' AS kind, run AS exp_id, model, service, weights, variant AS images_root, concat(variant, '/data.yaml') AS data_yaml, concat('xml/', variant) AS pagexml FROM tr
+    UNION ALL SELECT place, so.slot, v.slot, 'predict', concat(run, '_eval-', variant), model, service, weights, variant, NULL, NULL FROM so, v
+    UNION ALL SELECT place, so.slot, v.slot, 'eval', concat(run, '_eval-', variant), model, NULL, NULL, NULL, NULL, NULL FROM so, v),
+  jobs AS (SELECT model, service, kind, exp_id, weights, images_root, data_yaml, pagexml, CAST(row_number() OVER (ORDER BY place, slot, on_slot, kind DESC) AS INTEGER) AS ord FROM jb)"""
 
 
 @query("job_matrix", f"WITH {JOBS} SELECT * FROM jobs")
@@ -612,7 +623,23 @@ def _(spark, d):
 @query("jobs_todo", f"WITH {JOBS} SELECT * FROM jobs WHERE kind <> 'train'")
 def _(spark, d):
     jobs = experiments.matrix(spark, CONFIG)
-    return experiments.todo(jobs, jobs.filter("kind = 'train'").select("kind", "exp_id"))
+    return experiments.todo(jobs, jobs.filter("kind = 'train'").select(experiments.artifact().alias("path")))
+
+
+@query("jobs_selected", f"WITH {JOBS} SELECT kind, exp_id FROM jobs WHERE kind = 'predict' AND contains(exp_id, 'zeroshot')")
+def _(spark, d):
+    return experiments.selected(experiments.matrix(spark, CONFIG), "zeroshot", "predict").select("kind", "exp_id")
+
+
+@query("job_commands", f"""WITH {JOBS} SELECT ord, array_to_string(CASE kind
+  WHEN 'train' THEN ['docker', 'compose', 'run', '--rm', j.service, 'python', concat('docker/', j.service, '/cli.py'), 'train', '--weights', j.weights]
+    || CASE fmt WHEN 'coco' THEN ['--train-coco', 'train.json', '--val-coco', 'val.json', '--images-root', images_root] WHEN 'pagexml' THEN ['--data', pagexml] ELSE ['--data', data_yaml] END
+    || ['--out', concat('results/checkpoints/', exp_id), '--epochs', '100', '--imgsz', '1024', '--batch', '8', '--lr0', lr0] || flags
+  WHEN 'predict' THEN ['docker', 'compose', 'run', '--rm', j.service, 'python', concat('docker/', j.service, '/cli.py'), 'predict', '--weights', j.weights, '--coco', 'test.json', '--images-root', images_root, '--out', concat('results/predictions/', exp_id), '--imgsz', '1024', '--conf', '0.001']
+  ELSE ['python', 'evaluation/evaluate.py', '--gt', 'test.json', '--pred', concat('results/predictions/', exp_id, '/predictions.json'), '--exp-id', exp_id, '--out-dir', 'results', '--conf-thresh', '0.25'] END, ' ') AS command
+  FROM jobs AS j JOIN m ON m.model = j.model""")
+def _(spark, d):
+    return experiments.commands(experiments.matrix(spark, CONFIG), CONFIG).select("ord", F.array_join("argv", " ").alias("command"))
 
 
 # diagnostics

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +28,95 @@ def labels_csv(spark: SparkSession, path: str) -> DataFrame:
     return found.select("file_name", F.coalesce("label", F.lit("")).alias("label"))
 
 
+def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), deep: bool = True) -> DataFrame:
+    """(path, name, stem, suffix) of files, contents not read; with suffixes (lower case, without dot), those only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", deep).load(path).select("path")
+    files = files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+    files = files.select("path", "name", T.stem("name").alias("stem"), F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).alias("suffix"))
+    return files.filter(F.col("suffix").isin(*suffixes)) if suffixes else files
+
+
+#: Suffixes of images that are preprocessed or shown (fixed values).
+IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
+
+
+def images_listed(spark: SparkSession, path: str) -> DataFrame:
+    """Images below path, in order of their paths."""
+    return listed(spark, path, IMAGES).orderBy("path")
+
+
+def meta(spark: SparkSession, path: str) -> DataFrame:
+    """(exp_id, cost figures) of the meta.json files at <exp_id>/meta.json; figures that a file lacks are null."""
+    schema = "ms_per_image_mean double, ms_per_image_median double, peak_gpu_mem_mb double, peak_ram_mb double"
+    found = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(schema).json(path)
+    return found.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1).alias("exp_id"), "*")
+
+
+def page_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, width, height, line, outline, baseline) of the text lines of PAGE XML files; no file is an error."""
+    point = "struct<_points: string>"
+    line = f"struct<_id: string, Coords: {point}, Baseline: {point}>"
+    schema = f"_imageFilename string, _imageWidth int, _imageHeight int, TextRegion array<struct<_id: string, TextLine: array<{line}>>>"
+    pages = spark.read.format("xml").option("rowTag", "Page").schema(schema).load(path)
+    if pages.isEmpty():
+        raise ValueError(f"no PAGE XML in {path}")
+    lines = pages.select(F.col("_imageFilename").alias("file"), F.col("_imageWidth").alias("width"), F.col("_imageHeight").alias("height"), F.explode_outer(F.flatten("TextRegion.TextLine")).alias("l"))
+    return lines.select("file", "width", "height", F.col("l._id").alias("line"), F.col("l.Coords._points").alias("outline"), F.col("l.Baseline._points").alias("baseline"))
+
+
+def by_stem(left: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, how: str = "inner") -> DataFrame:
+    """left (stem) with `path`, the file of that stem whose suffix is listed first."""
+    rank = F.array_position(F.array(*map(F.lit, suffixes)), F.col("suffix"))
+    first = files.filter(F.col("suffix").isin(*suffixes)).groupBy("stem").agg(F.min_by("path", F.struct(rank.alias("rank"), "path")).alias("path"))
+    return left.join(first, "stem", how)
+
+
+def twins(raw: DataFrame, made: DataFrame, fallback: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw images with the path of their preprocessed twin (`<stem>.jpg`), in order of names, and those without one; without any files made, fallback is taken."""
+    made = fallback if fallback is not None and made.isEmpty() else made
+    both = by_stem(raw.select("name", "stem", F.col("path").alias("raw")), made, ("jpg",), "left").withColumnRenamed("path", "preprocessed")
+    return both.filter("preprocessed IS NOT NULL").orderBy("name"), both.filter("preprocessed IS NULL").select("name", "raw")
+
+
+def pages(spark: SparkSession, path: str, pdf: Callable[[bytes], list[bytes]] | None = None) -> DataFrame:
+    """(path, page, content): an image is one page; a PDF has as many as `pdf` makes of it; other files are an error."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    files = spark.read.format("binaryFile").load(path).select("path", "content", kind.alias("kind"))
+    schema = "path string, page int, content binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content, suffix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if suffix == "pdf" and pdf:
+                    rows += [(name, i, p) for i, p in enumerate(pdf(content))]
+                elif suffix in IMAGES:
+                    rows.append((name, 0, content))
+                else:
+                    raise ValueError(f"unsupported file type: {name}")
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.binary()), strict=True)], ["path", "page", "content"])
+
+    return files.mapInArrow(run, schema)
+
+
+def cache_present(spark: SparkSession, path: str | None) -> bool | None:
+    """Whether a cache folder (or file) is there and holds something; None if no path is given."""
+    if not path:
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(store.exists(place)) and len(store.listStatus(place)) > 0
+
+
 def image_index(spark: SparkSession, path: str) -> DataFrame:
     """(name, path), one path for each file name: the first by suffix, then by path. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png}").load(path)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    rank = F.array_position(F.array(*map(F.lit, SUFFIXES)), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)))
-    return files.select(name.alias("name"), "path", rank.alias("rank")).groupBy("name").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    return first_by_name(listed(spark, path, SUFFIXES))
+
+
+def first_by_name(files: DataFrame) -> DataFrame:
+    rank = F.array_position(F.array(*map(F.lit, SUFFIXES)), F.col("suffix"))
+    return files.groupBy("name").agg(F.min_by("path", F.struct(rank.alias("rank"), "path")).alias("path"))
 
 
 def samples(labels: DataFrame, index: DataFrame, limit: int | None = None) -> DataFrame:
@@ -62,10 +148,17 @@ def coco_results(spark: SparkSession, path: str) -> DataFrame:
 
 def yolo_labels(spark: SparkSession, path: str, width: float = 1.0, height: float = 1.0) -> DataFrame:
     """(stem, cls, x, y, w, h); lines of fewer than five fields are skipped."""
-    lines = spark.read.text(path).withColumn("stem", T.stem(F.col("_metadata.file_path")))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).withColumn("stem", T.stem(F.col("_metadata.file_path")))
     return lines.select("stem", boxes.parsed_yolo(F.col("value"), F.lit(width), F.lit(height)).alias("b")).filter("b IS NOT NULL").select("stem", "b.*")
 
 
+def first_labels(labels: DataFrame, most: int | None = 200) -> DataFrame:
+    """Label rows of the first `most` files by stem; all without `most`."""
+    if not most:
+        return labels
+    return labels.join(labels.select("stem").distinct().orderBy("stem").limit(most), "stem", "left_semi")
+
+
 def summaries(spark: SparkSession, path: str) -> DataFrame:
     """Summary JSON files; broken ones are left out."""
     schema = "model string, created_at string, dataset_id string, metrics map<string, map<string, string>>, timing map<string, double>, _corrupt_record string"
