@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import boxes, datasets, detection, diagnostics, experiments, recognition, reporting
 from quillspark.plans.views import view, with_views
+from quillspark.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -692,7 +693,156 @@ def _(spark, d):
     return diagnostics.vector_steps(view(spark, d, "v_vec"), "run", "step", "vec").select("run", "step", F.round("cosine", 6).alias("cosine"))
 
 
-@query("update_ratio", f"WITH {VEC} SELECT run, step, round(coalesce(nd, 0), 6) AS update_norm, round(coalesce(nd / nu, 0), 6) AS update_ratio FROM n")
+@query("update_ratio", f"WITH {VEC} SELECT run, step, round(coalesce(nd, 0), 6) AS update_norm, round(coalesce(nd / nv, 0), 6) AS update_ratio FROM n")
 def _(spark, d):
     df = diagnostics.vector_steps(view(spark, d, "v_vec"), "run", "step", "vec")
     return df.select("run", "step", F.round("update_norm", 6).alias("update_norm"), F.round("update_ratio", 6).alias("update_ratio"))
+
+
+@query("lr_schedule", "SELECT k AS step, round(CAST(1e-6 AS DOUBLE) * pow(pow(CAST(1e5 AS DOUBLE), CAST(1 AS DOUBLE) / 200), k), 12) AS lr FROM range(201) AS r(k)")
+def _(spark, d):
+    rates = spark.range(1).select(F.posexplode(diagnostics.lr_schedule(1e-6, 1e-1, 200)).alias("step", "lr"))
+    return rates.select(F.col("step").cast("long").alias("step"), F.round("lr", 12).alias("lr"))
+
+
+@query("ema_positive", f"WITH {EMA.format(d='0.9').replace('FROM v_steps', 'FROM v_steps WHERE event_id % 7 <> 0')} SELECT run, event_id, round(ema, 9) AS ema FROM f", recursive=True)
+def _(spark, d):
+    steps = view(spark, d, "v_steps").withColumn("value", F.when(F.col("event_id") % 7 == 0, -1.0).otherwise(F.col("value")))
+    return diagnostics.ema(steps, "run", ["ts", "event_id"], "value", 0.9, F.col("value") > 0).select("run", "event_id", "ema")
+
+
+@query("best_tracker", """WITH m AS (SELECT run, event_id, ts, CASE WHEN event_id % 5 <> 0 THEN value END AS missed, -value AS iou FROM v_steps),
+  b AS (SELECT *, min(missed) OVER w AS pm, max(iou) OVER w AS pi FROM m WINDOW w AS (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT event_id, ['latest', 'epoch_' || event_id] || CASE WHEN missed IS NOT NULL AND (pm IS NULL OR missed < pm) THEN ['best_missed'] ELSE [] END || CASE WHEN pi IS NULL OR iou > pi THEN ['best_iou'] ELSE [] END AS aliases FROM b""")
+def _(spark, d):
+    m = view(spark, d, "v_steps").select("run", "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("missed"), (-F.col("value")).alias("iou"))
+    return diagnostics.tracked(m, "run", "event_id", {"missed": "min", "iou": "max"}).select("event_id", diagnostics.aliases("event_id").alias("aliases"))
+
+
+@query("probe_steps", "SELECT event_id FROM events WHERE event_id % 50 = 0")
+def _(spark, d):
+    return diagnostics.every_nth(spark.read.parquet(f"{d}/events.parquet").select("event_id"), "event_id", 50)
+
+
+@query("shown_epochs", "SELECT run, event_id FROM (SELECT *, max(event_id) OVER (PARTITION BY run) AS last FROM v_steps) WHERE event_id % 10 = 0 OR event_id = last")
+def _(spark, d):
+    return diagnostics.shown_epochs(view(spark, d, "v_steps"), "run", "event_id", 10).select("run", "event_id")
+
+
+@query("train_loss", "SELECT event_id, round(value + value / 2 + 0.25, 5) AS train_loss FROM events")
+def _(spark, d):
+    parts = view(spark, d, "v_steps").select("event_id", F.col("value").alias("a"), (F.col("value") / 2).alias("b"), F.lit(0.25).alias("c"))
+    return reporting.train_loss(parts, ["a", "b", "c"]).select("event_id", "train_loss")
+
+
+FLAT = """p AS (SELECT run, step, CAST(vec AS DOUBLE[]) AS g, list_transform(CAST(vec AS DOUBLE[]), lambda a: a * (step % 3)) AS m FROM v_vec WHERE step % 5 <> 0),
+  w AS (SELECT run, flatten(list(m ORDER BY step)) AS m, flatten(list(g ORDER BY step)) AS g FROM p GROUP BY run)"""
+
+
+@query("momentum_stats", f"""WITH {FLAT}, n AS (SELECT run, sqrt(list_sum(list_transform(m, lambda a: a * a))) AS nm, sqrt(list_sum(list_transform(g, lambda a: a * a))) AS ng, list_sum(list_transform(list_zip(m, g), lambda p: p[1] * p[2])) AS d FROM w)
+  SELECT run, round(nm, 6) AS momentum_norm, round(coalesce(d / (nm * ng), 0), 6) AS momentum_grad_cosine FROM n""")
+def _(spark, d):
+    v = view(spark, d, "v_vec")
+    scaled = F.transform("vec", lambda x: x.cast("double") * (F.col("step") % 3))
+    v = v.select("run", "step", F.col("vec").alias("g"), F.when(F.col("step") % 5 != 0, scaled).alias("m"))
+    # runs without any momentum would have a row of zeros; these have all some
+    out = diagnostics.momentum_stats(v, ["run"], "step", "m", "g")
+    return out.select("run", *(F.round(c, 6).alias(c) for c in ("momentum_norm", "momentum_grad_cosine")))
+
+
+@query("flat_vectors", """SELECT run, len(flatten(list(vec ORDER BY step))) AS size, round(list_sum(flatten(list(CAST(vec AS DOUBLE[]) ORDER BY step))[1:100]), 6) AS head FROM v_vec GROUP BY run""")
+def _(spark, d):
+    out = diagnostics.flattened(view(spark, d, "v_vec"), ["run"], "step", "vec")
+    head = F.aggregate(F.slice("vector", 1, 100), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return out.select("run", F.size("vector").cast("long").alias("size"), F.round(head, 6).alias("head"))
+
+
+@query("split_vector", "SELECT step, [CAST(vec[1:3] AS DOUBLE[]), CAST(vec[4:4] AS DOUBLE[]), CAST(vec[5:6] AS DOUBLE[])] AS parts FROM v_vec")
+def _(spark, d):
+    vec = F.transform("vec", lambda x: x.cast("double"))
+    return view(spark, d, "v_vec").select("step", diagnostics.split_like(F.slice(vec, 1, 6), F.array(F.lit(3), F.lit(1), F.lit(2))).alias("parts"))
+
+
+@query("curvature", "SELECT step, round((2 * CAST(vec[1] AS DOUBLE) - 2 * CAST(vec[2] AS DOUBLE)) / (0.01 * 0.01), 3) AS curvature FROM v_vec")
+def _(spark, d):
+    v = lambda i: F.get("vec", F.lit(i)).cast("double")
+    return view(spark, d, "v_vec").select("step", F.round(diagnostics.curvature(v(0), v(1), v(0), 0.01), 3).alias("curvature"))
+
+
+@query("run_diagnostics", f"""WITH {VEC.replace("b AS (", "b AS (").replace(" AS nd FROM b)", " AS nd FROM b), r AS (SELECT run, step, CAST(step % 17 AS DOUBLE) + 1.5 AS v, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM v_vec), f AS (SELECT run, step, k, v, v AS ema FROM r WHERE k = 1 UNION ALL SELECT r.run, r.step, r.k, r.v, CAST(0.98 AS DOUBLE) * f.ema + (1 - CAST(0.98 AS DOUBLE)) * r.v FROM f JOIN r ON r.run = f.run AND r.k = f.k + 1)")}
+  SELECT n.run, n.step, round(f.v, 5) AS train_loss, round(ema, 6) AS ema, round(nv, 6) AS gradient_norm, round(coalesce(vu / (nv * nu), 0), 6) AS gradient_cosine, round(coalesce(nd, 0), 6) AS update_norm, round(coalesce(nd / nv, 0), 6) AS update_ratio
+  FROM n JOIN f ON f.run = n.run AND f.step = n.step""", recursive=True)
+def _(spark, d):
+    df = view(spark, d, "v_vec").withColumns({"a": (F.col("step") % 17).cast("double"), "b": F.lit(1.5)})
+    out = diagnostics.run_diagnostics(df, "run", "step", ["a", "b"], "vec", "vec")
+    return out.select("run", "step", "train_loss", *(F.round(c, 6).alias(c) for c in out.columns[3:]))
+
+
+@query("image_index_lookup", """WITH f AS (SELECT concat('/img/', CAST(c_custkey % 7 AS VARCHAR), '/c', CAST(c_custkey - c_custkey % 3 AS VARCHAR), CASE c_custkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' ELSE '.jpg' END) AS path FROM customer),
+  i AS (SELECT regexp_extract(path, '([^/]*)$', 1) AS name, min(path) AS path FROM f GROUP BY 1)
+  SELECT c_custkey, path FROM customer JOIN i ON name = concat('c', CAST(c_custkey AS VARCHAR), '.png')""")
+def _(spark, d):
+    labels, files = _labelled(spark, d)
+    found = readers.samples(labels, readers.first_by_name(files))
+    return found.select(F.regexp_extract("file_name", "([0-9]+)", 1).cast("long").alias("c_custkey"), F.col("image_path").alias("path"))
+
+
+def _labelled(spark, d):
+    key = F.col("c_custkey")
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    suffix = F.when(key % 3 == 0, "png").when(key % 3 == 1, "jpeg").otherwise("jpg")
+    name = F.concat(F.lit("c"), (key - key % 3).cast("string"), F.lit("."), suffix)
+    files = customers.select(F.concat_ws("/", F.lit("/img"), (key % 7).cast("string"), name).alias("path"), name.alias("name"), suffix.alias("suffix"))
+    return customers.orderBy("c_custkey").select(F.concat(F.lit("c"), key.cast("string"), F.lit(".png")).alias("file_name"), F.col("c_name").alias("label")), files
+
+
+@query("limit_after_join", "SELECT concat('c', CAST(c_custkey AS VARCHAR), '.png') AS file_name, c_name AS ground_truth FROM customer WHERE c_custkey % 3 = 0 ORDER BY c_custkey LIMIT 25")
+def _(spark, d):
+    labels, files = _labelled(spark, d)
+    return readers.samples(labels, readers.first_by_name(files), 25).select("file_name", "ground_truth")
+
+
+@query("stem_lookup", """WITH f AS (SELECT c_custkey - c_custkey % 3 AS s, concat('/img/', CAST(c_custkey % 7 AS VARCHAR), '/c', CAST(c_custkey - c_custkey % 3 AS VARCHAR), CASE c_custkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' ELSE '.jpg' END) AS path, CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS rk FROM customer)
+  SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS stem, min_by(path, rk) AS path FROM customer JOIN f ON s = c_custkey GROUP BY c_custkey""")
+def _(spark, d):
+    labels, files = _labelled(spark, d)
+    stems = labels.select(T.stem("file_name").alias("stem"))
+    return readers.by_stem(stems, files.withColumn("stem", T.stem("name")))
+
+
+@query("tracker_payload", measured("v_pairs") + f""", b AS (SELECT {BASIC} FROM m) SELECT 'm1/d1/metrics/' || key AS key, CAST(round(value, 6) AS VARCHAR) AS value FROM (SELECT CAST(count AS DOUBLE) AS count, ema, near_perfect_match FROM b) UNPIVOT (value FOR key IN (count, ema, near_perfect_match))
+  UNION ALL SELECT 'm1/d1/metrics_level', 'word'""")
+def _(spark, d):
+    long = recognition.long_form(recognition.evaluate(view(spark, d, "v_pairs"), "word", ["ema", "near_perfect_match"]).drop("level"), [])
+    return reporting.payload(long.select(F.lit("metrics").alias("part"), "key", F.round("value", 6).alias("value")), "m1", "d1", "word")
+
+
+@query("metric_labels", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'EMA' WHEN 1 THEN 'CER' WHEN 2 THEN 'LevDist' ELSE 'other' END AS label FROM customer")
+def _(spark, d):
+    keys = F.array(*map(F.lit, ("ema", "cer", "levenshtein_distance", "other")))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", reporting.metric_label(F.get(keys, (F.col("c_custkey") % 4).cast("int"))).alias("label"))
+
+
+@query("xyxy_roundtrip", "SELECT gt, x, y, w, h FROM v_gt")
+def _(spark, d):
+    return view(spark, d, "v_gt").select("gt", *boxes.xyxy()).select("gt", *boxes.xywh())
+
+
+@query("result_records", "SELECT image_id, CAST(1 AS INTEGER) AS category_id, [x, y, w, h] AS bbox, round(CASE WHEN pred % 2 = 0 THEN score ELSE 1 END, 9) AS score FROM v_pred")
+def _(spark, d):
+    missing = view(spark, d, "v_pred").withColumn("score", F.when(F.col("pred") % 2 == 0, F.col("score")))
+    return missing.select(boxes.records().alias("record")).select("record.*")
+
+
+@query("detector_family", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'rtdetr' ELSE 'yolo' END AS family FROM customer")
+def _(spark, d):
+    weights = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("runs/RTDETR-"), F.col("c_custkey").cast("string"))).otherwise("yolov8n.pt")
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", experiments.detector_family(weights).alias("family"))
+
+
+@query("data_sets", """WITH h AS (SELECT c_custkey AS image_id, CAST(CAST('0x' || substr(md5('0|' || CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM customer)
+  SELECT image_id, CASE WHEN u < 0.15 THEN 'val' ELSE 'train' END AS part FROM h UNION ALL SELECT s_suppkey, 'test' FROM supplier""")
+def _(spark, d):
+    own = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("image_id"))
+    sets = datasets.data_sets(own, spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image_id")))
+    return sets["train"].withColumn("part", F.lit("train")).unionByName(sets["val"].withColumn("part", F.lit("val"))).unionByName(sets["test"].withColumn("part", F.lit("test")))
