@@ -11,12 +11,13 @@ automata, and stream the documents through these to locate every occurrence.
     anchor differ, their windows are counted one by one, each distinct run once. A
     distinct run is written out as text by one document that holds it; what recurs of
     it is a confirmed passage.
-3.  Documents are dealt to shards of about `SHARD_BYTES`. A document can only hold
-    passages of its own anchors, so a posting of anchors and shards tells which passages
-    each shard has to look for; those make its automata, of at most `MOST_CHARS`
-    characters at a time. The documents of the shard are streamed through each, and the
-    words under all matches are removed. The matches alone decide; a document whose
-    anchors no other has meets no passage and is done before.
+3.  Documents are dealt to shards of about `SHARD_BYTES`, near-copies mostly to one, by
+    their smallest anchor; what is more than a shard of these is split at random. A document
+    can only hold passages of its own anchors, so a posting of anchors and shards tells
+    which passages each shard has to look for; those make its automata, of `MOST_LETTERS`
+    letters at a time, two for each word. The documents of the shard are streamed through
+    each, and the words under all matches are removed. The matches alone decide; a document
+    whose anchors no other has meets no passage and is done before.
 
 Windows are compared by 128 bits of hashes (anchor and window), passages literally.
 
@@ -42,7 +43,8 @@ from quillspark.llm.common import rows_of, staged, table, utf8
 from quillspark.llm.hashing import mixed, powers, rolled, word_hashes
 
 WINDOW, GRAM = 35, 8
-SHARD_BYTES, MOST_CHARS = 8 << 20, 2_000_000
+#: Packed bytes of a shard, and letters of an automaton.
+SHARD_BYTES, MOST_LETTERS = 4 << 20, 2_000_000
 RUN = "struct<m: long, rc: long, s: int, n: int, twice: boolean>"
 PHRASE = "struct<m: long, rc: long, whole: boolean, weight: int, text: binary, windows: array<long>>"
 
@@ -87,9 +89,8 @@ def list_array(lengths: list[int], values: pa.Array) -> pa.ListArray:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts, lengths, sizes = [], [], []
+        parts, lengths = [], []
         for (text,) in rows_of(batch, ["text"]):
-            sizes.append(len(text))
             words = text.split()
             if len(words) < WINDOW:
                 lengths.append(0)
@@ -99,7 +100,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] or [[] for _ in kinds]
         values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["m", "rc", "s", "n", "twice"])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), list_array(lengths, values)], ["doc_id", "th", "size", "runs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(lengths, values)], ["doc_id", "th", "runs"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,52 +160,70 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """Documents, and the places in them where passages were found; passages are searched for by one automaton after the other."""
+    """Documents, and the places in them where passages were found; passages are searched for by one automaton after the other.
+
+    A word of the documents is two letters, told apart by their ranges, so a match begins
+    and ends with a word.
+    """
 
     def __init__(self) -> None:
         self.ids: list[object] = []
+        self.packed: list[bytes] = []
         self.texts: list[str] = []
         self.edges: list[np.ndarray] = []  # by word: +1 where matches begin, -1 after their ends
-        self.automaton, self.chars = ahocorasick.Automaton(), 0
+        self.number: dict[bytes, int] = {}
+        self.automaton, self.letters = ahocorasick.Automaton(), 0
 
-    def add_document(self, doc_id: object, words: list[bytes]) -> None:
+    def add_document(self, doc_id: object, packed: bytes) -> None:
+        words = zstandard.ZstdDecompressor().decompress(packed).split()
+        number = self.number
         self.ids.append(doc_id)
-        self.texts.append((b" " + b" ".join(words) + b" ").decode("latin-1"))
+        self.packed.append(packed)
+        self.texts.append(spelt(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))))
         self.edges.append(np.zeros(len(words) + 1, np.int32))
 
     def add_passage(self, text: bytes) -> None:
-        phrase = f" {text.decode('latin-1')} "
-        self.automaton.add_word(phrase, len(phrase))
-        self.chars += len(phrase)
-        if self.chars >= MOST_CHARS:
+        words = list(map(self.number.get, text.split()))
+        if None in words:  # not in this shard
+            return
+        self.automaton.add_word(spelt(np.array(words, np.int64)), len(words))
+        self.letters += 2 * len(words)
+        if self.letters >= MOST_LETTERS:
             self.search()
 
     def search(self) -> None:
-        if not self.chars:  # an automaton without phrases cannot be searched
+        if not self.letters:  # an automaton without phrases cannot be searched
             return
         self.automaton.make_automaton()
         for text, edge in zip(self.texts, self.edges, strict=True):
             found = list(self.automaton.iter(text))
             if found:
                 ends, sizes = np.array(found, np.int64).T
-                blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)  # one before each word, one at the end
-                edge += np.bincount(np.searchsorted(blanks, ends - sizes + 1), minlength=len(edge)).astype(np.int32)
-                edge -= np.bincount(np.searchsorted(blanks, ends), minlength=len(edge)).astype(np.int32)
-        self.automaton, self.chars = ahocorasick.Automaton(), 0
+                ends = (ends + 1) // 2
+                edge += np.bincount(ends - sizes, minlength=len(edge)).astype(np.int32)
+                edge -= np.bincount(ends, minlength=len(edge)).astype(np.int32)
+        self.automaton, self.letters = ahocorasick.Automaton(), 0
 
     def results(self) -> Iterator[tuple[object, int, int, str]]:
         """doc_id, n_words, n_removed, kept_sha256 of each document."""
         self.search()
-        for doc_id, text, edge in zip(self.ids, self.texts, self.edges, strict=True):
-            words = text.encode("latin-1").split()
+        for doc_id, packed, edge in zip(self.ids, self.packed, self.edges, strict=True):
+            words = zstandard.ZstdDecompressor().decompress(packed).split()
             gone = (np.cumsum(edge)[:-1] > 0).tolist()
             kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
             yield doc_id, len(words), sum(gone), hashlib.sha256(kept).hexdigest()
 
 
+def spelt(numbers: np.ndarray) -> str:
+    """Two letters for each number: the high part, from 256 on and not a surrogate, and the low one, below 256."""
+    high = 256 + (numbers >> 8)
+    letters = np.empty(2 * len(numbers), np.uint32)
+    letters[0::2], letters[1::2] = high + 0x800 * (high >= 0xD800), numbers & 255
+    return letters.tobytes().decode("utf-32-le")
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by shard, its documents before its passages."""
-    unpacker = zstandard.ZstdDecompressor()
     shard, at, kind = Shard(), None, pa.null()
 
     def out(shard: Shard) -> pa.RecordBatch:
@@ -221,7 +240,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if passage:
                 shard.add_passage(body)
             else:
-                shard.add_document(doc_id, unpacker.decompress(body).split())
+                shard.add_document(doc_id, body)
     if shard.ids:
         yield out(shard)
 
@@ -242,8 +261,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     key = f"doc_id {id_type}, th long"
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), utf8("text").alias("text"))
-    by_doc = staged(base.mapInArrow(_runs, f"{key}, size long, runs array<{RUN}>"), "passages-runs")
-    shards = max(1, -(-(by_doc.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
+    by_doc = staged(base.mapInArrow(_runs, f"{key}, runs array<{RUN}>"), "passages-runs")
     each = by_doc.select("doc_id", "th", F.explode("runs").alias("r")).select("doc_id", "th", "r.*")
 
     anchors = each.groupBy("m").agg(F.count("*").alias("k"), F.min("rc").alias("low"), F.max("rc").alias("high"), F.max("twice").alias("again"))
@@ -261,13 +279,19 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     on = packed["doc_id"].eqNullSafe(lists["doc_id"]) & (packed["th"] == lists["th"])
     met = packed.join(lists, on, "left").select(packed["doc_id"], "z", "anchors", "firsts")
     met = met.mapInArrow(_expand, f"doc_id {id_type}, n_words long, kept_sha256 string, z binary, anchors array<long>, phrases array<{PHRASE}>")
-    # any document may go to any shard, so repeated rows do not meet in one
-    met = staged(met.withColumn("shard", F.floor(F.rand(7) * shards)), "passages-met")
+    met = staged(met.withColumns({"bytes": F.length("z"), "near": F.array_min("anchors"), "chance": F.rand(7)}), "passages-met")
 
     # where repeated rows write a run out each, it recurs as a whole, and more of its windows change nothing
     found = staged(confirmed(met.select(F.explode("phrases").alias("p")).select("p.*")), "passages-confirmed")
-    posted = met.select("shard", F.explode("anchors").alias("m")).distinct().join(found, "m")
-    bodies = met.filter("z IS NOT NULL").select("shard", F.lit(False).alias("passage"), "doc_id", F.col("z").alias("body"))
+    live = met.filter("z IS NOT NULL")
+    shards = max(1, -(-(live.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    live = live.withColumn("bucket", F.pmod(F.xxhash64("near"), F.lit(shards)))
+    parts = staged(live.groupBy("bucket").agg(F.ceil(F.sum("bytes") / SHARD_BYTES).alias("parts")), "passages-shards")
+    # with the parts of its bucket, any document may go to any of them, so repeated rows do not meet in one
+    shard = F.struct("bucket", F.floor(F.col("chance") * F.col("parts")).alias("part"))
+    dealt = lambda c: live.select("bucket", "chance", *c).join(parts, "bucket").withColumn("shard", F.xxhash64(shard))
+    posted = dealt(["anchors"]).select("shard", F.explode("anchors").alias("m")).distinct().join(found, "m")
+    bodies = dealt(["doc_id", "z"]).select("shard", F.lit(False).alias("passage"), "doc_id", F.col("z").alias("body"))
     bodies = bodies.unionByName(posted.select("shard", F.lit(True).alias("passage"), F.lit(None).cast(id_type).alias("doc_id"), F.col("text").alias("body")))
     located = bodies.repartition("shard").sortWithinPartitions("shard", "passage").mapInArrow(_locate, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
     done = met.filter("z IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")

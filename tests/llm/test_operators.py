@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, html_extraction, language_id, license_scan, minhash_dedup, mixing, pii, quality_rules, queries, substring_dedup, url_filter
@@ -136,11 +137,11 @@ def test_automata_locate(spark, monkeypatch):
     assert [e[1] for e in expected] == [50, 90] * 4 + [50]
     shard = substring_dedup.Shard()
     for i in range(2):
-        shard.add_document(i, f"a{i} {passage} b".encode().split())
+        shard.add_document(i, zstandard.ZstdCompressor().compress(f"a{i} {passage} b".encode()))
     shard.add_passage(passage.encode())
     assert [r[:3] for r in shard.results()] == [(0, 52, 50), (1, 52, 50)]
     monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 600)
-    monkeypatch.setattr(substring_dedup, "MOST_CHARS", 100)
+    monkeypatch.setattr(substring_dedup, "MOST_LETTERS", 100)
     assert rows(substring_dedup.substring_dedup(df), "doc_id", "n_removed", "kept_sha256") == expected
 
 
