@@ -132,7 +132,7 @@ def in_order(order: list[Column], value: Column, sep: str) -> Column:
 
 def page_texts(df: DataFrame, page: list[str], line: str, order: str, text: str) -> DataFrame:
     """page and `text`: trimmed lines joined by line breaks, parts of a page (`line`) by empty lines, both in order."""
-    parts = df.groupBy(*page, line).agg(in_order([F.col(order)], F.trim(text), "\n").alias("_part"))
+    parts = df.groupBy(*page, line).agg(in_order([F.col(order)], F.trim(F.coalesce(text, F.lit(""))), "\n").alias("_part"))
     return parts.groupBy(*page).agg(in_order([F.col(line)], F.col("_part"), "\n\n").alias("text"))
 
 

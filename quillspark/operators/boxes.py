@@ -77,9 +77,9 @@ def baseline_y() -> Column:
     return F.bround(F.col("y") + 0.75 * F.col("h")).cast("int")
 
 
-def reading_order(df: DataFrame) -> DataFrame:
-    """df with `line`, from 1 down each image by the middles of its boxes."""
-    order = W.partitionBy("image_id").orderBy(F.col("y") + F.col("h") / 2, "pred")
+def reading_order(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """df with `line`, from 1 down each image (or page, by its keys) by the middles of its boxes."""
+    order = W.partitionBy(*(keys or ["image_id"])).orderBy(F.col("y") + F.col("h") / 2, "pred")
     return df.withColumn("line", F.row_number().over(order).cast("long"))
 
 

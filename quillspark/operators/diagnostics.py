@@ -52,10 +52,14 @@ def until_divergence(df: DataFrame, key: str, step: str, value: str, after: int
     return df.withColumn("_seen", seen).filter("_seen = 0").drop("_bad", "_seen")
 
 
+def growth_factor(lr_min: float, lr_max: float, steps: int) -> float:
+    return (lr_max / lr_min) ** (1 / steps)
+
+
 def lr_schedule(lr_min: float, lr_max: float, steps: int) -> Column:
-    """Array of `steps` rates from lr_min, each the same factor above the one before, up to lr_max."""
-    growth = (lr_max / lr_min) ** (1 / max(steps - 1, 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.lit(lr_min) * F.pow(F.lit(growth), k))
+    """Array of the rates at steps 0 to `steps`, each the same factor above the one before, from lr_min to lr_max."""
+    growth = growth_factor(lr_min, lr_max, steps)
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.lit(lr_min) * F.pow(F.lit(growth), k))
 
 
 def warmup(step: Column, warm_epochs: float, epoch_steps: int) -> Column:
@@ -77,28 +81,101 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_steps(df: DataFrame, key: str, step: str, vector: str) -> DataFrame:
-    """Cosine with the vector before, norm of the update, and its ratio to the norm before."""
+    """Cosine with the vector before, norm of the update, and its ratio to the norm of the vector; 0 at the first step."""
     before = F.lag(vector).over(W.partitionBy(key).orderBy(step))
     df = df.withColumn("_before", before)
     update = norm(F.zip_with(F.col(vector), F.col("_before"), lambda x, y: x.cast("double") - y.cast("double")))
-    size = norm(F.col("_before"))
+    size = norm(F.col(vector))
     return df.select(key, step, cosine(F.col(vector), F.col("_before")).alias("cosine"), F.coalesce(update, F.lit(0.0)).alias("update_norm"),
                      F.coalesce(F.when(size > 0, update / size), F.lit(0.0)).alias("update_ratio"))
 
 
+def flattened(df: DataFrame, keys: list[str], order: str, vector: str) -> DataFrame:
+    """keys and `vector`: the parts of each group, in order, as one vector; parts that are null are left out."""
+    parts = F.array_sort(F.collect_list(F.when(F.col(vector).isNotNull(), F.struct(order, F.col(vector).alias("v")))))
+    return df.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["v"])).alias("vector"))
+
+
+def momentum_stats(df: DataFrame, keys: list[str], order: str, momentum: str, gradient: str) -> DataFrame:
+    """keys, norm of the momentum and its cosine with the gradient, over parts that have both; zeros where none has."""
+    both = F.when(F.col(momentum).isNotNull() & F.col(gradient).isNotNull(), F.struct(order, F.col(momentum).alias("m"), F.col(gradient).alias("g")))
+    parts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(both)).alias("parts"))
+    whole = lambda c: F.flatten(F.transform("parts", lambda p: p[c]))
+    return parts.select(*keys, norm(whole("m")).alias("momentum_norm"), cosine(whole("m"), whole("g")).alias("momentum_grad_cosine"))
+
+
+def split_like(vector: Column, sizes: Column) -> Column:
+    """A vector cut into consecutive parts of the sizes."""
+    ends = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda s, n: s + n.cast("int")))
+    return F.zip_with(ends, sizes, lambda end, n: F.slice(vector, end - n.cast("int") + 1, n.cast("int")))
+
+
+def perturbed(values: Column, direction: Column, eps: float) -> Column:
+    return F.zip_with(values, direction, lambda x, d: x + eps * d)
+
+
+def tracked(df: DataFrame, key: str, step: str, spec: dict[str, str]) -> DataFrame:
+    """For metrics in columns, by spec to be smallest (`min`) or largest (`max`): `improved`, the names that are strictly better than ever before at each step; null is no value."""
+    order = W.partitionBy(key).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
+    better = []
+    for name, mode in spec.items():
+        before = (F.min if mode == "min" else F.max)(name).over(order)
+        beats = F.col(name) < before if mode == "min" else F.col(name) > before
+        better.append(F.when(F.col(name).isNotNull() & (before.isNull() | beats), F.lit(name)))
+    return df.withColumn("improved", F.array_compact(F.array(*better)))
+
+
+def aliases(step: str, improved: str = "improved") -> Column:
+    """Names under which a checkpoint is kept: latest, its epoch, and what it is best at."""
+    own = F.array(F.lit("latest"), F.concat(F.lit("epoch_"), F.col(step).cast("string")))
+    return F.concat(own, F.transform(F.col(improved), lambda n: F.concat(F.lit("best_"), n)))
+
+
+def every_nth(df: DataFrame, step: str, n: int) -> DataFrame:
+    """Steps at which a probe runs."""
+    return df.filter(F.col(step) % n == 0)
+
+
+def shown_epochs(df: DataFrame, key: str, epoch: str, every: int) -> DataFrame:
+    """Every n-th epoch of a run, and its last."""
+    last = F.max(epoch).over(W.partitionBy(key))
+    return df.withColumn("_last", last).filter((F.col(epoch) % every == 0) | (F.col(epoch) == F.col("_last"))).drop("_last")
+
+
 def curvature(plus: Column, zero: Column, minus: Column, eps: float) -> Column:
+    """Second difference of the loss along a direction."""
     return (plus - 2 * zero + minus) / (eps * eps)
 
 
-def dominant_eigenvalue(matrix: DataFrame, rounds: int = 20) -> float:
-    """Power iteration on (row, col, value); each product is a join and a sum, only norms reach the driver."""
-    v = matrix.select(F.col("col").alias("i")).distinct().withColumn("x", F.lit(1.0))
-    value = 0.0
-    for k in range(rounds):
+def dominant_eigenvalue(matrix: DataFrame, rounds: int = 8, seed: int = 0) -> float:
+    """The eigenvalue of largest size, with its sign, by power iteration on (row, col, value) from a seeded start.
+
+    Each product is a join and a sum; only numbers reach the driver. 0 where a product vanishes.
+    """
+    chance = F.xxhash64(F.lit(seed), F.col("i")) / F.lit(2.0**63)
+    v = matrix.select(F.col("col").alias("i")).union(matrix.select(F.col("row"))).distinct().withColumn("x", chance)
+    size = lambda y: y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
+    v, value = v.withColumn("x", F.col("x") / F.lit(size(v) or 1.0)), 0.0
+    for _ in range(rounds):
         y = matrix.join(v, matrix["col"] == v["i"]).groupBy(F.col("row").alias("i")).agg(F.sum(F.col("value") * F.col("x")).alias("x"))
-        y = y.checkpoint() if k % 5 == 4 and y.sparkSession.sparkContext.getCheckpointDir() else y
-        size = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
-        if size == 0:
+        y = y.checkpoint() if y.sparkSession.sparkContext.getCheckpointDir() else y
+        length = size(y)
+        if length == 0:
             return 0.0
-        value, v = size / (v.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0), y.withColumn("x", F.col("x") / size)
+        value = y.join(v.withColumnRenamed("x", "u"), "i").agg(F.sum(F.col("u") * F.col("x"))).first()[0] or 0.0
+        v = y.withColumn("x", F.col("x") / length)
     return value
+
+
+def run_diagnostics(df: DataFrame, key: str, step: str, loss: list[str], gradient: str, weights: str, decay: float = 0.98) -> DataFrame:
+    """(key, step, train_loss, ema, gradient_norm, gradient_cosine, update_norm, update_ratio) of a training run, in one table."""
+    from quillspark.operators.reporting import train_loss
+
+    total = train_loss(df, loss)
+    smooth = ema(total.select(key, step, "train_loss"), key, [step], "train_loss", decay).select(key, step, "ema")
+    grads = vector_steps(df, key, step, gradient).select(key, step, F.col("cosine").alias("gradient_cosine"))
+    moved = vector_steps(df, key, step, weights).select(key, step, "update_norm", "update_ratio")
+    out = total.select(key, step, "train_loss", norm(F.col(gradient)).alias("gradient_norm"))
+    for part in (smooth, grads, moved):
+        out = out.join(part, [key, step], "left")
+    return out.select(key, step, "train_loss", "ema", "gradient_norm", "gradient_cosine", "update_norm", "update_ratio")

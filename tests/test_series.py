@@ -40,6 +40,68 @@ def test_vectors(spark):
     assert diagnostics.dominant_eigenvalue(m, 12) == pytest.approx(3, rel=1e-3)
 
 
+def test_eigenvalues_keep_their_sign(spark):
+    m = spark.createDataFrame([(0, 0, -4.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 2.0)], "row int, col int, value double")
+    exact = np.linalg.eigvalsh([[-4.0, 1.0], [1.0, 2.0]])
+    assert diagnostics.dominant_eigenvalue(m, 20) == pytest.approx(min(exact), rel=1e-3)
+    assert diagnostics.dominant_eigenvalue(m.withColumn("value", F.lit(0.0))) == 0.0
+
+
+def test_long_series_cost_no_more_a_step(spark):
+    """Four times the steps of a run take no more than about four times as long."""
+    import time
+
+    def seconds(n):
+        df = spark.range(n).select(F.lit("r").alias("run"), F.col("id").alias("step"), (F.col("id") % 97).cast("double").alias("value"))
+        began = time.perf_counter()
+        diagnostics.ema(df, "run", ["step"], "value").write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 6 * max(seconds(20_000), 0.3)
+
+
+def test_schedule(spark):
+    rates = spark.range(1).select(diagnostics.lr_schedule(1e-6, 1e-1, 200)).first()[0]
+    assert len(rates) == 201 and rates[0] == pytest.approx(1e-6) and rates[-1] == pytest.approx(1e-1)
+
+
+def streamed(spark, tmp_path, rows, schema, make):
+    """Rows of a stream's batches, one file each, through `make`."""
+    for i, part in enumerate(rows):
+        (tmp_path / f"in{i}").mkdir()
+        (tmp_path / f"in{i}" / "a.json").write_text("\n".join(map(json.dumps, part)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in*")
+    seen = []
+    make(stream).writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    return seen
+
+
+def test_stream_stops_at_divergence(spark, tmp_path):
+    values = [1.0] * 14 + [60.0, 80.0, 90.0]
+    parts = [[{"run": "r", "metric": "m", "step": i, "value": v} for i, v in enumerate(values) if i // 8 == k] for k in range(3)]
+    seen = streamed(spark, tmp_path, parts, "run string, metric string, step long, value double", stateful.until_divergence)
+    smooth = diagnostics.ema(series(spark, values), "run", ["step"], "value", 0.7)
+    batch = diagnostics.until_divergence(smooth, "run", "step", "ema").collect()
+    assert {r.step: round(r.ema, 9) for r in seen} == {r.step: round(r.ema, 9) for r in batch} and len(seen) == 15 and [r.step for r in seen if r["last"]] == [14]
+
+
+def test_stream_of_cosines(spark, tmp_path):
+    rows = [{"run": "r", "step": i, "vec": [float(i % 3), 1.0, 2.0]} for i in range(7)]
+    seen = streamed(spark, tmp_path, [rows[:3], rows[3:]], "run string, step long, vec array<double>", stateful.cosines)
+    batch = diagnostics.vector_steps(spark.createDataFrame([(r["run"], r["step"], r["vec"]) for r in rows], "run string, step long, vec array<double>"), "run", "step", "vec").collect()
+    assert {r.step: round(r["cosine"], 9) for r in seen} == {r.step: round(r["cosine"], 9) for r in batch}
+
+
+def test_log_tail_and_warmup(spark, tmp_path):
+    for i in range(2):
+        sinks.run_log(spark, f"{tmp_path}/log", "train", f"x{i}", "ok")
+    seen = []
+    stateful.log_tail(spark, f"{tmp_path}/log").writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.exp_id for r in seen) == ["x0", "x1"]
+    assert stateful.after_warmup(series(spark, range(15))).count() == 4
+
+
 def test_stream_equals_batch(spark, tmp_path):
     for i, rows in enumerate(([0, 1, 2], [3, 4])):
         lines = [json.dumps({"run": "r", "metric": "m", "step": s, "value": float(s % 3)}) for s in rows]
@@ -51,13 +113,8 @@ def test_stream_equals_batch(spark, tmp_path):
     stateful.smoothed(stream).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     batch = diagnostics.ema(series(spark, [0, 1, 2, 0, 1]), "run", ["step"], "value").collect()
     assert {r.step: round(r.ema, 9) for r in seen} == {r.step: round(r.ema, 9) for r in batch}
-
-
-def test_matrix(spark):
-    models = {f"m{i}": {} for i in range(5)} | {"z1": {"finetune": False, "zeroshot": True}, "z2": {"finetune": False, "zeroshot": True}}
-    jobs = experiments.matrix(spark, {"models": models, "variants": ["raw", "pre"]})
-    assert {r.kind: r["count"] for r in jobs.groupBy("kind").count().collect()} == {"train": 10, "predict": 24, "eval": 24}
-    assert experiments.todo(jobs, jobs.filter("kind = 'eval'")).count() == 34
+    best = diagnostics.best_so_far(series(spark, [0, 1, 2, 0, 1]), "run", ["step"], "value").collect()
+    assert {(r.step, r.best, r.improved) for r in seen} == {(r.step, r.best, r.improved) for r in best}
 
 
 def test_sources(spark, tmp_path):
