@@ -264,3 +264,23 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Exact sets and all pairs that share a shingle; classes of equal sets are compared once.
+ORACLE = f"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT id, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda s: array_to_string(w[s : s + {SHINGLE - 1}], ' ')) END)) AS s FROM base),
+classes AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+each AS (SELECT c, n, unnest(s) AS g FROM classes),
+pairs AS (SELECT a.c AS a, b.c AS b, count(*) AS common, any_value(a.n + b.n) AS total FROM each AS a JOIN each AS b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= {PERCENT} * (total - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, b FROM reach JOIN both_ways ON a = r),
+homes AS (SELECT c, min(r) AS home FROM reach GROUP BY c)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(home, doc_id) AS component_id, doc_id = coalesce(home, doc_id) AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN homes ON homes.c = classes.c
+"""

@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op2_minhash_dedup": minhash_dedup.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op8_license_scan": license_scan.ORACLE,

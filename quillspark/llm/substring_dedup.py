@@ -300,3 +300,17 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = f"""
+WITH base AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM base WHERE len(w) >= {WINDOW}),
+windows AS (SELECT id, s, array_to_string(w[s : s + {WINDOW - 1}], ' ') AS v FROM places),
+twice AS (SELECT id, s FROM (SELECT id, s, count(*) OVER (PARTITION BY v) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT id, s + o AS i FROM twice, range({WINDOW}) AS r(o)),
+words AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM base),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM base LEFT JOIN kept USING (id)
+"""
