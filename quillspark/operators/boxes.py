@@ -118,19 +118,21 @@ def matches(df: DataFrame, thresholds: list[float]) -> DataFrame:
     df = df.filter(F.col("iou") >= min(thresholds)).select("image_id", "gt", "pred", "score", "iou")
     order = [F.desc("score"), F.asc("pred"), F.desc("iou"), F.asc("gt")]
 
-    def step(state: dict, row: dict) -> dict | None:
+    def step(state: list[set], row: tuple) -> tuple | None:
+        image, gt, pred, _, iou = row
         levels = []
         for i, t in enumerate(thresholds):
-            taken, done = state.setdefault(i, (set(), set()))
-            if row["iou"] >= t and row["pred"] not in done and row["gt"] not in taken:
-                taken.add(row["gt"])
-                done.add(row["pred"])
+            if iou < t:
+                continue
+            taken = state[i]  # boxes as (0, gt), predictions as (1, pred)
+            if (1, pred) not in taken and (0, gt) not in taken:
+                taken.update(((0, gt), (1, pred)))
                 levels.append(i)
-        return {**{c: row[c] for c in ("image_id", "gt", "pred", "iou")}, "levels": levels} if levels else None
+        return (image, gt, pred, iou, levels) if levels else None
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = f"image_id {kinds['image_id']}, gt {kinds['gt']}, pred {kinds['pred']}, iou double, levels array<int>"
-    return fold(df, ["image_id"], order, dict, step, schema).select("image_id", "gt", "pred", "iou", F.explode("levels").alias("level"))
+    return fold(df, ["image_id"], order, lambda: [set() for _ in thresholds], step, schema).select("image_id", "gt", "pred", "iou", F.explode("levels").alias("level"))
 
 
 def greedy(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,12 +20,12 @@ def ema(df: DataFrame, key: str, step: list[str], value: str, decay: float = 0.9
     """(key, step, value, ema): seeded with the first value; values that are not finite, or not to keep, are skipped."""
     df = df.filter(finite(F.col(value)) & (F.lit(True) if keep is None else keep)).select(key, *step, F.col(value).cast("double").alias(value))
 
-    def smooth(state: dict, row: dict) -> dict:
-        state["ema"] = decay * state["ema"] + (1 - decay) * row[value] if state else row[value]
-        return {**row, "ema": state["ema"]}
+    def smooth(state: list, row: tuple) -> tuple:
+        state[:] = [decay * state[0] + (1 - decay) * row[-1] if state else row[-1]]
+        return (*row, state[0])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return fold(df, [key], [F.col(s) for s in step], dict, smooth, f"{schema}, ema double")
+    return fold(df, [key], [F.col(s) for s in step], list, smooth, f"{schema}, ema double")
 
 
 def best_so_far(df: DataFrame, key: str, step: list[str], value: str, smallest: bool = True) -> DataFrame:

@@ -17,7 +17,8 @@ PORTS = {
     "easyocr": 8001, "trocr": 8002, "paddleocr": 8003, "parseq": 8004, "calamari": 8005, "rysocr": 8006,
     "tesseract_pol": 8007, "surya": 8008, "got_ocr": 8009, "qwen2_5_vl": 8010, "kraken": 8011, "glm_4v": 8012,
 }
-KINDS = ("train", "predict", "eval")
+#: Seconds that a service may take, where its model is long to load, and otherwise (fixed values).
+TIMEOUTS, TIMEOUT = {"qwen2_5_vl": 3600.0, "kraken": 600.0, "glm_4v": 1800.0}, 60.0
 MODEL = "model string, place int, service string, weights string, finetune boolean, zeroshot boolean, lr0 double, data_format string, train_flags array<string>"
 VARIANT = "variant string, at int, yolo string, images_root string, pagexml string"
 
@@ -48,6 +49,22 @@ def base_url(model: str, given: str = "") -> str:
     return given.rstrip("/") if given else f"http://localhost:{PORTS[model]}"
 
 
+def timeout(model: str, given: float | None = None) -> float:
+    return TIMEOUTS.get(model, TIMEOUT) if given is None else float(given)
+
+
+def service_options(model: str, flags: dict) -> dict:
+    """The options of a model's service among flat flags `<model>_<option>`; languages are a list."""
+    prefix = f"{model}_"
+    own = {k.removeprefix(prefix): v for k, v in flags.items() if k.startswith(prefix)}
+    return {k: languages(v) if k == "langs" and isinstance(v, str) else v for k, v in own.items()}
+
+
+def service_entry(model: str, flags: dict) -> dict:
+    """A model's entry of a config from flat flags: where its service is, how long it may take, and its options."""
+    return {"id": model, "base_url": base_url(model, flags.get("http_base_url") or ""), "timeout": timeout(model, flags.get("http_timeout")), "options": service_options(model, flags)}
+
+
 def languages(text: str) -> list[str]:
     """Languages of a comma-separated list; Polish if there are none."""
     return [x for x in map(str.strip, text.split(",")) if x] or ["pl"]

@@ -8,11 +8,14 @@ carry one state, so their cost grows with the rows, however long a group is.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def running(df: DataFrame, order: list[Column], sums: list[str], place: str = "place") -> DataFrame:
@@ -33,26 +36,25 @@ def running(df: DataFrame, order: list[Column], sums: list[str], place: str = "p
     return out.withColumns(added).drop("_part", "_n", *(f"_sum_{c}" for c in sums))
 
 
-def fold(df: DataFrame, keys: list[str], order: list[Column], start: Callable[[], object], step: Callable[[object, dict], dict | None], schema: str) -> DataFrame:
-    """For each row, in order within its keys, what `step` makes of the group's state and the row; None gives no row.
+def fold(df: DataFrame, keys: list[str], order: list[Column], start: Callable[[], object], step: Callable[[object, tuple], tuple | None], schema: str) -> DataFrame:
+    """For each row (a tuple), in order within its keys, what `step` makes of the group's state and the row; None gives no row.
 
     Rows of equal keys follow one another in one partition, sorted, so only a state is held.
     """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    key_of = itemgetter(*(df.columns.index(k) for k in keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
+        last, state, fresh = None, None, True
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
-                if key != last:
-                    last, state = key, start()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = key_of(row)
+                if fresh or key != last:
+                    last, state, fresh = key, start(), False
                 if (made := step(state, row)) is not None:
                     out.append(made)
-            yield pa.RecordBatch.from_pylist(out, schema=kinds)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+            columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.types, strict=True)], kinds.names)
 
-    kinds = to_arrow_schema(StructType.fromDDL(schema))
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

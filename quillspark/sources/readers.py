@@ -20,12 +20,21 @@ RESULTS = "image_id long, category_id int, bbox array<double>, score double"
 SUFFIXES = ("jpg", "jpeg", "png")
 
 
-def labels_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, label), all text; other columns are dropped, missing ones are an error."""
+#: Texts that pandas reads as missing (fixed values).
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def labels_csv(spark: SparkSession, path: str, pandas_na: bool = False) -> DataFrame:
+    """(file_name, label), all text; other columns are dropped, missing ones are an error.
+
+    An empty label is the empty text. With `pandas_na` it is "nan", as is any other text
+    that pandas takes for a missing value.
+    """
     found = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if lacking := sorted({"file_name", "label"} - set(found.columns)):
         raise ValueError(f"labels lack columns: {', '.join(lacking)}")
-    return found.select("file_name", F.coalesce("label", F.lit("")).alias("label"))
+    label = F.coalesce("label", F.lit(""))
+    return found.select("file_name", F.when(label.isin(*MISSING), "nan").otherwise(label).alias("label") if pandas_na else label.alias("label"))
 
 
 def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), deep: bool = True) -> DataFrame:

@@ -104,6 +104,17 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+def data_sets(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, most: int = 0, **split: object) -> dict[str, int]:
+    """Train, val and test sets (see `datasets.data_sets`) as instances_<name> under path; the images of each."""
+    from quillspark.operators import datasets
+
+    out = {}
+    for name, part in datasets.data_sets(images, **split).items():
+        coco_document(part, datasets.subset(annotations, part), categories, f"{path}/instances_{name}", most)
+        out[name] = part.count()
+    return out
+
+
 def predictions(df: DataFrame, path: str, meta: dict) -> None:
     """predictions (rows in results format) and meta.json."""
     df.write.mode("overwrite").json(f"{path}/predictions")

@@ -146,6 +146,9 @@ def test_options():
             E.device(name, False)
     assert [E.number_type(*x) for x in (("BFloat16",), ("auto",), ("auto", True), ("auto", True, True))] == ["bfloat16", "float32", "float16", "bfloat16"]
     assert E.base_url("trocr") == "http://localhost:8002" and E.base_url("trocr", "http://x/") == "http://x"
+    assert [E.timeout(*x) for x in (("kraken",), ("trocr",), ("kraken", 5))] == [600.0, 60.0, 5.0]
+    entry = E.service_entry("easyocr", {"easyocr_langs": "pl, en", "easyocr_device": "cpu", "trocr_device": "cuda", "http_base_url": None})
+    assert entry == {"id": "easyocr", "base_url": "http://localhost:8001", "timeout": 60.0, "options": {"langs": ["pl", "en"], "device": "cpu"}}
     assert E.sample_limit({}) == 1 and E.sample_limit({"limit": None}) is None and [x["id"] for x in E.enabled([{"id": 1}, {"id": 2, "enabled": False}])] == [1]
 
 

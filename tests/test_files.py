@@ -100,6 +100,28 @@ def test_coco_documents(spark, pages, tmp_path):
     assert spark.read.json(f"{tmp_path}/many/annotations").count() == 3
 
 
+def test_data_sets_are_written(spark, pages, tmp_path):
+    images, gt = pages
+    more = images.unionByName(spark.range(10, 60).select(F.col("id").alias("image_id"), F.concat(F.lit("p"), "id").alias("file_name"), F.lit(5).alias("width"), F.lit(5).alias("height")))
+    kinds = spark.createDataFrame([(1, "line")], "id int, name string")
+    n = sinks.data_sets(more, gt, kinds, str(tmp_path), 1000)
+    held = {k: json.load(open(f"{tmp_path}/instances_{k}.json")) for k in n}
+    ids = {k: {i["image_id"] for i in v["images"]} for k, v in held.items()}
+    assert sum(n.values()) == 53 == len(set().union(*ids.values())) and all(len(v) == n[k] for k, v in ids.items())
+    assert sum(len(v["annotations"]) for v in held.values()) == 3 and all({a["image_id"] for a in v["annotations"]} <= ids[k] for k, v in held.items())
+    train, val = datasets.random_split(more)
+    assert train.count() + val.count() == 53
+
+
+def test_labels_as_pandas_reads_them(spark, tmp_path):
+    open(f"{tmp_path}/l.csv", "w").write("file_name,label\na,NA\nb,\nc,007\n")
+    assert [r.label for r in readers.labels_csv(spark, f"{tmp_path}/l.csv").collect()] == ["NA", "", "007"]
+    assert [r.label for r in readers.labels_csv(spark, f"{tmp_path}/l.csv", True).collect()] == ["nan", "nan", "007"]
+    open(f"{tmp_path}/m.csv", "w").write("file_name,text\na,b\n")
+    with pytest.raises(ValueError, match="label"):
+        readers.labels_csv(spark, f"{tmp_path}/m.csv")
+
+
 def test_predictions_and_evaluation(spark, pages, tmp_path):
     images, gt = pages
     gt = gt.withColumn("source", F.when(F.col("image_id") == 1, "iam"))
