@@ -20,13 +20,13 @@ judged each. Texts are read whole; extra columns are ignored.
 
 from __future__ import annotations
 
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +41,15 @@ DONE, ROUNDS = 1e-4, 10_000
 @cache
 def letters() -> np.ndarray:
     """For each code point, whether it is a letter (general category L)."""
-    table = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
-    table.flags.writeable = False
-    return table
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 @cache
 def word_parts() -> np.ndarray:
     """For each code point, whether it stands within words: letters and the marks on them."""
-    return letters() | np.fromiter((unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
+    table = letters().copy()
+    table[[ord(m) for m in regex.findall(r"\p{M}", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))]] = True
+    return table
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -89,9 +89,8 @@ class Model:
         self.p = ((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)).T.astype(np.float64)
         self.log_p = np.log(self.p)
 
-    def mixture(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Proportions of the columns of p that explain n best."""
-        share = np.full(p.shape[1], 1 / p.shape[1])
+    def mixture(self, p: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Proportions of the columns of p that explain n best, from a first guess."""
         if len(share) == 1:
             return share
         total = n.sum()
@@ -116,12 +115,15 @@ class Model:
         one = int(alone.argmax())
         best, chosen = alone[one] - price, (np.array([one]), np.ones(1))
         held = np.arange(len(self.names))
+        share = np.full(len(held), 1 / len(held))
         while len(held) > 1:
-            share = self.mixture(p[:, held], n)
+            share = self.mixture(p[:, held], n, share)
             value = n @ np.log(p[:, held] @ share) - price * len(held)
             if value > best:
                 best, chosen = value, (held, share)
-            held = np.delete(held, share.argmin())
+            least = share.argmin()
+            held, share = np.delete(held, least), np.delete(share, least)
+            share = (share + 1e-6) / (share + 1e-6).sum()  # a share of nothing would stay so
         ranked = sorted(zip(chosen[1], chosen[0], strict=True), key=lambda x: (-x[0], x[1]))
         return [(self.names[i], float(min(1.0, s))) for s, i in ranked]
 
