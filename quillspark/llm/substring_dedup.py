@@ -293,7 +293,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     posted = dealt(["anchors"]).select("shard", F.explode("anchors").alias("m")).distinct().join(found, "m")
     bodies = dealt(["doc_id", "z"]).select("shard", F.lit(False).alias("passage"), "doc_id", F.col("z").alias("body"))
     bodies = bodies.unionByName(posted.select("shard", F.lit(True).alias("passage"), F.lit(None).cast(id_type).alias("doc_id"), F.col("text").alias("body")))
-    located = bodies.repartition("shard").sortWithinPartitions("shard", "passage").mapInArrow(_locate, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
+    # partitions grow in number with the shards, so that a task has few of these
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 2)
+    located = bodies.repartition(tasks, "shard").sortWithinPartitions("shard", "passage").mapInArrow(_locate, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
     done = met.filter("z IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return done.unionByName(located)
 
