@@ -12,6 +12,8 @@ from quillspark.functions.udfs import long_edits, long_token_edits
 
 REQUIRED = ("document_id", "ground_truth", "line_id", "prediction")
 LEVELS = ("word", "line", "document")
+#: Characters from which on texts are long to compare.
+LONG = 64
 #: name -> factory of an aggregate over normalised `l` and `r` and their edit distances `e` in characters and `te` in words.
 METRICS: dict[str, Callable[[], Column]] = {}
 
@@ -61,13 +63,20 @@ def at_level(df: DataFrame, level: str) -> DataFrame:
         spark = df.sparkSession
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         df = df.select(T.normalize("l").alias("l"), T.normalize("r").alias("r")).repartition(tasks, "l", "r")
-        return df.select("l", "r", long_edits("l", "r").alias("e"), long_token_edits("l", "r").alias("te"))
-    return compared(df)
+    return compared(df.select("l", "r"))
 
 
 def compared(df: DataFrame) -> DataFrame:
-    """df (l, r and what else it has) with the edit distances of short texts."""
-    return df.withColumns({"e": T.edits("l", "r"), "te": T.token_edits(T.tokens("l"), T.tokens("r"))})
+    """df (l, r and what else it has) with their edit distances `e` and `te`.
+
+    Short texts are compared by expressions; long ones, where these would fill a table of
+    distances, by bit vectors in Python, which sees nulls for the others.
+    """
+    long = F.greatest(F.length("l"), F.length("r")) > LONG
+    l, r = (F.when(long & (F.col("l") != F.col("r")), F.col(c)) for c in "lr")
+    short = lambda d: F.when(F.col("l") == F.col("r"), F.lit(0)).when(~long, d)
+    words = T.token_edits(T.tokens("l"), T.tokens("r"))
+    return df.withColumns({"e": F.coalesce(short(T.edits("l", "r")), long_edits(l, r)), "te": F.coalesce(short(words), long_token_edits(l, r))})
 
 
 def evaluate(df: DataFrame, level: str = "word", metrics: list[str] | None = None) -> DataFrame:
