@@ -18,8 +18,9 @@ What is gathered is ROWS sums for each partition, by row; the driver sees ROWS r
 wide as the benchmark's vocabulary.
 
 Terms weigh by the square of their inverse document frequency, smoothed so that a word of
-all passages still counts. The models go to the executors for `ITEMS` items at a time, so what
-is sent is bounded; a larger benchmark takes further passes.
+all passages still counts. The models go to the executors for at most `ITEMS` items of `WORDS`
+different words at a time, so what is sent is bounded; a larger benchmark takes further
+passes.
 
 Nulls: a null text or item has no words and matches nothing, nor does an item of fewer than
 `LEAST_WORDS` words, which any text may hold by chance; hits of a row without doc_id have
@@ -49,8 +50,8 @@ BLOCK, ROWS, RANK = 16, 320, 256
 COSINE, COPY, PARAPHRASE, ANSWER = 0.55, 0.8, 0.6, 4
 #: Passages that are compared at a time, and blocks whose vectors are summed at a time.
 CHUNK, PART = 2048, 512
-#: Items that are searched for at a time, and the words that an item has at least.
-ITEMS, LEAST_WORDS = 5000, 8
+#: Items that are searched for at a time, their different words, and the words that an item has at least.
+ITEMS, WORDS, LEAST_WORDS = 5000, 1 << 16, 8
 #: Of the fewest words that a confirmed window shares with an item, the part that is asked of its rarest words.
 RARE = 0.3
 #: Terms that are summed at a time.
@@ -318,12 +319,23 @@ class Search:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The items of benchmark (item_id, text) that are long enough, as id and words, at most about ITEMS at a time."""
+    """The items of benchmark (item_id, text) that are long enough, as id and words, in blocks of at most ITEMS items and WORDS different words."""
     listed = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    blocks = max(1, -(-listed.count() // ITEMS))
-    for block in range(blocks):
-        part = listed.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else listed
-        yield [(r.item_id, w) for r in part.orderBy("item_id", "text").collect() if len(w := words_of(r.text)) >= LEAST_WORDS]
+    parts = max(1, -(-listed.count() // ITEMS))
+    block: list[tuple[object, list[bytes]]] = []
+    known: set[bytes] = set()
+    for part in range(parts):
+        rows = listed.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else listed
+        for r in rows.orderBy("item_id", "text").collect():
+            words = words_of(r.text)
+            if len(words) < LEAST_WORDS:
+                continue
+            if block and (len(block) >= ITEMS or len(known.union(words)) > WORDS):
+                yield block
+                block, known = [], set()
+            block.append((r.item_id, words))
+            known.update(words)
+    yield block
 
 
 def latent_search(docs: DataFrame, items: list[tuple[object, list[bytes]]]) -> Search:
