@@ -330,7 +330,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[bytes]
             words = words_of(r.text)
             if len(words) < LEAST_WORDS:
                 continue
-            if block and (len(block) >= ITEMS or len(known.union(words)) > WORDS):
+            if block and (len(block) >= ITEMS or len(known) + len(set(words) - known) > WORDS):
                 yield block
                 block, known = [], set()
             block.append((r.item_id, words))
