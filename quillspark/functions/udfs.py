@@ -100,6 +100,22 @@ def recognise(samples: DataFrame, load: Loader, batch: int = 8, seconds: bool =
     return samples.mapInPandas(run, StructType(fields))
 
 
+#: What a service is asked (fixed formats): one image, several, or to load.
+PREDICT = "image_base64 string, options map<string, string>"
+PREDICT_BATCH = "images_base64 array<string>, options map<string, string>"
+LOAD = "options map<string, string>"
+
+
+def request(image: Column, options: Column) -> Column:
+    """The body of a request for one image."""
+    return F.to_json(F.struct(image.alias("image_base64"), options.alias("options")))
+
+
+def parsed_request(body: Column, schema: str = PREDICT) -> Column:
+    """Its parts; null where a body is of another form."""
+    return F.from_json(body, schema)
+
+
 class ServiceError(RuntimeError):
     """A service's answer that says what is wrong, or is none of the agreed form."""
 

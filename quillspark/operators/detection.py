@@ -93,6 +93,15 @@ def summary_row(report_: DataFrame, exp_id: str, meta: DataFrame | None = None)
     return row.select(*(F.col(c) if c in row.columns else F.lit(None).cast("double").alias(c) for c in SUMMARY))
 
 
+def line_report(images: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float = boxes.THRESHOLD) -> DataFrame:
+    """For each image its counts, the rates of boxes missed, split and absorbed, and mean and median overlap of its matches; zeros where there is nothing."""
+    counts = boxes.line_counts(images, gt, pred, threshold)
+    overlap = boxes.greedy(boxes.pairs(gt, pred), threshold).groupBy("image_id").agg(F.avg("iou").alias("iou_mean"), F.median("iou").alias("iou_median"))
+    rate = lambda c: F.when(F.col("n_gt") > 0, F.col(c) / F.col("n_gt")).otherwise(0.0)
+    rates = [rate(c).alias(name) for c, name in (("missed", "missed_rate"), ("split", "split_rate"), ("absorbed", "merge_rate"))]
+    return counts.join(overlap, "image_id", "left").select(*counts.columns, *rates, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("iou_mean", "iou_median")))
+
+
 def detection_delta(detected: DataFrame) -> DataFrame:
     """(image, raw, preprocessed, delta): numbers of boxes of (image, variant, pred) on both variants of an image."""
     n = lambda v: F.count_if(F.col("variant") == v)

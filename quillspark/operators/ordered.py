@@ -18,13 +18,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Give back the rows that `running` keeps, once the results that need them are written."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def running(df: DataFrame, order: list[Column], sums: list[str], place: str = "place") -> DataFrame:
     """df with `place` (from 1 in the order) and, under its own name, the running sum of each of `sums`.
 
-    The order must tell all rows apart. The range-partitioned rows are kept, so that both
-    passes see the same partitions.
+    The order must tell all rows apart. The range-partitioned rows are kept (see `release`),
+    so that both passes see the same partitions; a lost block is made again with the same bounds.
     """
     part = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    _kept.append(part)
     totals = part.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_sum_{c}") for c in sums))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
     offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions import udfs
 from quillspark.operators import boxes, datasets, detection, diagnostics, experiments, recognition, reporting
 from quillspark.plans.views import view, with_views
 from quillspark.sources import readers
@@ -258,6 +259,13 @@ def _(spark, d):
     return boxes.line_counts(*_boxes(spark, d))
 
 
+@query("line_report", f"""WITH {COUNTS}, im AS (SELECT image_id, avg(iou) AS m, quantile_cont(iou, 0.5) AS d FROM matches GROUP BY image_id)
+  SELECT cnt.*, round(missed / greatest(CAST(n_gt AS DOUBLE), 1), 9) AS missed_rate, round(split / greatest(CAST(n_gt AS DOUBLE), 1), 9) AS split_rate, round(absorbed / greatest(CAST(n_gt AS DOUBLE), 1), 9) AS merge_rate,
+    round(coalesce(m, 0), 9) AS iou_mean, round(coalesce(d, 0), 9) AS iou_median FROM cnt LEFT JOIN im ON im.image_id = cnt.image_id""", recursive=True)
+def _(spark, d):
+    return detection.line_report(*_boxes(spark, d))
+
+
 @query("micro_overall", f"WITH {COUNTS} {rates()}", recursive=True)
 def _(spark, d):
     return boxes.micro(boxes.line_counts(*_boxes(spark, d)))
@@ -846,3 +854,17 @@ def _(spark, d):
     own = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("image_id"))
     sets = datasets.data_sets(own, spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image_id")))
     return sets["train"].withColumn("part", F.lit("train")).unionByName(sets["val"].withColumn("part", F.lit("val"))).unionByName(sets["test"].withColumn("part", F.lit("test")))
+
+
+@query("perturbed", "SELECT step, round(CAST(vec[1] AS DOUBLE) + CAST(0.01 AS DOUBLE) * CAST(vec[2] AS DOUBLE), 9) AS first FROM v_vec")
+def _(spark, d):
+    vec = F.transform("vec", lambda x: x.cast("double"))
+    moved = diagnostics.perturbed(F.slice(vec, 1, 1), F.slice(vec, 2, 1), 0.01)
+    return view(spark, d, "v_vec").select("step", F.get(moved, F.lit(0)).alias("first"))
+
+
+@query("requests", """SELECT item_id, text AS image, 'pl' AS lang FROM benchmark""")
+def _(spark, d):
+    body = udfs.request(T.base64_of(F.col("text").cast("binary")), F.create_map(F.lit("lang"), F.lit("pl")))
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", udfs.parsed_request(body).alias("r"))
+    return asked.select("item_id", T.decoded(F.col("r.image_base64")).cast("string").alias("image"), F.col("r.options.lang").alias("lang"))

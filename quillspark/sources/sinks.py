@@ -86,6 +86,16 @@ def yolo_data_set(images: DataFrame, gt: DataFrame, path: str, split: str) -> in
     return n
 
 
+def page_images(made: DataFrame, path: str) -> int:
+    """Preprocessed pages (path, status, content, comparison) as `<stem>.png`, those with a comparison as `compare/<stem>_compare.png` too."""
+    from quillspark.functions import text as T
+
+    good = made.filter("status = 'ok'").withColumn("stem", T.stem("path"))
+    beside = good.filter("comparison IS NOT NULL")
+    out = good.select(F.concat("stem", F.lit(".png")).alias("name"), "content")
+    return files(out.unionByName(beside.select(F.concat(F.lit("compare/"), "stem", F.lit("_compare.png")).alias("name"), F.col("comparison").alias("content"))), path, body="content")
+
+
 def page_files(images: DataFrame, gt: DataFrame, path: str) -> int:
     from quillspark.operators import datasets
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import udfs
-from quillspark.operators import benchmark, boxes, recognition, reporting
+from quillspark.operators import benchmark, boxes, detection, recognition, reporting
 from quillspark.operators import experiments as E
 from quillspark.plans.queries import CONFIG
 
@@ -172,6 +172,12 @@ def test_polygons_and_scores(spark):
     assert [(r.image_id, r.x, r.y, r.w, r.h, r.score) for r in boxes.lines_of_polygons(df).collect()] == [(1, 1.0, 2.0, 4.0, 2.0, 1.0)]
 
 
+def test_operating_point(spark):
+    """A missing score counts as 1, and the bound itself is kept."""
+    df = spark.createDataFrame([(0, 0.25), (1, 0.2499), (2, None), (3, 0.9)], "pred long, score double")
+    assert sorted(r.pred for r in detection.at_operating_point(df).collect()) == [0, 2, 3]
+
+
 def test_first_key_of_nested_answers(spark):
     texts = ['{"result": {"text": "a"}}', '[{"label": "b"}]', '[[{"value": "c"}]]', '"d"', '{"x": 1}', '{"prediction": {"sentence": "e"}}']
     df = spark.createDataFrame([(t,) for t in texts], "j string")

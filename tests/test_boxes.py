@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import boxes, datasets
+from quillspark.operators import boxes, datasets, detection, ordered
 
 GT = "image_id long, gt long, x double, y double, w double, h double"
 PRED = "image_id long, pred long, score double, x double, y double, w double, h double"
@@ -87,3 +88,36 @@ def test_splits(spark):
     assert sorted(sum(parts.values(), [])) == list(range(30)) and parts == datasets.shuffled_split(list(range(30)), 7)
     got = datasets.hashed_split(spark.range(4000), "id").groupBy("split").count().collect()
     assert {r.split: round(r["count"] / 4000, 1) for r in got} == pytest.approx({"val": 0.2, "test": 0.1, "train": 0.7}, abs=0.11)
+
+
+def test_running(spark):
+    """Places and sums over a whole table, whatever its partitions; what was kept is given back."""
+    rng = random.Random(9)
+    values = [(i, rng.randint(0, 5), rng.randint(-3, 3)) for i in range(500)]
+    df = spark.createDataFrame(values, "id long, v long, w long").repartition(7)
+    got = ordered.running(df, [F.desc("v"), F.asc("id")], ["w"]).orderBy("place").collect()
+    total, expected = 0, []
+    for k, (i, v, w) in enumerate(sorted(values, key=lambda r: (-r[1], r[0]))):
+        total += w
+        expected.append((i, v, total, k + 1))
+    assert [(r.id, r.v, r.w, r.place) for r in got] == expected
+    ordered.release()
+    assert ordered.running(df.limit(0), [F.asc("id")], ["w"]).count() == 0
+    by = detection.quantiles(df.withColumn("g", F.col("id") % 3), ["g"], "w", ["id"], [0.0, 0.1, 0.5, 1.0]).collect()
+    for r in by:
+        own = np.array([w for i, _, w in values if i % 3 == r.g])
+        assert list(r.q) == pytest.approx([np.quantile(own, p) for p in (0.0, 0.1, 0.5, 1.0)])
+
+
+def test_report_by_hand(spark):
+    """Overall and by source: images without boxes count overall only; calibration and overlaps are of one-to-one matches."""
+    images, gt, pred = frames(spark)
+    gt = gt.withColumn("source", F.when(F.col("image_id") == 1, "a").otherwise("b"))
+    got = {r.source: r for r in detection.report(images, gt, pred, 0.5).collect()}
+    assert set(got) == {None, "a", "b"} and [got[k].n_images for k in (None, "a", "b")] == [3, 1, 1]
+    # of the predictions at 0.5 two of three match on image 1, and one of one on image 2
+    assert (got["a"].precision, got["a"].recall, got["a"].iou_mean, got["a"].iou_median) == pytest.approx((2 / 3, 2 / 3, 0.75, 0.75))
+    assert (got["b"].precision, got["b"].recall, got["b"].ece, got["b"].merge_rate) == pytest.approx((1, 0.5, 0, 1))
+    assert got["a"].ece == pytest.approx((0.1 + 0.2 + 0.7) / 3) and got[None].n_matched == 3
+    none = detection.report(images, gt, pred.limit(0)).filter("source IS NULL").first()
+    assert (none.ap, none.f1, none.ece, none.iou_median, none.n_pred) == (0, 0, 0, 0, 0)

@@ -1,11 +1,14 @@
 """Image kernels, the preprocessing of pages, and text from pages."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import images, png
 from quillspark.operators import preprocessing as P
+from quillspark.sources import sinks
 
 
 def test_png():
@@ -90,7 +93,7 @@ def test_grid_goes_and_ink_stays():
     assert images.thinned_or_thickened(mask) is mask
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     page = text_page()
     out = images.preprocessed(page)
     assert out.shape == (140, 180, 3) and set(np.unique(out)) <= {0, 255} and out[0, 0, 0] == 255
@@ -101,6 +104,9 @@ def test_pipeline(spark):
     same = png.decode(bytes(got["a.png"].content))
     assert same.shape == page.shape and same[22, 80, 0] == 0 and same[5, 5, 0] == 255
     assert png.decode(bytes(got["a.png"].comparison)).shape == (120, 320, 3)
+    made = P.preprocessed(pages, same_geometry=True, compare=True)
+    assert sinks.page_images(made, str(tmp_path)) == 4 and sorted(os.listdir(tmp_path)) == ["a.png", "c.png", "compare"]
+    assert png.decode(open(f"{tmp_path}/compare/a_compare.png", "rb").read()).shape == (120, 320, 3)
     with pytest.raises(Exception, match="geometry changed"):
         P.preprocessed(pages.limit(1), {"border_px": 3}, same_geometry=True).collect()
     todo, skipped = P.unless_made(pages, pages.filter("path = 'a.png'").select("path"))
