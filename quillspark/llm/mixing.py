@@ -30,6 +30,7 @@ MOST_TIMES = 3
 #: Hexadecimal digits of the bucket: the cells of a source and class are some thousands at most.
 DIGITS = 3
 CELL = ("source", "_class", "_bucket")
+PART = ("source", "_class", "_part")
 ADDED = ("size", "source_size", "target", "copies")
 
 
@@ -109,8 +110,14 @@ def mix(docs: DataFrame, seed: str = "mix", size: Column | None = None) -> DataF
     classes = staged(cells.groupBy("source", "_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "mix-classes")
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
     by_class = staged(expectations(classes, targets, seed), "mix-expectations")
-    inside = W.partitionBy("source", "_class").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = cells.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("n", "words")
+    # before a cell: the parts of its class before its own, 16 at most, and in its part the cells before it, 256 at most
+    cells = cells.withColumn("_part", F.substring("_bucket", 1, 1))
+    inside = W.partitionBy(*PART).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    parts = cells.groupBy(*PART).agg(F.sum("n").alias("n"))
+    earlier = W.partitionBy("source", "_class").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = staged(parts.withColumn("parts_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "mix-parts")
+    starts = cells.withColumn("in_part", F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("n", "words")
+    starts = same_cell(starts, parts, PART).withColumn("before", F.col("in_part") + F.col("parts_before")).drop("in_part", "parts_before", "_part")
     starts = staged(same_cell(starts, by_class, ("source", "_class")), "mix-starts")
     out = ranked(rows, starts)
     so_far = F.col("start") + (F.col("_place") - 1) * F.col("rate")
