@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -172,37 +173,46 @@ class Shard:
         self.texts: list[str] = []
         self.edges: list[np.ndarray] = []  # by word: +1 where matches begin, -1 after their ends
         self.number: dict[bytes, int] = {}
-        self.automaton, self.letters = ahocorasick.Automaton(), 0
+        self.passages: list[list[bytes]] = []
+        self.letters = 0
 
     def add_document(self, doc_id: object, packed: bytes) -> None:
         words = zstandard.ZstdDecompressor().decompress(packed).split()
-        number = self.number
+        numbers = numbered(words, self.number)
+        for i in np.flatnonzero(numbers < 0).tolist():
+            numbers[i] = self.number.setdefault(words[i], len(self.number))
         self.ids.append(doc_id)
         self.packed.append(packed)
-        self.texts.append(spelt(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))))
+        self.texts.append(spelt(numbers))
         self.edges.append(np.zeros(len(words) + 1, np.int32))
 
     def add_passage(self, text: bytes) -> None:
-        words = list(map(self.number.get, text.split()))
-        if None in words:  # not in this shard
-            return
-        self.automaton.add_word(spelt(np.array(words, np.int64)), len(words))
-        self.letters += 2 * len(words)
+        self.passages.append(text.split())
+        self.letters += 2 * len(self.passages[-1])
         if self.letters >= MOST_LETTERS:
             self.search()
 
     def search(self) -> None:
-        if not self.letters:  # an automaton without phrases cannot be searched
+        sizes = np.array([len(words) for words in self.passages], np.int64)
+        numbers = numbered([w for words in self.passages for w in words], self.number)
+        self.passages, self.letters = [], 0
+        automaton = ahocorasick.Automaton()
+        if len(numbers):
+            first = np.cumsum(sizes) - sizes
+            known = np.minimum.reduceat(numbers, first) >= 0  # others are not in this shard
+            letters = spelt(np.maximum(numbers, 0))
+            for a, n in zip(first[known].tolist(), sizes[known].tolist(), strict=True):
+                automaton.add_word(letters[2 * a : 2 * (a + n)], n)
+        if not len(automaton):  # an automaton without phrases cannot be searched
             return
-        self.automaton.make_automaton()
+        automaton.make_automaton()
         for text, edge in zip(self.texts, self.edges, strict=True):
-            found = list(self.automaton.iter(text))
+            found = list(automaton.iter(text))
             if found:
                 ends, sizes = np.array(found, np.int64).T
                 ends = (ends + 1) // 2
                 edge += np.bincount(ends - sizes, minlength=len(edge)).astype(np.int32)
                 edge -= np.bincount(ends, minlength=len(edge)).astype(np.int32)
-        self.automaton, self.letters = ahocorasick.Automaton(), 0
 
     def results(self) -> Iterator[tuple[object, int, int, str]]:
         """doc_id, n_words, n_removed, kept_sha256 of each document."""
@@ -214,6 +224,11 @@ class Shard:
             yield doc_id, len(words), sum(gone), hashlib.sha256(kept).hexdigest()
 
 
+def numbered(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """Numbers of words, -1 for those that have none."""
+    return np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+
+
 def spelt(numbers: np.ndarray) -> str:
     """Two letters for each number: the high part, from 256 on and not a surrogate, and the low one, below 256."""
     high = 256 + (numbers >> 8)
